@@ -16,6 +16,11 @@ def round1(value: Column) -> Column:
     return F.rint(value * 10) / 10
 
 
+def at_most(value: Column, cap: float) -> Column:
+    """Upper clamp that keeps null (``least`` would turn it into the cap)."""
+    return F.when(value > cap, F.lit(cap)).otherwise(value)
+
+
 def pick(value: Column, table: Mapping[Any, Any], otherwise: Any) -> Column:
     """Look ``value`` up in a small fixed table."""
     items = iter(table.items())
@@ -95,15 +100,15 @@ def severity_score(columns: Iterable[str]) -> Column:
     if "severity" in present:
         terms.append(pick(F.col("severity"), S.SEVERITY_POINTS, S.SEVERITY_POINTS_OTHER))
     if "num_casualties" in present:
-        terms.append(F.least(F.col("num_casualties") * 10, F.lit(30)))
+        terms.append(at_most(F.col("num_casualties") * 10, 30))
     if "num_vehicles" in present:
-        terms.append(F.least((F.col("num_vehicles") - 1) * 5, F.lit(15)))
+        terms.append(at_most((F.col("num_vehicles") - 1) * 5, 15))
     if "weather" in present:
         terms.append(pick(F.col("weather"), S.WEATHER_POINTS, S.WEATHER_POINTS_OTHER))
     total = F.lit(0)
     for term in terms:
         total = total + term
-    return F.least(total, F.lit(100)).cast("double")
+    return at_most(total, 100).cast("double")
 
 
 def road_tenths() -> Column:
