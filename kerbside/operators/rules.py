@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside import schema as S
+from kerbside.functions.scalars import round1
 from kerbside.operators.aggregates import groups_above_median, most_common
 from kerbside.operators.risk import city_risk
 
@@ -24,7 +25,7 @@ def _fired(facts: DataFrame, rules: list[tuple[Column, dict[str, Column]]]) -> D
 
 
 def _one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", F.bround(value, 1))
+    return F.format_string("%.1f", round1(value))
 
 
 def design_recommendations(df: DataFrame) -> DataFrame:
