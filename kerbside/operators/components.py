@@ -11,8 +11,12 @@ from kerbside.operators.joins import SPLIT_ROWS, skew_join
 from kerbside.session import materialise
 
 
-def _tile_roots(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Smallest id of each component among the edges of one tile."""
+# Graphs up to this many edges are merged by one task (16 MB of ids).
+SINGLE_TASK_EDGES = 1_000_000
+
+
+def _roots(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Smallest id of each component among a bounded set of edges."""
     ids, place = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
     a, b = place.reshape(-1, 2).T
     root = np.arange(len(ids))
@@ -29,70 +33,74 @@ def _tile_roots(pdf: pd.DataFrame) -> pd.DataFrame:
         root = hooked
 
 
-def _relabel(edges: DataFrame, roots: DataFrame, split_rows: int) -> DataFrame:
+def _relabel(edges: DataFrame, roots: DataFrame, split_rows: int, n_edges: int) -> DataFrame:
     """Replace both ends by their roots; drop loops and repeats."""
     for end in ("a", "b"):
         table = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-        edges = skew_join(edges, table, [end], "left", split_rows=split_rows)
-    low, high = (
-        F.coalesce("a_root", "a"), F.coalesce("b_root", "b"),
-    )
+        edges = skew_join(edges, table, [end], "left", split_rows=split_rows, left_rows=n_edges)
+    low, high = F.coalesce("a_root", "a"), F.coalesce("b_root", "b")
     return (
         edges.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b"))
         .where("a <> b").distinct()
     )
 
 
+def _merge_groups(edges: DataFrame, group: Column) -> DataFrame:
+    """Components among the edges of each group; a null group is left out."""
+    return materialise(
+        edges.withColumn("_group", group).where("_group IS NOT NULL")
+        .groupBy("_group").applyInPandas(lambda pdf: _roots(pdf), "node BIGINT, root BIGINT"),
+        "roots",
+    )
+
+
 def connected_components(
     edges: DataFrame,
     tile: Column | None = None,
     split_rows: int = SPLIT_ROWS,
+    single_task_edges: int = SINGLE_TASK_EDGES,
 ) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)``.
-
-    ``tile`` may name a bounded patch holding both ends of an edge (null when
-    the ends lie in different patches); patches are merged locally first and
-    only edges between patches go on. What remains is contracted: every node
-    joins its neighbour (or itself) of smallest hash, which shrinks the graph
-    by a constant factor per round whatever its shape, with no node gathering
-    its neighbours into one task.
+    """(node, root) for every node of ``edges(a, b)``, which should be a written table.
+
+    A graph of at most ``single_task_edges`` edges is finished at once. A
+    larger one is first merged per ``tile``: a bounded patch holding both ends
+    of an edge (null when the ends lie in different patches). What remains is
+    contracted round by round: every node joins its neighbour (or itself) of
+    smallest hash, which shrinks the graph by a constant factor whatever its
+    shape, with no node gathering its neighbours into one task.
     """
-    spark = edges.sparkSession
-    edges = materialise(edges, "edges")
+    edges = edges.select("a", "b")
     merges: list[DataFrame] = []
-    if tile is not None:
-        roots = materialise(
-            edges.withColumn("_tile", tile).where("_tile IS NOT NULL")
-            .groupBy("_tile").applyInPandas(
-                lambda pdf: _tile_roots(pdf), "node BIGINT, root BIGINT"
-            ),
-            "tile-roots",
-        )
-        merges.append(roots)
-        rest = materialise(_relabel(edges, roots, split_rows), "edges")
-    else:
-        rest = materialise(edges.where("a <> b").distinct(), "edges")
-
-    turn = 0
-    while not rest.isEmpty():
-        ends = rest.select("a", "b").unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ranked = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
-        roots = materialise(
-            ends.groupBy("a").agg(F.min(ranked("b")).alias("best"))
-            .select(F.col("a").alias("node"), F.least("best", ranked("a"))["id"].alias("root")),
-            "roots",
-        )
+    rest, n_rest, turn = edges, edges.count(), 0
+    while n_rest:
+        if n_rest <= single_task_edges:
+            merges.append(_merge_groups(rest, F.lit(0)))
+            break
+        if turn == 0 and tile is not None:
+            roots = _merge_groups(rest, tile)
+        else:
+            ends = rest.unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            best = F.least(F.min(_ranked("b", turn)), F.min(_ranked("a", turn)))
+            roots = materialise(
+                ends.groupBy(F.col("a").alias("node")).agg(best["id"].alias("root")), "roots"
+            )
         merges.append(roots)
-        rest = materialise(_relabel(rest, roots, split_rows), "edges")
+        rest = materialise(_relabel(rest, roots, split_rows, n_rest), "edges")
+        n_rest = rest.count()
         turn += 1
 
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = nodes.withColumn("root", F.col("node"))
-    for roots in merges:
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = labels.withColumn("root", F.col("node"))
+    for i, roots in enumerate(merges):
         step = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        labels = skew_join(labels, step, ["root"], "left", split_rows=split_rows).select(
-            "node", F.coalesce("next", "root").alias("root")
-        )
-        if len(merges) > 2:
+        labels = skew_join(
+            labels, step, ["root"], "left", split_rows=split_rows,
+            left_rows=0 if i == 0 else None,  # before the first merge every root is its own node
+        ).select("node", F.coalesce("next", "root").alias("root"))
+        if 0 < i < len(merges) - 1:
             labels = materialise(labels, "labels")
     return labels
+
+
+def _ranked(column: str, turn: int) -> Column:
+    return F.struct(F.xxhash64(F.col(column), F.lit(turn)).alias("h"), F.col(column).alias("id"))

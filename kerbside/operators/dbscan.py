@@ -19,6 +19,7 @@ inside or between crowded cells are never enumerated.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,7 @@ _ROW = 1 << 32             # cell id = row index * 2^32 + column index (shifted
 _MIDDLE = 1 << 31
 _SPLIT = 4                 # sub-boxes per axis and level
 _TILE_BITS = 7             # 128 x 128 cells are merged in one task: at most 16 384 nodes
+_LISTED_POINTS = 32         # cells up to this size carry their points into the link test
 _REACH = range(-2, 3)
 _NEAR = [dx * _ROW + dy for dx in _REACH for dy in _REACH]
 _FORWARD = [offset for offset in _NEAR if offset > 0]
@@ -68,9 +70,11 @@ def _square(value: Column) -> Column:
     return value * value
 
 
-def _boxes(points: DataFrame, level: int) -> DataFrame:
+def _boxes(points: DataFrame, level: int, with_points: bool = False) -> DataFrame:
     """Tight boxes of the points per sub-cell; scaling by powers of two nests exactly."""
     scale = float(_SPLIT**level)
+    listed = F.collect_list(F.struct("latitude", "longitude"))
+    empty = F.lit(None).cast("array<struct<latitude:double,longitude:double>>")
     return points.groupBy(
         "cell",
         F.floor(F.col("u") * scale).alias("gu"),
@@ -78,16 +82,28 @@ def _boxes(points: DataFrame, level: int) -> DataFrame:
     ).agg(
         F.min("latitude").alias("lat0"), F.max("latitude").alias("lat1"),
         F.min("longitude").alias("lon0"), F.max("longitude").alias("lon1"),
+        (listed if with_points else F.first(empty)).alias("points"),
     )
 
 
 def _measure(pairs: DataFrame, reach: float) -> DataFrame:
-    """Keep box pairs that may hold neighbours; ``linked`` marks those that surely do."""
+    """Keep box pairs that may hold neighbours; ``linked`` marks those that surely do.
+
+    Boxes that carry their (few) points are decided here and now; ``open``
+    marks the pairs that need splitting.
+    """
     gap = _square(_gap("lat0", "lat1")) + _square(_gap("lon0", "lon1"))
     span = _square(_span("lat0", "lat1")) + _square(_span("lon0", "lon1"))
+    touch = F.exists("a_points", lambda p: F.exists("b_points", lambda q: (
+        _square(p["latitude"] - q["latitude"]) + _square(p["longitude"] - q["longitude"]) <= reach
+    )))
+    listed = F.col("a_points").isNotNull() & F.col("b_points").isNotNull()
     return (
-        pairs.where(gap <= reach).withColumn("linked", span <= reach)
-        .select("a", "b", "a_gu", "a_gv", "b_gu", "b_gv", "linked")
+        pairs.where(gap <= reach)
+        .withColumn("linked", F.when(span <= reach, F.lit(True)).when(listed, touch).otherwise(F.lit(False)))
+        .withColumn("open", ~F.col("linked") & ~listed)
+        .where("linked OR open")
+        .select("a", "b", "a_gu", "a_gv", "b_gu", "b_gv", "linked", "open")
     )
 
 
@@ -97,46 +113,43 @@ def _renamed(boxes: DataFrame, side: str) -> DataFrame:
     )
 
 
-def _cell_links(core: DataFrame, reach: float, split_rows: int) -> DataFrame:
+def _cell_links(core: DataFrame, reach: float, listed_points: int = _LISTED_POINTS) -> DataFrame:
     """(a, b) for neighbouring cells joined by at least one pair of core points."""
-    top = _boxes(core, 0)
+    few = F.col("cell_locations") <= listed_points
+    top = materialise(
+        _boxes(core.where(few), 0, with_points=True).unionByName(_boxes(core.where(~few), 0)), "boxes"
+    )
     first = (
-        _renamed(top, "a")
-        .withColumn("b", _neighbours("a", _FORWARD))
-        .join(_renamed(top, "b"), "b")
+        _renamed(top, "a").withColumn("b", _neighbours("a", _FORWARD)).join(_renamed(top, "b"), "b")
     )
     measured = materialise(_measure(first, reach), "box-pairs")
     links = [measured.where("linked").select("a", "b").distinct()]
     level = 0
-    while True:
-        done = links[-1]
+    while not measured.where("open").isEmpty():
         unsettled = materialise(
-            measured.where("NOT linked").join(done, ["a", "b"], "left_anti").drop("linked"),
+            measured.where("open").join(links[-1], ["a", "b"], "left_anti")
+            .select("a", "b", *[F.col(c).alias(f"p{c}") for c in ("a_gu", "a_gv", "b_gu", "b_gv")]),
             "open-pairs",
         )
         n_open = unsettled.count()
-        if n_open == 0:
-            break
         level += 1
-        cells = unsettled.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
-        busy = core.join(F.broadcast(cells), "cell", "left_semi") if n_open <= BROADCAST_ROWS // 2 else core
-        boxes = _boxes(busy, level)
-        children = materialise(
-            boxes.withColumn("pu", F.floor(F.col("gu") / _SPLIT)).withColumn("pv", F.floor(F.col("gv") / _SPLIT)),
+        busy = core
+        if n_open <= BROADCAST_ROWS // 2:
+            cells = unsettled.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
+            busy = core.join(F.broadcast(cells), "cell", "left_semi")
+        boxes = materialise(
+            _boxes(busy, level)
+            .withColumns({"pu": F.floor(F.col("gu") / _SPLIT), "pv": F.floor(F.col("gv") / _SPLIT)}),
             "boxes",
         )
-        a = _renamed(children, "a").withColumnsRenamed({"a_pu": "pa_gu", "a_pv": "pa_gv"})
-        b = _renamed(children, "b").withColumnsRenamed({"b_pu": "pb_gu", "b_pv": "pb_gv"})
-        parents = unsettled.withColumnsRenamed(
-            {"a_gu": "pa_gu", "a_gv": "pa_gv", "b_gu": "pb_gu", "b_gv": "pb_gv"}
-        )
-        pairs = parents.join(a, ["a", "pa_gu", "pa_gv"]).join(b, ["b", "pb_gu", "pb_gv"])
+        a = _renamed(boxes, "a").withColumnsRenamed({"a_pu": "pa_gu", "a_pv": "pa_gv"})
+        b = _renamed(boxes, "b").withColumnsRenamed({"b_pu": "pb_gu", "b_pv": "pb_gv"})
+        pairs = unsettled.join(a, ["a", "pa_gu", "pa_gv"]).join(b, ["b", "pb_gu", "pb_gv"])
         measured = materialise(_measure(pairs, reach), "box-pairs")
         links.append(measured.where("linked").select("a", "b").distinct())
-    result = links[0]
-    for more in links[1:]:
-        result = result.unionAll(more)
-    return result
+    if len(links) == 1:
+        return materialise(links[0], "links")
+    return materialise(reduce(DataFrame.unionAll, links), "links")
 
 
 def dbscan(
@@ -175,13 +188,17 @@ def dbscan(
         .withColumn("cell", F.floor("u") * _ROW + F.floor("v") + _MIDDLE),
         "locations",
     )
-    edge = locations.agg(F.max(F.greatest(F.abs("u"), F.abs("v")))).first()[0]
+    n_locations, edge = locations.agg(
+        F.count(F.lit(1)), F.max(F.greatest(F.abs("u"), F.abs("v")))
+    ).first()
     if edge is not None and edge >= _MIDDLE - 4:
         raise ValueError("eps is too small for the range of the coordinates")
 
-    weights = locations.groupBy("cell").agg(F.sum("w").alias("cell_weight"))
+    weights = locations.groupBy("cell").agg(
+        F.sum("w").alias("cell_weight"), F.count(F.lit(1)).alias("cell_locations")
+    )
     placed = materialise(
-        skew_join(locations, weights, ["cell"], split_rows=split_rows)
+        skew_join(locations, weights, ["cell"], split_rows=split_rows, left_rows=n_locations)
         .withColumn("dense", F.col("cell_weight") >= min_samples).drop("cell_weight"),
         "placed",
     )
@@ -197,7 +214,7 @@ def dbscan(
     within = materialise(
         skew_join(
             placed.select("cell", "latitude", "longitude", "w", "dense"), around, ["cell"],
-            right_rows_per_key=per_cell, split_rows=split_rows,
+            right_rows_per_key=per_cell, split_rows=split_rows, left_rows=n_locations,
         )
         .where(distance <= reach)
         .groupBy("plat", "plon", "cell", "dense").agg(F.sum("w").alias("n")),
@@ -214,7 +231,7 @@ def dbscan(
     thin_core, loose = flagged.where("core"), flagged.where("NOT core")
     core = dense.withColumn("core", F.lit(True)).unionByName(thin_core)
 
-    links = _cell_links(core, reach, split_rows)
+    links = _cell_links(core, reach)
     row = lambda c: F.shiftright(F.col(c), 32 + _TILE_BITS)
     column = lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit(_ROW - 1)), _TILE_BITS)
     same = (row("a") == row("b")) & (column("a") == column("b"))
@@ -230,7 +247,10 @@ def dbscan(
         rooted.groupBy("root").agg(F.min("first_row").alias("first_row")), ["first_row"], "cluster"
     ).select("root", "cluster")
     numbered = materialise(
-        skew_join(rooted.select("cell", "root"), clusters, ["root"], split_rows=split_rows)
+        skew_join(
+            rooted.select("cell", "root"), clusters, ["root"],
+            split_rows=split_rows, left_rows=n_locations,
+        )
         .select("cell", "cluster"),
         "numbered",
     )
@@ -250,7 +270,9 @@ def dbscan(
         .groupBy("plat", "plon").agg(F.min("cluster").alias("cluster"))
         .withColumnsRenamed({"plat": "latitude", "plon": "longitude"})
     )
-    labelled = skew_join(core, numbered, ["cell"], split_rows=split_rows).unionByName(
+    labelled = skew_join(
+        core, numbered, ["cell"], split_rows=split_rows, left_rows=n_locations
+    ).unionByName(
         loose.join(border, ["latitude", "longitude"], "left")
         .withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
     )

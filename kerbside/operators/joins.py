@@ -18,6 +18,7 @@ def skew_join(
     how: str = "inner",
     right_rows_per_key: int = 1,
     split_rows: int = SPLIT_ROWS,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Join where ``left`` may hold any number of rows per key.
 
@@ -26,8 +27,12 @@ def skew_join(
     BROADCAST_ROWS)``, number fewer than ``n / t``; their right rows are
     therefore at most ``BROADCAST_ROWS`` and are broadcast, so a heavy key is
     never shuffled. All other keys go through an ordinary join. ``how`` is
-    ``inner`` or ``left``; keys of ``left`` must not be null.
+    ``inner`` or ``left``; keys of ``left`` must not be null. ``left_rows`` is a
+    known bound on the rows of ``left``: when it rules out heavy keys, they are
+    not searched for.
     """
+    if left_rows is not None and left_rows <= split_rows:
+        return left.join(right, on, how)
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
     total, largest = counts.agg(F.sum("rows"), F.max("rows")).first()
     limit = max(split_rows, (total or 0) * right_rows_per_key // BROADCAST_ROWS)
