@@ -90,11 +90,13 @@ def parse_incidents(documents: DataFrame, payload: str = "payload") -> DataFrame
 def parse_flow(documents: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per readable flow document, with its congestion percentage."""
     own = [c for c in documents.columns if c != payload]
-    parsed = documents.withColumn("_doc", F.from_json(F.col(payload), FLOW_DDL))
+    parsed = documents.withColumn("_doc", F.from_json(
+        F.col(payload), f"{FLOW_DDL}, _unreadable STRING", {"columnNameOfCorruptRecord": "_unreadable"}
+    ))
     data = F.col("_doc.flowSegmentData")
     current = F.coalesce(data["currentSpeed"], F.lit(0.0))
     free = F.coalesce(data["freeFlowSpeed"], F.lit(0.0))
-    readable = F.try_parse_json(F.col(payload)).isNotNull()
+    readable = F.col("_doc").isNotNull() & F.col("_doc._unreadable").isNull()
     return parsed.where(readable).select(
         *own, current.alias("current_speed"), free.alias("free_flow_speed"),
         X.congestion_percent(current, free).alias("congestion_percent"),
