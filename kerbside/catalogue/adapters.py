@@ -71,13 +71,13 @@ def upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_accidents(sql: str) -> str:
     """Checking SQL over the canonical adapter."""
-    return f"WITH RECURSIVE accidents AS ({ACCIDENTS_SQL})\n{sql}"
+    return f"WITH RECURSIVE accidents AS ({ACCIDENTS_SQL}){sql}"
 
 
 def with_upload(sql: str) -> str:
     return (
         f"WITH RECURSIVE accidents AS ({ACCIDENTS_SQL}),\n"
-        f"accidents_raw AS ({ACCIDENTS_RAW_SQL}),\nupload AS ({UPLOAD_SQL})\n{sql}"
+        f"accidents_raw AS ({ACCIDENTS_RAW_SQL}),\nupload AS ({UPLOAD_SQL}){sql}"
     )
 
 

@@ -47,6 +47,17 @@ def feature_names(columns: list[str]) -> list[str]:
     return [c for c in BASE_FEATURES if c in columns] + [c for c in columns if c.endswith("_encoded")]
 
 
+def standard_scores(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns as population z-scores; a constant column becomes 0."""
+    moments = df.agg(F.struct(*[
+        F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c) for c in columns
+    ]).alias("m")).scalar()
+    return df.withColumns({
+        c: F.coalesce(F.try_divide(F.col(c) - moments[c]["mean"], moments[c]["sd"]), F.lit(0.0))
+        for c in columns
+    })
+
+
 def unit_hash(key: str, seed: int) -> Column:
     """Number in [0, 1) fixed by row key and seed."""
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))

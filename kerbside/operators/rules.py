@@ -28,6 +28,23 @@ def _one_decimal(value: Column) -> Column:
     return F.format_string("%.1f", round1(value))
 
 
+def condition_shares(df: DataFrame) -> DataFrame:
+    """How often each risk condition occurs, in one pass over a derived table."""
+    score, hour = F.col("severity_score"), F.col("hour")
+    return df.agg(
+        F.count_if(F.col("road_surface").isin("Wet", "Ice")).alias("wet"),
+        F.count_if(_matches("light_conditions", "Dark")).alias("dark"),
+        F.count_if(hour.isin(S.RUSH_HOURS)).alias("rush"),
+        F.count_if((hour >= 22) | (hour <= 5)).alias("night"),
+        F.count_if(F.col("day_of_week") >= 5).alias("weekend"),
+        F.count_if(_matches("weather", "Fog")).alias("fog"),
+        F.count_if(F.col("speed_limit") > 60).alias("fast"),
+        F.count_if(F.col("junction_type") != "Not at junction").alias("at_junction"),
+        F.avg(F.when(F.col("speed_limit") >= 60, score)).alias("fast_score"),
+        F.avg(F.when(F.col("speed_limit") < 60, score)).alias("slow_score"),
+    )
+
+
 def design_recommendations(df: DataFrame) -> DataFrame:
     """Road-design rules on a derived table: category, priority, issue, recommendation, impact."""
     have = set(df.columns)
