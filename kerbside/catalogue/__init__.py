@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["batch", "spatial", "traffic"]
+_MODULES = ["batch", "spatial", "traffic", "models"]
 
 
 def _merged(attribute: str) -> dict:

@@ -42,6 +42,15 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def q9(text: str) -> str:
+    return f"floor(({text}) * 1e9 + 0.5) / 1e9"
+
+
+def r9(name: str):
+    """Nine decimals: means of few coordinates often end in a 5 at the seventh."""
+    return F.floor(F.col(name) * 1e9 + 0.5) / 1e9
+
+
 def clusters(spark, sf):
     return D.dbscan(accidents(spark, sf), EPS, MIN_SAMPLES, "row_id")
 
@@ -53,11 +62,11 @@ def dbscan_points(spark, sf):
 
 
 @query("dbscan_hotspots", sql(
-    f"""SELECT cluster_id, {q6('center_lat')} AS center_lat, {q6('center_lon')} AS center_lon, accident_count, {q6('avg_casualties')} AS avg_casualties,
+    f"""SELECT cluster_id, {q9('center_lat')} AS center_lat, {q9('center_lon')} AS center_lon, accident_count, {q6('avg_casualties')} AS avg_casualties,
  fatal_count, serious_count, risk_level FROM spots""", CLUSTERED))
 def dbscan_hotspots(spark, sf):
     return D.hotspots(clusters(spark, sf)).withColumns(
-        {c: r6(c) for c in ("center_lat", "center_lon", "avg_casualties")})
+        {"center_lat": r9("center_lat"), "center_lon": r9("center_lon"), "avg_casualties": r6("avg_casualties")})
 
 
 @query("dbscan_counts", sql(
@@ -73,10 +82,6 @@ def hotspot_levels(spark, sf):
     return D.hotspot_levels(D.hotspots(clusters(spark, sf)))
 
 
-SILHOUETTE = f"""loc AS (SELECT cluster, latitude AS x, longitude AS y FROM clustered),
-cs AS (SELECT cluster, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(x * x + y * y) - avg(x) * avg(x) - avg(y) * avg(y) AS v FROM loc GROUP BY cluster)"""
-
-
 @query("priority_recommendations", sql(
     """SELECT cast(row_number() OVER (ORDER BY impact_score DESC, rule_no) AS int) AS rank, category, impact_score, priority, recommendation FROM (
  SELECT 1 AS rule_no, 'Speed Control' AS category, least(90, 50 + 10 * count(*) FILTER (speed_limit > 60 AND severity = 'Fatal')) AS impact_score,
