@@ -18,7 +18,7 @@ from kerbside.streaming.incidents import run_available
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str], C.SeverityModel] = {}
 
 
 def query(name: str):
@@ -29,13 +29,13 @@ def query(name: str):
 
 
 def _stored(spark, sf: str, kind: str, train) -> C.SeverityModel:
-    """Train once per session and table folder; later queries load the saved model."""
+    """Train once per session and table folder; queries use the model as stored and loaded."""
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _STORED:
         folder = scratch_path(spark, f"models-{kind}")
         C.save(train(), folder)
-        _STORED[key] = folder
-    return C.load(spark, _STORED[key])
+        _STORED[key] = C.load(spark, folder)
+    return _STORED[key]
 
 
 def severity_model(spark, sf):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier,
 )
@@ -132,11 +132,39 @@ def fit_logistic(rows: DataFrame, counted: DataFrame, features: list[str]) -> Pi
     return PipelineModel([assembler, scaler, model])
 
 
-def evaluate(model: Transformer, counted: DataFrame) -> tuple[float, float]:
+def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Add ``prediction`` and ``probabilities``; works on streams.
+
+    One-against-rest models are evaluated side by side in the JVM; their
+    probabilities are the shares of the single models' logistic values.
+    """
+    last = model.stages[-1]
+    if not isinstance(last, OneVsRestModel):
+        return model.transform(df).withColumn("probabilities", vector_to_array("probability"))
+    for stage in model.stages[:-1]:
+        df = stage.transform(df)
+    margins = []
+    for k, single in enumerate(last.models):
+        df = (
+            single.copy().setPredictionCol("").setProbabilityCol("")
+            .setRawPredictionCol(f"_raw{k}").transform(df)
+        )
+        margins.append(vector_to_array(f"_raw{k}")[1])
+    df = df.withColumn("_margins", F.array(*margins))
+    single = F.transform("_margins", lambda m: F.lit(1.0) / (F.exp(m * -2) + 1))
+    total = F.aggregate("_margins", F.lit(0.0), lambda a, m: a + F.lit(1.0) / (F.exp(m * -2) + 1))
+    best = F.array_position("_margins", F.array_max("_margins")) - 1
+    return df.withColumns({
+        "prediction": best.cast("double"),
+        "probabilities": F.transform(single, lambda p: F.try_divide(p, total)),
+    })
+
+
+def evaluate(model: PipelineModel, counted: DataFrame) -> tuple[float, float]:
     """(accuracy, weighted F1) from the confusion counts, one pass."""
     cells = {
         (r["label"], r["prediction"]): r["n"]
-        for r in model.transform(counted).groupBy("label", "prediction")
+        for r in score(model, counted).groupBy("label", "prediction")
         .agg(F.sum("weight").alias("n")).collect()
     }
     total = sum(cells.values())
@@ -257,20 +285,12 @@ def predict(df: DataFrame, trained: SeverityModel) -> DataFrame:
         for c in trained.features
     }
     held = F.struct(*[F.col(c) for c in own]).alias("_own")
-    scored = trained.model.transform(table.select(held, *[e.alias(c) for c, e in inputs.items()]))
-    if isinstance(trained.model.stages[-1], OneVsRestModel):
-        # margins of the one-against-rest models, as shares of their logistic values
-        raw = vector_to_array("rawPrediction")
-        single = F.transform(raw, lambda m: F.lit(1.0) / (F.exp(m * -2) + 1))
-        total = F.aggregate(single, F.lit(0.0), lambda a, p: a + p)
-        probability = F.transform(single, lambda p: F.try_divide(p, total))
-    else:
-        probability = vector_to_array("probability")
+    scored = score(trained.model, table.select(held, *[e.alias(c) for c, e in inputs.items()]))
     code = F.col("prediction").cast("int")
     names = F.array(*[F.lit(x) for x in trained.labels])
     return scored.select(
         "_own.*", F.coalesce(F.get(names, code), F.lit("Unknown")).alias("predicted_severity"),
-        code.alias("severity_code"), probability.alias("probabilities"),
+        code.alias("severity_code"), "probabilities",
     )
 
 
