@@ -59,12 +59,13 @@ def floor_band(value: Column, steps: Iterable[tuple[float, str]], last: str) ->
 
 
 def title_case(text: Column) -> Column:
-    """Capital after every non-letter, small letters elsewhere ("t-junction" -> "T-Junction")."""
-    parts = F.split(F.lower(text), r"(?<=[^\p{L}])")
-    return F.array_join(
-        F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substr(p, F.lit(2)))),
-        "",
-    )
+    """Capital after every non-letter, small letters elsewhere ("t-junction" -> "T-Junction").
+
+    ``initcap`` capitalises after blanks only, so other non-letters get a
+    marked blank for its sake.
+    """
+    spaced = F.regexp_replace(F.lower(text), r"([^\p{L} ])", "$1\u0001 ")
+    return F.replace(F.initcap(spaced), F.lit("\u0001 "), F.lit(""))
 
 
 def strip_lower(text: Column) -> Column:

@@ -80,16 +80,23 @@ def split(df: DataFrame, key: str, seed: int = 42, share: float = 0.8, by: str |
     return drawn.where(inside).drop("_draw"), drawn.where(~inside).drop("_draw")
 
 
-def _fitted_size(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
-    """A training table in as many partitions as its rows warrant: boosting runs
-    hundreds of short jobs over it, and tiny tasks would dominate them."""
-    wanted = -(-df.count() // rows_per_task)
-    return df.coalesce(max(1, wanted))
+def _spread(df: DataFrame, rows: int, rows_per_task: int = 10_000) -> DataFrame:
+    """As many partitions as the rows warrant, up to the tasks that can run at once.
+
+    Boosting runs hundreds of short jobs over its table: tiny tasks would
+    dominate them, a single file would leave the cluster idle. Tables with
+    more partitions than that are left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    wanted = max(1, min(-(-rows // rows_per_task), max(have, slots)))
+    return df.coalesce(wanted) if wanted < have else df.repartition(wanted) if wanted > have else df
 
 
 def _counted(df: DataFrame, features: list[str]) -> DataFrame:
     counted = df.groupBy(*features, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return _fitted_size(materialise(counted, "counted"))
+    table = materialise(counted, "counted")
+    return _spread(table, table.count())
 
 
 def _numbers(df: DataFrame, features: list[str], label: Column, *others: str) -> DataFrame:
@@ -245,6 +252,7 @@ def train_and_select(
     usual = counts.orderBy(F.desc("count"), "label").first()
     label = F.coalesce(code, F.lit(usual["label"] if usual else 0))
     table = materialise(_numbers(df, features, label, key), "training")
+    table = _spread(table, table.count())
     train, test = split(table, key, seed, by="label")
     counted, held_out = _counted(train, features), _counted(test, features)
     candidates = [
@@ -279,6 +287,10 @@ def predict(df: DataFrame, trained: SeverityModel) -> DataFrame:
     Unknown category values count as code 0, absent features as 0.
     """
     own = df.columns
+    if not df.isStreaming:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:  # scoring is heavy: use every core on small inputs too
+            df = df.repartition(slots)
     table = apply_codes(df, trained.encodings, unknown=0)
     inputs = {
         c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in table.columns else F.lit(0.0)
