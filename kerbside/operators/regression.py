@@ -155,7 +155,7 @@ def fit_negative_binomial(df: DataFrame, max_iter: int = 100, tol: float = 1e-8)
         eta = sum((F.lit(float(b)) * c for b, c in zip(beta[1:], x[1:], strict=True)), F.lit(float(beta[0])))
         mean = F.exp(eta)
         last, deviance = deviance, _sums(table, {"d": _nb_deviance(mean)})["d"]
-        if abs(deviance - last) <= tol * max(abs(deviance), 1.0):
+        if abs(deviance - last) <= max(tol, 1e-13 * abs(deviance)):  # absolute, down to rounding noise
             break
     weight = mean / (mean + 1)
     final = {f"g{i}_{j}": weight * x[i] * x[j] for i in range(k) for j in range(i, k)}
