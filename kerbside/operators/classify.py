@@ -52,10 +52,13 @@ def standard_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     moments = df.agg(F.struct(*[
         F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c) for c in columns
     ]).alias("m")).scalar()
-    return df.withColumns({
-        c: F.coalesce(F.try_divide(F.col(c) - moments[c]["mean"], moments[c]["sd"]), F.lit(0.0))
+    scored = {
+        c: F.coalesce(
+            F.try_divide(F.col(c) - F.col(f"_moments.{c}.mean"), F.col(f"_moments.{c}.sd")), F.lit(0.0)
+        )
         for c in columns
-    })
+    }
+    return df.withColumn("_moments", moments).withColumns(scored).drop("_moments")
 
 
 def unit_hash(key: str, seed: int) -> Column:

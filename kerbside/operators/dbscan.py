@@ -197,8 +197,13 @@ def dbscan(
     weights = locations.groupBy("cell").agg(
         F.sum("w").alias("cell_weight"), F.count(F.lit(1)).alias("cell_locations")
     )
+    if n_locations > split_rows:
+        weights = materialise(weights, "weights")
+    sizes = weights.select("cell", F.col("cell_locations").alias("rows"))
     placed = materialise(
-        skew_join(locations, weights, ["cell"], split_rows=split_rows, left_rows=n_locations)
+        skew_join(
+            locations, weights, ["cell"], split_rows=split_rows, left_rows=n_locations, counts=sizes
+        )
         .withColumn("dense", F.col("cell_weight") >= min_samples).drop("cell_weight"),
         "placed",
     )
@@ -214,7 +219,7 @@ def dbscan(
     within = materialise(
         skew_join(
             placed.select("cell", "latitude", "longitude", "w", "dense"), around, ["cell"],
-            right_rows_per_key=per_cell, split_rows=split_rows, left_rows=n_locations,
+            right_rows_per_key=per_cell, split_rows=split_rows, left_rows=n_locations, counts=sizes,
         )
         .where(distance <= reach)
         .groupBy("plat", "plon", "cell", "dense").agg(F.sum("w").alias("n")),
@@ -271,7 +276,7 @@ def dbscan(
         .withColumnsRenamed({"plat": "latitude", "plon": "longitude"})
     )
     labelled = skew_join(
-        core, numbered, ["cell"], split_rows=split_rows, left_rows=n_locations
+        core, numbered, ["cell"], split_rows=split_rows, left_rows=n_locations, counts=sizes
     ).unionByName(
         loose.join(border, ["latitude", "longitude"], "left")
         .withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
@@ -290,7 +295,10 @@ def label_rows(df: DataFrame, clustering: Clustering) -> DataFrame:
     labels = clustering.locations.select("latitude", "longitude", "cluster")
     found = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     on = clustering.coordinates
-    located = skew_join(df.where(found), labels, on, "left", split_rows=clustering.split_rows)
+    rows = clustering.locations.select(*on, F.col("w").alias("rows"))
+    located = skew_join(
+        df.where(found), labels, on, "left", split_rows=clustering.split_rows, counts=rows
+    )
     unplaced = df.where(~found).withColumn("cluster", F.lit(-1).cast("long"))
     return located.withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long"))).unionByName(unplaced)
 

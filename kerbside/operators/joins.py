@@ -19,6 +19,7 @@ def skew_join(
     right_rows_per_key: int = 1,
     split_rows: int = SPLIT_ROWS,
     left_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join where ``left`` may hold any number of rows per key.
 
@@ -29,11 +30,13 @@ def skew_join(
     never shuffled. All other keys go through an ordinary join. ``how`` is
     ``inner`` or ``left``; keys of ``left`` must not be null. ``left_rows`` is a
     known bound on the rows of ``left``: when it rules out heavy keys, they are
-    not searched for.
+    not searched for. ``counts`` may give known (or larger) row numbers per key
+    as a table of the key columns and ``rows``; otherwise ``left`` is counted.
     """
     if left_rows is not None and left_rows <= split_rows:
         return left.join(right, on, how)
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
     total, largest = counts.agg(F.sum("rows"), F.max("rows")).first()
     limit = max(split_rows, (total or 0) * right_rows_per_key // BROADCAST_ROWS)
     if (largest or 0) <= limit:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside import schema as S
-from kerbside.functions.scalars import round1
+from kerbside.functions.scalars import city_level, round1
 from kerbside.operators.aggregates import groups_above_median, most_common
-from kerbside.operators.risk import city_risk
+from kerbside.operators.risk import score_factors, score_parts, total_score
 
 
 def _matches(column: str, pattern: str) -> Column:
@@ -199,13 +199,13 @@ def executive_summary(df: DataFrame, n_hotspots: Column | int = 0, n_high: Colum
     have = set(df.columns)
     spots = n_hotspots if isinstance(n_hotspots, Column) else F.lit(n_hotspots)
     high = n_high if isinstance(n_high, Column) else F.lit(n_high)
-    facts = {"total": F.count(F.lit(1)), "fatal": F.count_if(F.col("severity") == "Fatal")}
+    casualties = F.col("num_casualties") if "num_casualties" in have else None
+    facts = score_parts(df.columns, F.col("severity"), casualties)
     if "weather" in have:
         facts["rain"] = F.count_if(F.col("weather") == "Rain")
-    risk = city_risk(df)
+    raw = total_score(score_factors(lambda name: F.col(name) if name in facts else None))
     row = df.agg(*[c.alias(k) for k, c in facts.items()]).withColumns({
-        "spots": spots, "high": high,
-        "score": risk.select("score").scalar(), "level": risk.select("level").scalar(),
+        "spots": spots, "high": high, "score": round1(raw), "level": city_level(raw),
     })
     if "road_type" in have:
         row = row.withColumn("road", most_common(df, "road_type"))

@@ -18,14 +18,16 @@ def within_city(incidents: DataFrame, cities: DataFrame, radius_km: float = 10)
     Works on a stream of incidents as long as the city table can be broadcast.
     """
     width = 2 * radius_km / 111
-    low = lambda c: F.floor((F.col(c) - width / 2) / width)
-    high = lambda c: F.floor((F.col(c) + width / 2) / width)
+    # never null: no filter that parses the feed a second time is inferred from the join
+    cell = lambda value: F.coalesce(F.floor(value / width), F.lit(0).cast("long"))
+    low = lambda c: cell(F.col(c) - width / 2)
+    high = lambda c: cell(F.col(c) + width / 2)
     boxes = cities.withColumn("_x", F.explode(F.sequence(low("city_lat"), high("city_lat")))).withColumn(
         "_y", F.explode(F.sequence(low("city_lon"), high("city_lon")))
     )
     placed = incidents.withColumns({
-        "_x": F.floor(F.coalesce("latitude", F.lit(0.0)) / width),
-        "_y": F.floor(F.coalesce("longitude", F.lit(0.0)) / width),
+        "_x": cell(F.coalesce("latitude", F.lit(0.0))),
+        "_y": cell(F.coalesce("longitude", F.lit(0.0))),
     })
     if cities.count() * 9 <= BROADCAST_ROWS:
         pairs = placed.join(F.broadcast(boxes), ["_x", "_y"])

@@ -37,12 +37,12 @@ def add_risk_index(df: DataFrame) -> DataFrame:
     """
     scored = add_severity_score(df)
     raw = F.col("severity_score") * X.road_tenths() * X.light_tenths() * X.surface_tenths()
-    largest = scored.agg(F.max(raw).alias("largest")).scalar()
+    largest = scored.agg(F.when(F.max(raw) > 0, F.max(raw)).alias("largest")).scalar()
     return scored.withColumns({
         "road_risk_factor": X.road_tenths() / 10,
         "light_risk_factor": X.light_tenths() / 10,
         "surface_risk_factor": X.surface_tenths() / 10,
-        "risk_index": F.when(largest > 0, raw / largest * 100).otherwise(raw / 10000),
+        "risk_index": F.coalesce(raw / largest * 100, raw / 10000),
     })
 
 

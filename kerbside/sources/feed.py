@@ -42,14 +42,11 @@ def stream_payloads(spark: SparkSession, path: str, max_files: int = 1000) -> Da
     )
 
 
-def _start_of_line(geometry: Column, axis: int) -> Column:
-    """Coordinate of a LineString's first point; 0 for anything else."""
+def _start_of_line(geometry: Column) -> Column:
+    """First point [longitude, latitude] of a LineString; null for anything else."""
     text = geometry["coordinates"]
-    nested = F.get(F.get(F.from_json(text, "array<array<double>>"), F.lit(0)), F.lit(axis))
-    flat = F.get(F.from_json(text, "array<double>"), F.lit(axis))
-    return F.when(
-        geometry["type"] == "LineString", F.coalesce(nested, flat, F.lit(0.0))
-    ).otherwise(F.lit(0.0))
+    nested = F.get(F.from_json(text, "array<array<double>>"), F.lit(0))
+    return F.when(geometry["type"] == "LineString", F.coalesce(nested, F.from_json(text, "array<double>")))
 
 
 def parse_incidents(documents: DataFrame, payload: str = "payload") -> DataFrame:
@@ -62,7 +59,8 @@ def parse_incidents(documents: DataFrame, payload: str = "payload") -> DataFrame
         *own, F.posexplode(F.from_json(F.col(payload), INCIDENTS_DDL)["incidents"])
         .alias("position", "incident"),
     )
-    props, geometry = F.col("incident.properties"), F.col("incident.geometry")
+    rows = rows.withColumn("start", _start_of_line(F.col("incident.geometry")))
+    props = F.col("incident.properties")
     events = props["events"]
     described = F.when(
         F.coalesce(F.size(events), F.lit(0)) > 0,
@@ -77,8 +75,8 @@ def parse_incidents(documents: DataFrame, payload: str = "payload") -> DataFrame
         X.incident_type(props["iconCategory"]).alias("type"),
         X.delay_severity(props["magnitudeOfDelay"]).alias("severity"),
         described.alias("description"),
-        _start_of_line(geometry, 1).alias("latitude"),
-        _start_of_line(geometry, 0).alias("longitude"),
+        F.coalesce(F.get("start", F.lit(1)), F.lit(0.0)).alias("latitude"),
+        F.coalesce(F.get("start", F.lit(0)), F.lit(0.0)).alias("longitude"),
         F.coalesce(props["delay"], F.lit(0)).alias("delay_seconds"),
         F.coalesce(props["length"], F.lit(0.0)).alias("length_meters"),
         F.coalesce(props["roadNumbers"], F.array().cast("array<string>")).alias("road_numbers"),
