@@ -386,6 +386,19 @@ def standardise(spark, sf):
     return done.withColumn("date", F.col("date").cast("string"))
 
 
+UPLOADED = DERIVED.replace("FROM accidents)", "FROM (SELECT * REPLACE (cast(date AS date) AS date) FROM standard))")
+
+
+@query("upload_pipeline", upload_sql(
+    f"""SELECT src_row, accident_id, hour, month, time_of_day, cast(severity_score AS double) AS severity_score,
+ {q6('risk_index')} AS risk_index, {LEVEL.format('risk_index')} AS risk_level FROM risk""",
+    DISTINCT, FILLED, WORDS, STANDARD, UPLOADED, RISK))
+def upload_pipeline(spark, sf):
+    table, _ = V.process_upload(upload(spark, sf), order=["src_row"])
+    return V.add_risk_level(table).select(
+        "src_row", "accident_id", "hour", "month", "time_of_day", "severity_score", r6("risk_index").alias("risk_index"), "risk_level")
+
+
 @query("generate_ids", upload_sql(
     """SELECT src_row, 'ACC' || lpad(cast(row_number() OVER (ORDER BY src_row) AS varchar), cast(greatest(6, length(cast(row_number() OVER (ORDER BY src_row) AS varchar))) AS int), '0') AS accident_id
  FROM (SELECT DISTINCT src_row FROM upload)"""))

@@ -90,7 +90,13 @@ def city_flow_summary(spark, sf):
         "city", "congestion_percent", "risk_level", "total_incidents", "current_speed", "free_flow_speed")
 
 
-@query("dashboard_gauges")
+@query("dashboard_gauges", with_feed(PLACED + LAST_FLOW + f""", a AS (SELECT event_type, hour(ts) AS hour, isodow(cast(ts AS date)) - 1 AS day_of_week FROM events),
+outlook AS (SELECT round_even(greatest(least(5.0 * count(*) FILTER (event_type = 'purchase') / count(*) + 8.0 * count(*) FILTER (event_type = 'signup') / count(*)
+ + 4.0 * count(*) FILTER (hour >= 22 OR hour <= 5) / count(*) + 3.0 * count(*) FILTER (day_of_week >= 5) / count(*), 15), -10) * 10, 0) / 10 AS change FROM a)
+SELECT c.city, cast(trunc(least(100, p)) AS int) AS congestion_gauge, cast(least(100, coalesce(total_incidents, 0) * 5) AS int) AS incident_gauge,
+ cast(least(100, coalesce(accidents, 0) * 15) AS int) AS accident_gauge, cast(trunc(least(100, cur)) AS int) AS speed_gauge, cast(free AS double) AS free_flow_speed,
+ cast(greatest(0, least(100, 50 + trunc(change * 2))) AS int) AS forecast_gauge, coalesce(critical_incidents, 0) + coalesce(major_incidents, 0) AS high_risk_zones
+ FROM cities c LEFT JOIN counts n ON c.city = n.city JOIN live l ON c.city = l.city, outlook"""))
 def dashboard_gauges(spark, sf):
     flow = R.latest_flow(N.parse_flow(flow_documents(spark, sf)), "reading")
     summary = R.city_summary(parsed(spark, sf), cities(spark), flow)
@@ -111,7 +117,8 @@ def first_incidents(spark, sf):
  lpad(cast((poll_second // 3600) % 24 AS varchar), 2, '0') || ':' || lpad(cast((poll_second // 60) % 60 AS varchar), 2, '0') AS time
  FROM (SELECT *, CASE severity WHEN 'Critical' THEN 'Fatal' WHEN 'Major' THEN 'Serious' WHEN 'Moderate' THEN 'Serious' ELSE 'Minor' END AS sev FROM incidents)"""))
 def incidents_to_accidents(spark, sf):
-    clock = F.to_utc_timestamp(F.col("polled_at"), "UTC")
+    seconds = F.unix_seconds("polled_at")  # UTC wall clock, whatever the session's zone
+    clock = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
     return R.incidents_to_accidents(parsed(spark, sf), clock).select(
         "poll_id", "position", "severity", "num_casualties", "num_vehicles", "speed_limit", "weather", "road_type",
         "road_surface", "junction_type", "light_conditions", "time")

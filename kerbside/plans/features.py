@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import scalars as X
-from kerbside.operators.cleaning import clean
+from kerbside.operators.cleaning import Optimised, clean, optimise
 from kerbside.operators.encoding import apply_codes, first_seen_codes
 
 
@@ -60,3 +60,9 @@ def process(df: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     table = add_time_features(clean(df))
     encodings = first_seen_codes(table, order)
     return add_risk_index(apply_codes(table, encodings)), encodings
+
+
+def process_upload(df: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, Optimised]:
+    """Standardise an uploaded table, then derive: returns (derived table, what was changed)."""
+    optimised = optimise(df, order)
+    return derive(optimised.data), optimised

@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.schema import ACCIDENT_DDL
 
+# Texts that mean "missing" in an uploaded CSV (the usual pandas list).
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+    "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
 
 def read_accidents(spark: SparkSession, path: str, ddl: str = ACCIDENT_DDL) -> DataFrame:
     """Canonical CSV. The schema is declared: inference costs a scan and turns 08:30 into a date."""
@@ -13,8 +21,38 @@ def read_accidents(spark: SparkSession, path: str, ddl: str = ACCIDENT_DDL) -> D
 
 
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """A user's CSV with unknown headers: every column as text, named by its header."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """A user's CSV with unknown headers. Columns holding only numbers become numbers; times stay text."""
+    text = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    known = [
+        F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in text.columns
+    ]
+    return infer_numbers(text.select(*known))
+
+
+def infer_numbers(df: DataFrame) -> DataFrame:
+    """Cast text columns whose values are all numeric: whole and without gaps to BIGINT, else DOUBLE.
+
+    One aggregate over the table decides for all columns.
+    """
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df
+    tests = []
+    for i, name in enumerate(names):
+        value = F.btrim(F.col(f"`{name}`"))
+        tests += [
+            F.count(value).alias(f"filled{i}"),
+            F.count_if(value.isNotNull() & value.try_cast("double").isNull()).alias(f"words{i}"),
+            F.count_if(value.isNull() | value.try_cast("bigint").isNull() | value.contains(".")).alias(f"broken{i}"),
+        ]
+    found = df.agg(*tests).first()
+    kinds = {}
+    for i, name in enumerate(names):
+        if found[f"filled{i}"] and not found[f"words{i}"]:
+            kinds[name] = "double" if found[f"broken{i}"] else "bigint"
+    return df.select(*[
+        F.btrim(F.col(f"`{c}`")).cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns
+    ])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -220,6 +220,15 @@ def test_summary(sample):
         "hotspots; Improve road drainage and visibility during rain.")
 
 
+def test_upload_types(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("lat,severity_level,Num Vehicles,crash_time,note\n51.5, 2,1,8:30,NA\n52,3,n/a,9:00,x\n51,1,4,23:59,7\n")
+    df = T.read_upload(spark, str(tmp_path / "u.csv"))
+    assert df.dtypes == [("lat", "double"), ("severity_level", "bigint"), ("Num Vehicles", "double"), ("crash_time", "string"), ("note", "string")]
+    rows = C.optimise(df, order=["latitude"]).data.orderBy("latitude").collect()
+    assert [r["severity"] for r in rows] == ["Minor", "Serious", "Fatal"]
+    assert [r["num_vehicles"] for r in rows] == [4, 1, 2.5] and [r["note"] for r in rows] == ["7", "7", "x"]
+
+
 def test_scenarios(accidents):
     rows = {r["intervention"]: r for r in Z.simulate(accidents, "row_id").collect()}
     again = {r["intervention"]: r for r in Z.simulate(accidents.repartition(13), "row_id").collect()}
@@ -247,8 +256,8 @@ def test_csv_files(spark, sample, tmp_path):
     T.write_csv(sample, str(tmp_path / "a"))
     assert sorted(map(str, T.read_accidents(spark, str(tmp_path / "a")).collect())) == sorted(
         map(str, sample.withColumn("date", F.to_date("date")).collect()))
-    upload = T.read_upload(spark, str(tmp_path / "a"))
-    assert set(t for _, t in upload.dtypes) == {"string"} and upload.count() == 4
+    upload = dict(T.read_upload(spark, str(tmp_path / "a")).dtypes)
+    assert (upload["time"], upload["date"], upload["latitude"], upload["speed_limit"]) == ("string", "string", "double", "bigint")
     T.write_parquet(sample, str(tmp_path / "p"), ["severity"])
     assert spark.read.parquet(str(tmp_path / "p")).count() == 4
 
