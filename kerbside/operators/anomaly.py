@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kerbside.operators.joins import BROADCAST_ROWS, skew_join
 from kerbside.operators.quantiles import exact_quantiles
-from kerbside.session import materialise
+from kerbside.session import materialise, working_tables
 
 COLUMNS = ["speed_limit", "num_vehicles", "num_casualties"]
 TREES = 100
@@ -101,6 +101,13 @@ def detect_anomalies(
     depend on partitioning. Fewer than two usable columns or ten complete rows
     flag nothing.
     """
+    with working_tables() as keep:
+        return _detect(df, contamination, key, seed, keep)
+
+
+def _detect(
+    df: DataFrame, contamination: float, key: str, seed: int, keep: list[DataFrame]
+) -> Anomalies:
     spark = df.sparkSession
     columns = [c for c in COLUMNS if c in df.columns]
     stats_ddl = "n_anomalies BIGINT, percentage DOUBLE, n_rows BIGINT, threshold DOUBLE, features_used ARRAY<STRING>"
@@ -140,6 +147,7 @@ def detect_anomalies(
     )
     schema = ", ".join(f"{c} DOUBLE" for c in columns) + ", n BIGINT, score DOUBLE"
     scored = materialise(profiles.mapInPandas(_scorer(forest, columns, size), schema), "scores")
+    keep.append(scored)  # the flagged table reads it when it is used
     threshold = exact_quantiles(scored, ["score"], contamination, weight="n")["score"]
     flags = scored.withColumn("is_anomaly", F.col("score") < F.lit(threshold))
     found = flags.agg(F.coalesce(F.sum(F.when(F.col("is_anomaly"), F.col("n"))), F.lit(0))).first()[0]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kerbside import schema as S
 from kerbside.functions import scalars as X
 from kerbside.operators.encoding import alphabetical_codes, apply_codes
-from kerbside.session import materialise
+from kerbside.session import materialise, working_tables
 
 NUMERIC = ["speed_limit", "num_vehicles", "num_casualties"]
 BASE_FEATURES = [*NUMERIC, "is_weekend", "hour", "day_of_week", "month"]
@@ -220,12 +220,20 @@ def train_severity(
     df: DataFrame, key: str = "accident_id", seed: int = 42, version: str | None = None
 ) -> SeverityModel:
     """Boosted trees of depth 5 on three counts and five alphabetically coded categories."""
+    with working_tables() as keep:
+        return _train_severity(df, key, seed, version, keep)
+
+
+def _train_severity(
+    df: DataFrame, key: str, seed: int, version: str | None, keep: list[DataFrame]
+) -> SeverityModel:
     spark = df.sparkSession
     coded = [c for c in S.LABEL_COLUMNS if c in df.columns]
     features = [c for c in NUMERIC if c in df.columns] + [f"{c}_encoded" for c in coded]
     if len(features) < 2:
         raise ValueError("Insufficient features")
-    encodings = alphabetical_codes(df, [*coded, "severity"])
+    encodings = materialise(alphabetical_codes(df, [*coded, "severity"]), "encodings")
+    keep.append(encodings)
     labels = [r["value"] for r in encodings.where("column = 'severity'").orderBy("code").collect()]
     table = _numbers(apply_codes(df, encodings), features, F.col("severity_encoded"), key)
     train, test = split(table, key, seed)
@@ -248,6 +256,15 @@ def train_and_select(
     ``df`` carries the derived and encoded columns (see ``plans.features.process``).
     A missing label takes the most frequent one.
     """
+    with working_tables() as keep:
+        kept = materialise(encodings.select("column", "value", "code"), "encodings")
+        keep.append(kept)
+        return _train_and_select(df, kept, key, seed, version, boosted)
+
+
+def _train_and_select(
+    df: DataFrame, encodings: DataFrame, key: str, seed: int, version: str | None, boosted: bool
+) -> SeverityModel:
     spark = df.sparkSession
     features = feature_names(df.columns)
     code = X.severity_code(F.col("severity"))

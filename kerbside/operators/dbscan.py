@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from kerbside.operators.components import connected_components
 from kerbside.operators.joins import BROADCAST_ROWS, SPLIT_ROWS, skew_join
 from kerbside.operators.ordinals import with_ordinal
-from kerbside.session import materialise
+from kerbside.session import materialise, working_tables
 
 _SLACK = 1 - 1e-9          # keeps same-cell distances below eps after rounding
 _ROW = 1 << 32             # cell id = row index * 2^32 + column index (shifted to be positive)
@@ -166,6 +166,13 @@ def dbscan(
     as in a sequential scan. Rows at the same position are merged into one
     weighted location before anything else, with the sums reports need.
     """
+    with working_tables() as keep:
+        clustering = _cluster(df, eps, min_samples, order, split_rows)
+        keep.append(clustering.locations)
+    return clustering
+
+
+def _cluster(df: DataFrame, eps: float, min_samples: int, order: str, split_rows: int) -> Clustering:
     have = set(df.columns)
     casualties = F.col("num_casualties") if "num_casualties" in have else F.lit(None).cast("int")
     severity = F.col("severity") if "severity" in have else F.lit(None).cast("string")

@@ -16,9 +16,10 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.session import materialise
+from kerbside.session import materialise, working_tables
 
 NUMERIC = ["speed_limit", "num_vehicles"]
+MAX_CATEGORIES = 4096  # columns the solver takes
 CATEGORIES = ["weather", "road_type", "light_conditions"]
 _STATS_DDL = (
     "model STRING, fitted BOOLEAN, aic DOUBLE, bic_deviance DOUBLE, bic_llf DOUBLE, pseudo_r2 DOUBLE, "
@@ -72,7 +73,10 @@ def _profiles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def dummy_columns(df: DataFrame, column: str) -> list[tuple[str, Column]]:
     """0/1 indicators per category in alphabetical order, the first category left out."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    if values.count() > MAX_CATEGORIES:
+        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories")
+    values = values.orderBy(column).collect()
     return [
         (f"{column}_{r[0]}", F.coalesce((F.col(column) == r[0]).cast("double"), F.lit(0.0)))
         for r in values[1:]
@@ -81,6 +85,11 @@ def dummy_columns(df: DataFrame, column: str) -> list[tuple[str, Column]]:
 
 def fit_poisson(df: DataFrame) -> CountFit:
     """Poisson regression (log link) on speed, vehicles, weather, road type and light."""
+    with working_tables():
+        return _poisson(df)
+
+
+def _poisson(df: DataFrame) -> CountFit:
     if "num_casualties" not in df.columns:
         return _unfitted(df, "poisson", "num_casualties column not found")
     numeric = [c for c in NUMERIC if c in df.columns]
@@ -88,7 +97,10 @@ def fit_poisson(df: DataFrame) -> CountFit:
     if not numeric + categories:
         return _unfitted(df, "poisson", "Insufficient features")
     table = _profiles(df, numeric + categories)
-    dummies = [d for c in categories for d in dummy_columns(table, c)]
+    try:
+        dummies = [d for c in categories for d in dummy_columns(table, c)]
+    except ValueError as error:
+        return _unfitted(df, "poisson", str(error))
     names = numeric + [name for name, _ in dummies]
     n = table.agg(F.sum("n")).first()[0] or 0
     if n == 0:
@@ -130,6 +142,11 @@ def fit_negative_binomial(df: DataFrame, max_iter: int = 100, tol: float = 1e-8)
     Iteratively reweighted least squares: each round is one aggregate of the
     weighted cross products; only a k x k system reaches the driver.
     """
+    with working_tables():
+        return _negative_binomial(df, max_iter, tol)
+
+
+def _negative_binomial(df: DataFrame, max_iter: int, tol: float) -> CountFit:
     if "num_casualties" not in df.columns:
         return _unfitted(df, "negative_binomial", "num_casualties column not found")
     names = [c for c in NUMERIC if c in df.columns]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kerbside.operators.dbscan import Clustering
 from kerbside.operators.joins import skew_join
 from kerbside.operators.ordinals import with_ordinal
-from kerbside.session import materialise
+from kerbside.session import materialise, working_tables
 
 BLOCK = 20_000   # reference locations per pass, also held by the driver
 _CHUNK = 256     # locations compared with a block at a time
@@ -42,14 +42,14 @@ def _sized(clustering: Clustering) -> tuple[DataFrame, DataFrame, int]:
     return points, clusters, clusters.where("cluster >= 0").count()
 
 
-def _mean(rows: DataFrame) -> DataFrame:
+def _mean(rows: DataFrame) -> float:
     """Weighted mean of (b - a) / max(a, b); members of one-row clusters count 0."""
     s = F.when(F.col("n") > 1, F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).otherwise(F.lit(0.0))
-    return rows.agg((F.sum(F.coalesce(s, F.lit(0.0)) * F.col("w")) / F.sum("w")).alias("silhouette"))
+    return rows.agg(F.sum(F.coalesce(s, F.lit(0.0)) * F.col("w")) / F.sum("w")).first()[0]
 
 
-def _zero(clustering: Clustering) -> DataFrame:
-    return clustering.locations.sparkSession.createDataFrame([(0.0,)], "silhouette DOUBLE")
+def _one_row(clustering: Clustering, value: float) -> DataFrame:
+    return clustering.locations.sparkSession.createDataFrame([(value,)], "silhouette DOUBLE")
 
 
 def silhouette_squared(clustering: Clustering, reach: float) -> DataFrame:
@@ -60,9 +60,14 @@ def silhouette_squared(clustering: Clustering, reach: float) -> DataFrame:
     radius; whatever is found within the radius is final, the few locations
     left over go on with a wider grid.
     """
+    with working_tables():
+        return _one_row(clustering, _squared(clustering, reach))
+
+
+def _squared(clustering: Clustering, reach: float) -> float:
     points, clusters, n_clusters = _sized(clustering)
     if n_clusters <= 1:
-        return _zero(clustering)
+        return 0.0
     split_rows = clustering.split_rows
     own = skew_join(
         points, clusters.select("cluster", "n", "cy", "cx", "spread"), ["cluster"],
@@ -144,9 +149,14 @@ def silhouette_euclidean(clustering: Clustering, block: int = BLOCK) -> DataFram
     Clusters lie side by side in the reference order, so between two passes
     only the sum for the cluster cut by the block boundary is carried over.
     """
+    with working_tables():
+        return _one_row(clustering, _euclidean(clustering, block))
+
+
+def _euclidean(clustering: Clustering, block: int) -> float:
     points, clusters, n_clusters = _sized(clustering)
     if n_clusters <= 1:
-        return _zero(clustering)
+        return 0.0
     sized = skew_join(
         points.drop("y", "x"), clusters.select("cluster", "n"), ["cluster"],
         split_rows=clustering.split_rows, counts=clusters.select("cluster", "rows"),

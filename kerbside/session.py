@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: ContextVar[dict[str, SparkSession] | None] = ContextVar("written", default=None)
+
 
 def get_session(app: str = "kerbside", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators expect; ``conf`` keys use ``__`` for dots."""
@@ -46,12 +51,16 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, removed by Hadoop when the driver exits."""
     path = f"{shared_folder(spark)}/kerbside/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files, target = _hadoop(spark, path)
+    files.deleteOnExit(target)
     return path
 
 
@@ -63,4 +72,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    tables = _written.get()
+    if tables is not None:
+        tables[path] = df.sparkSession
+    return table
+
+
+@contextmanager
+def working_tables() -> Iterator[list[DataFrame]]:
+    """Delete the tables materialised inside the block, except those put on the yielded list.
+
+    Multi-step operators would otherwise leave several copies of their input
+    on the shared folder until the driver exits. Nested blocks hand the tables
+    they keep to the enclosing one.
+    """
+    keep: list[DataFrame] = []
+    outer, mine = _written.get(), {}
+    token = _written.set(mine)
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+        kept = {table._scratch for table in keep}
+        for path, spark in mine.items():
+            if path not in kept:
+                files, target = _hadoop(spark, path)
+                files.delete(target, True)
+            elif outer is not None:
+                outer[path] = spark
