@@ -133,15 +133,15 @@ def severity_code(severity: Column) -> Column:
 
 
 def risk_level(index: Column) -> Column:
-    return band(index, [(25, "Low"), (50, "Medium"), (75, "High")], "Critical")
+    return band(index, *S.RISK_BANDS)
 
 
 def city_level(score: Column) -> Column:
-    return band(score, [(33, "Low"), (66, "Medium")], "High")
+    return band(score, *S.CITY_BANDS)
 
 
 def city_colour(score: Column) -> Column:
-    return band(score, [(33, "green"), (66, "orange")], "red")
+    return band(score, *S.CITY_COLOURS)
 
 
 def marker_colour(severity: Column) -> Column:
@@ -160,17 +160,15 @@ def incident_type(category: Column) -> Column:
 
 
 def delay_severity(magnitude: Column) -> Column:
-    return floor_band(
-        magnitude, [(4, "Critical"), (3, "Major"), (2, "Moderate"), (1, "Minor")], "Low"
-    )
+    return floor_band(magnitude, *S.DELAY_BANDS)
 
 
 def congestion_level(percent: Column) -> Column:
-    return floor_band(percent, [(70, "Critical"), (50, "High"), (30, "Moderate")], "Low")
+    return floor_band(percent, *S.CONGESTION_BANDS)
 
 
 def congestion_colour(percent: Column) -> Column:
-    return floor_band(percent, [(70, "#ff0040"), (50, "#ff6600"), (30, "#ffcc00")], "#00ff88")
+    return floor_band(percent, *S.CONGESTION_COLOURS)
 
 
 # -- model reports ---------------------------------------------------------------
@@ -184,20 +182,15 @@ def _reliable(accuracy: Column, rows: Column, good: str, fair: str, poor: str) -
 
 
 def confidence_level(accuracy: Column, rows: Column) -> Column:
-    return _reliable(accuracy, rows, "High", "Medium", "Low")
+    return _reliable(accuracy, rows, *S.CONFIDENCE_LEVELS)
 
 
 def confidence_colour(accuracy: Column, rows: Column) -> Column:
-    return _reliable(accuracy, rows, "#34A853", "#FBBC05", "#EA4335")
+    return _reliable(accuracy, rows, *S.CONFIDENCE_COLOURS)
 
 
 def confidence_text(accuracy: Column, rows: Column) -> Column:
-    return _reliable(
-        accuracy, rows,
-        "Model predictions are highly reliable",
-        "Model predictions are reasonably reliable",
-        "More data needed for reliable predictions",
-    )
+    return _reliable(accuracy, rows, *S.CONFIDENCE_TEXTS)
 
 
 def impact_band(importance: Column) -> Column:

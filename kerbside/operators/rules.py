@@ -70,48 +70,38 @@ def design_recommendations(df: DataFrame) -> DataFrame:
 
     rules: list[tuple[Column, dict[str, Column]]] = []
 
-    def rule(test, category, priority, issue, recommendation, impact) -> None:
+    def rule(category: str, test: Column, *issue: Column) -> None:
+        priority, recommendation, impact = S.DESIGN_TEXTS[category]
         rules.append((test, {
-            "category": F.lit(category), "priority": F.lit(priority), "issue": issue,
+            "category": F.lit(category), "priority": F.lit(priority), "issue": F.concat(*issue),
             "recommendation": F.lit(recommendation), "expected_impact": F.lit(impact),
         }))
 
+    def counted(name: str, ending: str) -> list[Column]:
+        return [F.col(name).cast("string"), F.lit(" accidents ("), share(name), F.lit(f"%) {ending}")]
+
     if "junction_type" in have:
         worst = groups_above_median(df, "junction_type", "severity_score")
         listing = worst.agg(F.array_join(F.sort_array(F.collect_list("junction_type")), ", "))
         row = row.withColumn("junctions", listing.scalar())
-        rule(F.col("junctions") != "", "Junction Design", "High",
-             F.concat(F.lit("High-risk junction types: "), "junctions"),
-             "Consider installing traffic signals, improving visibility, or adding dedicated turn lanes at these junction types.",
-             "Potential 20-30% reduction in junction-related accidents")
+        rule("Junction Design", F.col("junctions") != "",
+             F.lit("High-risk junction types: "), F.col("junctions"))
     if "wet" in facts:
-        rule(F.col("wet") > total * 0.3, "Road Surface", "High",
-             F.concat("wet", F.lit(" accidents ("), share("wet"), F.lit("%) occurred on wet/icy surfaces")),
-             "Improve drainage systems, apply anti-skid treatments, and install weather warning signs.",
-             "Potential 15-25% reduction in weather-related accidents")
+        rule("Road Surface", F.col("wet") > total * 0.3, *counted("wet", "occurred on wet/icy surfaces"))
     if "dark" in facts:
-        rule(F.col("dark") > total * 0.35, "Lighting Infrastructure", "Medium",
-             F.concat("dark", F.lit(" accidents ("), share("dark"), F.lit("%) occurred in dark conditions")),
-             "Enhance street lighting, install reflective road markings, and add LED road studs.",
-             "Potential 10-20% reduction in night-time accidents")
+        rule("Lighting Infrastructure", F.col("dark") > total * 0.35,
+             *counted("dark", "occurred in dark conditions"))
     if "fast_score" in facts:
-        fast = F.coalesce("fast_score", F.lit(0.0))
-        slow = F.coalesce("slow_score", F.lit(0.0))
-        excess = _one_decimal((F.try_divide(fast, slow) - 1) * 100)
-        rule(fast > slow * 1.3, "Speed Management", "High",
-             F.concat(F.lit("High-speed roads show "), excess, F.lit("% higher severity scores")),
-             "Implement variable speed limits, install speed cameras, and add traffic calming measures.",
-             "Potential 25-35% reduction in severe accidents on high-speed roads")
+        fast, slow = F.coalesce("fast_score", F.lit(0.0)), F.coalesce("slow_score", F.lit(0.0))
+        rule("Speed Management", fast > slow * 1.3,
+             F.lit("High-speed roads show "), _one_decimal((F.try_divide(fast, slow) - 1) * 100),
+             F.lit("% higher severity scores"))
     if "fog" in facts:
-        rule(F.col("fog") > 5, "Weather Warning Systems", "Medium",
-             F.concat("fog", F.lit(" fog-related accidents with avg severity of "), _one_decimal(F.col("fog_score"))),
-             "Install fog detection sensors, variable message signs, and automatic speed reduction systems.",
-             "Potential 20-30% reduction in fog-related accidents")
+        rule("Weather Warning Systems", F.col("fog") > 5,
+             F.col("fog").cast("string"), F.lit(" fog-related accidents with avg severity of "),
+             _one_decimal(F.col("fog_score")))
     if "rush" in facts:
-        rule(F.col("rush") > total * 0.4, "Traffic Flow Management", "Medium",
-             F.concat("rush", F.lit(" accidents ("), share("rush"), F.lit("%) during rush hours")),
-             "Implement intelligent traffic signals, create dedicated bus lanes, and improve intersection timing.",
-             "Potential 15-20% reduction in rush hour accidents")
+        rule("Traffic Flow Management", F.col("rush") > total * 0.4, *counted("rush", "during rush hours"))
     return _fired(row, rules)
 
 
@@ -139,51 +129,31 @@ def priority_recommendations(df: DataFrame, n_hotspots: Column | int = 0) -> Dat
 
     rules: list[tuple[Column, dict[str, Column]]] = []
 
-    def rule(test, category, recommendation, action, impact, priority, reduction, cost) -> None:
+    def rule(category: str, test: Column, impact: Column | None = None, priority: Column | None = None) -> None:
+        points, urgency, recommendation, action, reduction, cost = S.PRIORITY_TEXTS[category]
+        text = F.replace(F.lit(recommendation), F.lit("{n}"), F.col("spots").cast("string"))
         rules.append((test, {
-            "category": F.lit(category),
-            "recommendation": recommendation if isinstance(recommendation, Column) else F.lit(recommendation),
-            "specific_action": F.lit(action),
-            "impact_score": (impact if isinstance(impact, Column) else F.lit(impact)).cast("int"),
-            "priority": priority if isinstance(priority, Column) else F.lit(priority),
+            "category": F.lit(category), "recommendation": text, "specific_action": F.lit(action),
+            "impact_score": (F.lit(points) if impact is None else impact).cast("int"),
+            "priority": F.lit(urgency) if priority is None else priority,
             "estimated_reduction": F.lit(reduction), "cost_level": F.lit(cost),
         }))
 
     if "fast" in facts:
-        rule(F.col("fast") > total * 0.2, "Speed Control",
-             "Reduce speed limits in high-accident zones",
-             "Install speed cameras and reduce limits to 50 km/h",
-             F.least(F.lit(90), F.lit(50) + F.col("fast_fatal") * 10),
-             F.when(F.col("fast_fatal") > 0, F.lit("Critical")).otherwise(F.lit("High")),
-             "25-40% fewer severe accidents", "Medium")
+        deadly = F.col("fast_fatal")
+        rule("Speed Control", F.col("fast") > total * 0.2,
+             F.least(F.lit(90), F.lit(50) + deadly * 10),
+             F.when(deadly > 0, F.lit("Critical")).otherwise(F.lit("High")))
     if "at_junction" in facts:
-        rule(F.col("at_junction") > total * 0.3, "Junction Redesign",
-             "Convert dangerous intersections to roundabouts",
-             "Prioritize junctions with 5+ accidents for redesign",
-             85, "High", "35-50% fewer junction accidents", "High")
+        rule("Junction Redesign", F.col("at_junction") > total * 0.3)
     if "dark" in facts:
-        rule(F.col("dark") > total * 0.25, "Lighting Improvement",
-             "Install LED street lighting in dark zones",
-             "Focus on areas with nighttime accident clusters",
-             70, "Medium", "15-20% fewer night accidents", "Medium")
+        rule("Lighting Improvement", F.col("dark") > total * 0.25)
     if "wet" in facts:
-        rule(F.col("wet") > total * 0.2, "Road Surface",
-             "Improve drainage and install anti-skid surfaces",
-             "Target roads with frequent wet-condition accidents",
-             65, "Medium", "15-25% fewer weather-related accidents", "High")
+        rule("Road Surface", F.col("wet") > total * 0.2)
     if "fog" in facts:
-        rule(F.col("fog") > 5, "Visibility Enhancement",
-             "Install fog warning systems and reflective markers",
-             "Deploy automatic fog detection on prone routes",
-             55, "Medium", "10-20% fewer fog-related accidents", "Low")
-    rule(F.col("spots") > 3, "Traffic Calming",
-         F.concat(F.lit("Deploy traffic calming measures at "), "spots", F.lit(" identified hotspots")),
-         "Install speed bumps, chicanes, and pedestrian islands",
-         80, "High", "20-30% fewer accidents in hotspot areas", "Medium")
-    rule(F.lit(True), "Signage Improvement",
-         "Upgrade warning signs and road markings",
-         "Install larger, reflective signs at high-risk locations",
-         45, "Low", "5-10% improvement in driver awareness", "Low")
+        rule("Visibility Enhancement", F.col("fog") > 5)
+    rule("Traffic Calming", F.col("spots") > 3)
+    rule("Signage Improvement", F.lit(True))
 
     by_impact = Window.orderBy(F.desc("impact_score"), "rule_no")  # at most seven rows
     return (

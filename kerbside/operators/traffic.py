@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside import schema as S
 from kerbside.functions import scalars as X
 from kerbside.operators.joins import BROADCAST_ROWS, skew_join
 from kerbside.operators.spatial import bounding_box
@@ -128,16 +129,12 @@ def incident_cards(incidents: DataFrame) -> DataFrame:
 
 def incidents_to_accidents(incidents: DataFrame, now: Column) -> DataFrame:
     """Feed incidents as rows of the accident table, dated ``now``."""
-    severity = X.pick(
-        F.col("severity"),
-        {"Critical": "Fatal", "Major": "Serious", "Moderate": "Serious", "Minor": "Minor", "Low": "Minor"},
-        "Minor",
-    )
+    severity = X.pick(F.col("severity"), S.FEED_SEVERITIES, "Minor")
     daylight = F.hour(now).between(6, 18)
     return incidents.withColumn("severity", severity).withColumns({
         "date": F.to_date(now),
         "time": F.date_format(now, "HH:mm"),
-        "num_casualties": X.pick(F.col("severity"), {"Fatal": 2, "Serious": 1, "Minor": 0}, 0),
+        "num_casualties": X.pick(F.col("severity"), S.FEED_CASUALTIES, 0),
         "num_vehicles": F.lit(1),
         "speed_limit": F.lit(50),
         "weather": F.lit("Clear"),

@@ -133,3 +133,89 @@ FEATURE_TEXT = {
     "road_surface_encoded": "Wet or icy roads increase danger",
     "junction_type_encoded": "Complex junctions are more dangerous",
 }
+
+# Bands: (bound, label); the last label has no bound.
+RISK_BANDS = ([(25, "Low"), (50, "Medium"), (75, "High")], "Critical")                       # below
+CITY_BANDS = ([(33, "Low"), (66, "Medium")], "High")                                         # below
+CITY_COLOURS = ([(33, "green"), (66, "orange")], "red")                                      # below
+DELAY_BANDS = ([(4, "Critical"), (3, "Major"), (2, "Moderate"), (1, "Minor")], "Low")        # from
+CONGESTION_BANDS = ([(70, "Critical"), (50, "High"), (30, "Moderate")], "Low")               # from
+CONGESTION_COLOURS = ([(70, "#ff0040"), (50, "#ff6600"), (30, "#ffcc00")], "#00ff88")        # from
+CONFIDENCE_LEVELS = ("High", "Medium", "Low")
+CONFIDENCE_COLOURS = ("#34A853", "#FBBC05", "#EA4335")
+CONFIDENCE_TEXTS = (
+    "Model predictions are highly reliable",
+    "Model predictions are reasonably reliable",
+    "More data needed for reliable predictions",
+)
+
+# Feed severities as accident severities, and the casualties assumed for each.
+FEED_SEVERITIES = {"Critical": "Fatal", "Major": "Serious", "Moderate": "Serious", "Minor": "Minor", "Low": "Minor"}
+FEED_CASUALTIES = {"Fatal": 2, "Serious": 1, "Minor": 0}
+
+# Road-design rules: category -> priority, recommendation, expected impact.
+DESIGN_TEXTS = {
+    "Junction Design": (
+        "High",
+        "Consider installing traffic signals, improving visibility, or adding dedicated turn lanes at these junction types.",
+        "Potential 20-30% reduction in junction-related accidents",
+    ),
+    "Road Surface": (
+        "High",
+        "Improve drainage systems, apply anti-skid treatments, and install weather warning signs.",
+        "Potential 15-25% reduction in weather-related accidents",
+    ),
+    "Lighting Infrastructure": (
+        "Medium",
+        "Enhance street lighting, install reflective road markings, and add LED road studs.",
+        "Potential 10-20% reduction in night-time accidents",
+    ),
+    "Speed Management": (
+        "High",
+        "Implement variable speed limits, install speed cameras, and add traffic calming measures.",
+        "Potential 25-35% reduction in severe accidents on high-speed roads",
+    ),
+    "Weather Warning Systems": (
+        "Medium",
+        "Install fog detection sensors, variable message signs, and automatic speed reduction systems.",
+        "Potential 20-30% reduction in fog-related accidents",
+    ),
+    "Traffic Flow Management": (
+        "Medium",
+        "Implement intelligent traffic signals, create dedicated bus lanes, and improve intersection timing.",
+        "Potential 15-20% reduction in rush hour accidents",
+    ),
+}
+
+# Priority rules: category -> impact, priority, recommendation, action, estimated reduction, cost.
+# Speed Control's impact and priority depend on fatal accidents; {n} is the number of hotspots.
+PRIORITY_TEXTS = {
+    "Speed Control": (
+        None, None, "Reduce speed limits in high-accident zones",
+        "Install speed cameras and reduce limits to 50 km/h", "25-40% fewer severe accidents", "Medium",
+    ),
+    "Junction Redesign": (
+        85, "High", "Convert dangerous intersections to roundabouts",
+        "Prioritize junctions with 5+ accidents for redesign", "35-50% fewer junction accidents", "High",
+    ),
+    "Lighting Improvement": (
+        70, "Medium", "Install LED street lighting in dark zones",
+        "Focus on areas with nighttime accident clusters", "15-20% fewer night accidents", "Medium",
+    ),
+    "Road Surface": (
+        65, "Medium", "Improve drainage and install anti-skid surfaces",
+        "Target roads with frequent wet-condition accidents", "15-25% fewer weather-related accidents", "High",
+    ),
+    "Visibility Enhancement": (
+        55, "Medium", "Install fog warning systems and reflective markers",
+        "Deploy automatic fog detection on prone routes", "10-20% fewer fog-related accidents", "Low",
+    ),
+    "Traffic Calming": (
+        80, "High", "Deploy traffic calming measures at {n} identified hotspots",
+        "Install speed bumps, chicanes, and pedestrian islands", "20-30% fewer accidents in hotspot areas", "Medium",
+    ),
+    "Signage Improvement": (
+        45, "Low", "Upgrade warning signs and road markings",
+        "Install larger, reflective signs at high-risk locations", "5-10% improvement in driver awareness", "Low",
+    ),
+}
