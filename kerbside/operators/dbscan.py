@@ -300,8 +300,10 @@ def _cluster(df: DataFrame, eps: float, min_samples: int, order: str, split_rows
 def label_rows(df: DataFrame, clustering: Clustering) -> DataFrame:
     """Add ``cluster`` to each row; noise and rows without position get -1."""
     labels = clustering.locations.select("latitude", "longitude", "cluster")
-    found = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     on = clustering.coordinates
+    found = F.lit(True)
+    for c in on:
+        found = found & F.col(c).isNotNull() & ~F.coalesce(F.isnan(c), F.lit(False))
     rows = clustering.locations.select(*on, F.col("w").alias("rows"))
     located = skew_join(
         df.where(found), labels, on, "left", split_rows=clustering.split_rows, counts=rows
