@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,79 +9,37 @@ from kerbside.operators.joins import SPLIT_ROWS, skew_join
 from kerbside.session import materialise
 
 
-# Graphs up to this many edges are merged by one task (16 MB of ids).
-SINGLE_TASK_EDGES = 1_000_000
-
-
-def _roots(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Smallest id of each component among a bounded set of edges."""
-    ids, place = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
-    a, b = place.reshape(-1, 2).T
-    root = np.arange(len(ids))
-    while True:
-        low = np.minimum(root[a], root[b])
-        hooked = root.copy()
-        np.minimum.at(hooked, root[a], low)
-        np.minimum.at(hooked, root[b], low)
-        while (hooked[hooked] != hooked).any():
-            hooked = hooked[hooked]
-        hooked = hooked[root]
-        if (hooked == root).all():
-            return pd.DataFrame({"node": ids, "root": ids[root]})
-        root = hooked
-
-
 def _relabel(edges: DataFrame, roots: DataFrame, split_rows: int, n_edges: int) -> DataFrame:
     """Replace both ends by their roots; drop loops and repeats."""
     for end in ("a", "b"):
         table = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-        edges = skew_join(edges, table, [end], "left", split_rows=split_rows, left_rows=n_edges)
-    low, high = F.coalesce("a_root", "a"), F.coalesce("b_root", "b")
+        edges = skew_join(edges, table, [end], split_rows=split_rows, left_rows=n_edges)
+    low, high = F.col("a_root"), F.col("b_root")
     return (
         edges.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b"))
         .where("a <> b").distinct()
     )
 
 
-def _merge_groups(edges: DataFrame, group: Column) -> DataFrame:
-    """Components among the edges of each group; a null group is left out."""
-    return materialise(
-        edges.withColumn("_group", group).where("_group IS NOT NULL")
-        .groupBy("_group").applyInPandas(lambda pdf: _roots(pdf), "node BIGINT, root BIGINT"),
-        "roots",
-    )
-
-
-def connected_components(
-    edges: DataFrame,
-    tile: Column | None = None,
-    split_rows: int = SPLIT_ROWS,
-    single_task_edges: int = SINGLE_TASK_EDGES,
-) -> DataFrame:
+def connected_components(edges: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``, which should be a written table.
 
-    A graph of at most ``single_task_edges`` edges is finished at once. A
-    larger one is first merged per ``tile``: a bounded patch holding both ends
-    of an edge (null when the ends lie in different patches). What remains is
-    contracted round by round: every node joins its neighbour (or itself) of
-    smallest hash, which shrinks the graph by a constant factor whatever its
-    shape, with no node gathering its neighbours into one task.
+    The graph is contracted round by round: every node joins its neighbour (or
+    itself) of lowest rank, and edges inside a joined node disappear. The rank
+    is the id in the first round, which folds a star around its smallest id at
+    once, and a fresh hash later, which shrinks a graph of any shape by a
+    constant factor. No node gathers its neighbours into one task. The root is
+    some node of the component, the same for all of its nodes.
     """
     edges = edges.select("a", "b")
     merges: list[DataFrame] = []
     rest, n_rest, turn = edges, edges.count(), 0
     while n_rest:
-        if n_rest <= single_task_edges:
-            merges.append(_merge_groups(rest, F.lit(0)))
-            break
-        if turn == 0 and tile is not None:
-            roots = _merge_groups(rest, tile)
-        else:
-            ends = rest.unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            best = F.least(F.min(_ranked("b", turn)), F.min(_ranked("a", turn)))
-            roots = materialise(
-                ends.groupBy(F.col("a").alias("node")).agg(best["id"].alias("root")), "roots"
-            )
+        ends = rest.unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        best = F.least(F.min(_ranked("b", turn)), F.min(_ranked("a", turn)))
+        roots = materialise(
+            ends.groupBy(F.col("a").alias("node")).agg(best["id"].alias("root")), "roots"
+        )
         merges.append(roots)
         rest = materialise(_relabel(rest, roots, split_rows, n_rest), "edges")
         n_rest = rest.count()
@@ -103,4 +59,5 @@ def connected_components(
 
 
 def _ranked(column: str, turn: int) -> Column:
-    return F.struct(F.xxhash64(F.col(column), F.lit(turn)).alias("h"), F.col(column).alias("id"))
+    rank = F.xxhash64(F.col(column), F.lit(turn)) if turn else F.col(column)
+    return F.struct(rank.alias("h"), F.col(column).alias("id"))

@@ -34,7 +34,6 @@ _SLACK = 1 - 1e-9          # keeps same-cell distances below eps after rounding
 _ROW = 1 << 32             # cell id = row index * 2^32 + column index (shifted to be positive)
 _MIDDLE = 1 << 31
 _SPLIT = 4                 # sub-boxes per axis and level
-_TILE_BITS = 7             # 128 x 128 cells are merged in one task: at most 16 384 nodes
 _LISTED_POINTS = 32         # cells up to this size carry their points into the link test
 _REACH = range(-2, 3)
 _NEAR = [dx * _ROW + dy for dx in _REACH for dy in _REACH]
@@ -164,7 +163,9 @@ def dbscan(
     Clusters are numbered from 0 by their first core row in ``order``; a
     border point takes the smallest cluster number among its core neighbours,
     as in a sequential scan. Rows at the same position are merged into one
-    weighted location before anything else, with the sums reports need.
+    weighted location before anything else, with the sums reports need. Rows
+    without a finite position within 2^31 cells of the origin are not placed:
+    ``label_rows`` reports them as noise.
     """
     with working_tables() as keep:
         clustering = _cluster(df, eps, min_samples, order, split_rows)
@@ -181,8 +182,8 @@ def _cluster(df: DataFrame, eps: float, min_samples: int, order: str, split_rows
     u, v = F.col("latitude") / side, F.col("longitude") / side
     locations = materialise(
         df.where(
-            F.col("latitude").isNotNull() & ~F.isnan("latitude")
-            & F.col("longitude").isNotNull() & ~F.isnan("longitude")
+            # NaN compares as larger than any limit, null as unknown
+            (F.abs(u) < _MIDDLE - 4) & (F.abs(v) < _MIDDLE - 4)
         )
         .groupBy("latitude", "longitude")
         .agg(
@@ -195,11 +196,7 @@ def _cluster(df: DataFrame, eps: float, min_samples: int, order: str, split_rows
         .withColumn("cell", F.floor("u") * _ROW + F.floor("v") + _MIDDLE),
         "locations",
     )
-    n_locations, edge = locations.agg(
-        F.count(F.lit(1)), F.max(F.greatest(F.abs("u"), F.abs("v")))
-    ).first()
-    if edge is not None and edge >= _MIDDLE - 4:
-        raise ValueError("eps is too small for the range of the coordinates")
+    n_locations = locations.count()
 
     weights = locations.groupBy("cell").agg(
         F.sum("w").alias("cell_weight"), F.count(F.lit(1)).alias("cell_locations")
@@ -244,11 +241,7 @@ def _cluster(df: DataFrame, eps: float, min_samples: int, order: str, split_rows
     core = dense.withColumn("core", F.lit(True)).unionByName(thin_core)
 
     links = _cell_links(core, reach)
-    row = lambda c: F.shiftright(F.col(c), 32 + _TILE_BITS)
-    column = lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit(_ROW - 1)), _TILE_BITS)
-    same = (row("a") == row("b")) & (column("a") == column("b"))
-    tile = F.when(same, row("a") * _ROW + column("a"))
-    joined = connected_components(links, tile, split_rows).withColumnRenamed("node", "cell")
+    joined = connected_components(links, split_rows).withColumnRenamed("node", "cell")
 
     core_cells = core.groupBy("cell").agg(F.min("first_row").alias("first_row"))
     rooted = materialise(

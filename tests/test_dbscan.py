@@ -52,11 +52,9 @@ def test_equals_brute_force(spark, shape, eps, min_samples):
 
 
 def test_large_scale_paths(spark, monkeypatch):
-    """Box splitting, tile merging, contraction and key splitting, forced on small data."""
-    monkeypatch.setattr(components, "SINGLE_TASK_EDGES", 0)
-    monkeypatch.setattr(components.connected_components, "__defaults__", (None, 1, 0))
+    """Box splitting and key splitting, forced on small data."""
+    monkeypatch.setattr(components.connected_components, "__defaults__", (1,))
     monkeypatch.setattr(D._cell_links, "__defaults__", (0,))
-    monkeypatch.setattr(D, "_TILE_BITS", 2)
     points = shapes()["mixed"]
     df = table(spark, points).repartition(5, "longitude")
     found = D.label_rows(df, D.dbscan(df, 0.0371, 4, "row_id", split_rows=1)).orderBy("row_id")
@@ -79,8 +77,14 @@ def test_empty_table(spark):
     assert D.cluster_counts(D.dbscan(df, 0.01, 3, "row_id")).first().asDict() == {"n_clusters": 0, "noise_points": 0}
 
 
-@pytest.mark.parametrize("single", [0, 1000])
-def test_components(spark, single):
+def test_far_and_infinite_positions_are_noise(spark):
+    points = np.array([[0, 0], [0, 0.001], [0, 0.002], [3e7, 1], [np.inf, 0], [np.nan, 0]])
+    df = table(spark, points)
+    found = D.label_rows(df, D.dbscan(df, 0.0101, 3, "row_id")).orderBy("row_id")
+    assert [r["cluster"] for r in found.collect()] == [0, 0, 0, -1, -1, -1]
+
+
+def test_components(spark):
     pairs = [(i, i + 1) for i in range(60) if i % 13] + [(100, i) for i in range(101, 140)] + [(7, 100)]
     edges = spark.createDataFrame(pairs, "a BIGINT, b BIGINT")
     parent = {}
@@ -92,7 +96,7 @@ def test_components(spark, single):
     for a, b in pairs:
         parent[find(a)] = find(b)
     got = {}
-    for r in components.connected_components(edges, None, split_rows=1, single_task_edges=single).collect():
+    for r in components.connected_components(edges, split_rows=1).collect():
         got.setdefault(r["root"], set()).add(r["node"])
     want = {}
     for x in list(parent):
