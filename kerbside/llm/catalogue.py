@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import decontaminate, mixing, simhash
+from kerbside.llm import decontaminate, langid, mixing, secrets, simhash
 from kerbside.llm.common import documents
 
 QUERIES: dict = {}
@@ -67,6 +67,12 @@ FROM queued q LEFT JOIN (SELECT doc_id, sum(size) AS taken FROM merged WHERE fit
 """
 
 
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each document."""
+    return secrets.report(documents(spark, sf_dir))
+
+
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in each document."""
@@ -104,6 +110,12 @@ FROM folded LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document."""
+    return langid.report(documents(spark, sf_dir))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of each document by SimHash."""
