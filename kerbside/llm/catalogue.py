@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import decontaminate, langid, mixing, secrets, simhash
+from kerbside.llm import decontaminate, langid, mixing, repeats, secrets, simhash
 from kerbside.llm.common import documents
 
 QUERIES: dict = {}
@@ -110,6 +110,12 @@ FROM folded LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@query
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of each document once repeated windows of 20 words are removed."""
+    return repeats.report(documents(spark, sf_dir))
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document."""
