@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import decontaminate, langid, mixing, repeats, secrets, simhash
+from kerbside.llm import decontaminate, langid, mixing, personal, repeats, secrets, simhash, vectors
 from kerbside.llm.common import documents
 
 QUERIES: dict = {}
@@ -127,3 +127,33 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of each document by SimHash."""
     found = simhash.components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document."""
+    return personal.report(documents(spark, sf_dir))
+
+
+@query
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of each embedding by cosine."""
+    return vectors.components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+# No pair has a cosine within 1e-6 of the threshold, so summation order does not matter.
+ORACLES["op10_vectors"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b
+  WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM named LEFT JOIN counted USING (vec_id)
+"""
