@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import decontaminate, langid, mixing, personal, repeats, secrets, simhash, vectors
+import corpus_pipeline
+from kerbside.llm import decontaminate, langid, mixing, personal, repeats, secrets, simhash, token_shards, vectors, warc
 from kerbside.llm.common import documents
 
 QUERIES: dict = {}
@@ -25,6 +26,11 @@ def oracles() -> dict[str, str]:
     return dict(ORACLES)
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 @query
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
@@ -73,6 +79,34 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+@query
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage located in a replica of the pages' WARC files, of which one record in 64 is damaged."""
+    return warc.trial(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+ORACLES["op3_warc_audit"] = r"""
+WITH marked AS (
+  SELECT page_id, html, md5(page_id::VARCHAR) AS mark, strlen(coalesce(html, '')) AS size,
+         regexp_replace(coalesce(url, ''), '[\x00-\x20]', '_', 'g') AS url FROM pages),
+placed AS (
+  SELECT *, ('0x' || substr(mark, 1, 8))::BIGINT % (SELECT 1 + sum(size) // 8388608 FROM marked) AS shard,
+         -- the field names, separators and fixed values of a record, and the two blank lines
+         191 + 64 + strlen(page_id::VARCHAR) + strlen(url) + length(size::VARCHAR) + size AS length FROM marked)
+SELECT page_id, shard::BIGINT AS shard, "offset"::BIGINT AS "offset", length::BIGINT AS length,
+       CASE WHEN mark[1:2] IN ('00', '40') THEN 'changed' ELSE 'unreadable' END AS status
+FROM (SELECT *, coalesce(sum(length) OVER (
+        PARTITION BY shard ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM placed)
+WHERE size > 0 AND mark[1:2] IN ('00', '40', '80', 'c0')
+"""
+
+
+@query
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index of the token shards written from the documents, one row per sequence."""
+    return token_shards.write_shards(documents(spark, sf_dir), token_shards.shard_path(spark))
+
+
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in each document."""
