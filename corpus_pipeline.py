@@ -52,7 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again; a stage's input goes when it is done."""
+    """All stages over documents, each written as Parquet and read again; what a stage writes besides goes when it is done."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         with working_tables() as keep:
