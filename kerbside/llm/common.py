@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Rows handed to a Python worker at once: texts may be long, so few of them travel together.
 BATCH_ROWS = 512
@@ -22,6 +23,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def column(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(names: list[str]) -> list[Column]:
+    """Columns under neutral names ``_kept_0``, ``_kept_1`` ..., so that none clashes with working columns."""
+    return [column(name).alias(f"_kept_{i}") for i, name in enumerate(names)]
+
+
+def restored(names: list[str]) -> list[Column]:
+    """The numbered columns under their own names again."""
+    return [F.col(f"_kept_{i}").alias(name) for i, name in enumerate(names)]
+
+
+def numbered_schema(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"_kept_{i} {df.schema[name].dataType.simpleString()}, " for i, name in enumerate(names))
+
+
 def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each id of the links (a, b) with the smallest id it is connected to, itself left out.
 

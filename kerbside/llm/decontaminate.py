@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import small_batches
+from kerbside.llm.common import numbered, numbered_schema, restored, small_batches
 from kerbside.session import materialise, working_tables
 
 WINDOW = 10
@@ -134,7 +134,7 @@ def _blocks(pieces: DataFrame, block_words: int) -> Iterator[list[tuple[bytes, s
 def scan(
     docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """The columns ``keep`` of every document with ``_n_words``, ``_n_hit`` and ``_items`` (sorted ids found).
+    """The columns ``keep`` of every document, numbered, with ``n_words``, ``n_hit`` and ``items`` (sorted ids found).
 
     A window is ``window`` consecutive words of an item, or the whole item if
     it has fewer words. Null and wordless texts have no words, null item ids
@@ -144,8 +144,9 @@ def scan(
     context = docs.sparkSession.sparkContext
     with working_tables():
         blocks = [context.broadcast(block) for block in _blocks(_pieces(benchmark, window), block_words)]
-    rows = docs.select(*keep, F.col("text").alias("_searched") if "text" not in keep else F.lit(None).alias("_searched"))
+    rows = docs.select(*numbered(keep), *([] if "text" in keep else ["text"]))
     place = keep.index("text") if "text" in keep else len(keep)
+    names = [*rows.columns[:len(keep)], "n_words", "n_hit", "items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, Patterns] | None = None
@@ -166,10 +167,10 @@ def scan(
                     pa.array([h.count(1) if h else 0 for h in hits], pa.int64()),
                     pa.array([sorted(f) for f in found], pa.list_(pa.string())),
                 ],
-                [*keep, "_n_words", "_n_hit", "_items"])
+                names)
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return small_batches(rows).mapInArrow(run, f"{kinds}_n_words bigint, _n_hit bigint, _items array<string>")
+    return small_batches(rows).mapInArrow(
+        run, f"{numbered_schema(docs, keep)}n_words bigint, n_hit bigint, items array<string>")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -178,13 +179,13 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     Rows with equal doc_id are reported each; cases as in ``scan``.
     """
     return scan(docs, benchmark, ["doc_id"], window).select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        (F.col("_n_hit") > 0).alias("contaminated"),
+        *restored(["doc_id"]), "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window, columns unchanged."""
-    return scan(docs, benchmark, docs.columns, window).where("_n_hit = 0").select(*docs.columns)
+    return scan(docs, benchmark, docs.columns, window).where("n_hit = 0").select(*restored(docs.columns))

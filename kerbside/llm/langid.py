@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import small_batches
+from kerbside.llm.common import numbered, numbered_schema, restored, small_batches
 from kerbside.session import materialise, working_tables
 
 N = 4
@@ -130,16 +130,17 @@ def _rates(model: Model, codes: np.ndarray) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every document with ``_lang``, ``_score`` and ``_rate``.
+    """The columns ``keep`` of every document, numbered, with ``lang_pred``, ``score`` and ``rate``.
 
-    ``_score`` is the winner's part of all languages' rates, ``_rate`` the
+    ``score`` is the winner's part of all languages' rates, ``rate`` the
     winner's rate (near 1 for ordinary text of that language). Texts that are
     null or have no letter, and all texts if nothing was learned, are ``und``
     with score 0. Ties go to the language first in order. Only the text counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
-    rows = docs.select(*keep, F.col("text").alias("_read") if "text" not in keep else F.lit(None).alias("_read"))
+    rows = docs.select(*numbered(keep), *([] if "text" in keep else ["text"]))
     place = keep.index("text") if "text" in keep else len(keep)
+    names = [*rows.columns[:len(keep)], "lang_pred", "score", "rate"]
 
     def predict(model: Model, text: str | None) -> tuple[str, float, float]:
         if not text or not model.languages or not _LETTER.search(text):
@@ -157,10 +158,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(keep))]
                 + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())],
-                [*keep, "_lang", "_score", "_rate"])
+                names)
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return small_batches(rows).mapInArrow(run, f"{kinds}_lang string, _score double, _rate double")
+    return small_batches(rows).mapInArrow(
+        run, f"{numbered_schema(docs, keep)}lang_pred string, score double, rate double")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -169,8 +170,8 @@ def report(docs: DataFrame) -> DataFrame:
     Rows with equal doc_id are predicted each. An empty table, or one without
     labels, teaches nothing, and every text is ``und``.
     """
-    found = identify(docs, fit(docs.where(~held_out())), ["doc_id"])
-    return found.select("doc_id", held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    found = identify(docs, fit(docs.where(~held_out())), ["doc_id"]).withColumnRenamed("_kept_0", "doc_id")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, min_rate: float = MIN_RATE) -> DataFrame:
@@ -180,4 +181,5 @@ def keep_identified(docs: DataFrame, min_rate: float = MIN_RATE) -> DataFrame:
     knows fewer than ``min_rate`` of the n-grams it knows of its own text.
     """
     found = identify(docs, fit(docs.where(~held_out())), docs.columns)
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_rate") >= min_rate)).select(*docs.columns)
+    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("rate") >= min_rate)
+    return found.where(kept).select(*restored(docs.columns))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.llm.common import numbered, restored
 from kerbside.operators.ordinals import with_ordinal
 from kerbside.session import materialise, working_tables
 
@@ -174,18 +175,17 @@ def mix(
             "mix",
         )
         keep.append(decided)
-    key = [F.col("doc_id"), F.col("source"), F.col("_size")]
-    names = docs.columns
-    left = docs.withColumn("_size", word_count()).withColumn(
-        "_twin", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    right = decided.select(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_words"), "copies",
-    ).where("copies > 0")
+    keys = ["_doc", "_source", "_size"]
+    left = docs.select(
+        *numbered(docs.columns), F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), word_count().alias("_size"))
+    left = left.withColumn("_twin", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    right = decided.where("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_words"), "copies")
     right = right.withColumn("_rank", F.row_number().over(
-        Window.partitionBy("_doc", "_source", "_words").orderBy(F.desc("copies"))))
-    return (
-        left.join(right, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source"))
-                  & (F.col("_size") == F.col("_words")) & (F.col("_twin") == F.col("_rank")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*names)
+        Window.partitionBy("_id", "_from", "_words").orderBy(F.desc("copies"))))
+    same = (
+        F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_source").eqNullSafe(F.col("_from"))
+        & (F.col("_size") == F.col("_words")) & (F.col("_twin") == F.col("_rank"))
     )
+    copied = left.join(right, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copied.select(*restored(docs.columns))

@@ -112,7 +112,8 @@ def _scores(edges: DataFrame, rounds: int, min_seeds: int, min_confidence: float
         if turn == rounds - 1 or patterns.isEmpty():
             break
         vouched = skew_join(graph, patterns, ["pattern"], "left")
-        doubt = F.coalesce(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))), F.lit(0.0))
+        unsure = F.when(F.col("confidence").isNotNull(), F.greatest(1 - F.col("confidence"), F.lit(1e-12)))
+        doubt = F.coalesce(F.sum(F.log(unsure)), F.lit(0.0))
         scores = materialise(
             vouched.groupBy("token").agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
             .select("token", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("doubt")).alias("score")),

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import small_batches, spanning_links
+from kerbside.llm.common import column, small_batches, spanning_links
 from kerbside.operators.components import connected_components
 from kerbside.operators.joins import skew_join
 from kerbside.session import materialise, working_tables
@@ -221,11 +221,9 @@ def deduplicate(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: i
     kept = materialise(
         named.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     single = docs.join(kept.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    result = single.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    result = single.select(*map(column, docs.columns)).unionByName(docs.where("doc_id IS NULL"))
     twins = kept.where("n > 1").select("doc_id")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    if not rest or twins.isEmpty():
-        return result.unionByName(docs.join(twins, "doc_id", "left_semi").distinct()) if not rest else result
-    one = docs.join(twins, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
-    return result.unionByName(
-        one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns]))
+    if twins.isEmpty():
+        return result
+    rows = docs.join(twins, "doc_id", "left_semi").select(F.col("doc_id"), F.struct(*map(column, docs.columns)).alias("_row"))
+    return result.unionByName(rows.groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row.*"))

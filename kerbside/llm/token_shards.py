@@ -213,16 +213,15 @@ def write_shards(
         if shard is not None:
             yield whole()
 
-    if total:
-        parts = min(shards, max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        pieces = packs.select("ids", "base").mapInArrow(scatter, "shard bigint, places array<bigint>, ids binary")
-        # consecutive shards go to one partition: a range partitioning without sampling
-        ranged = pieces.repartitionById(parts, (F.col("shard") * parts / shards).cast("int"))
-        (
-            ranged.sortWithinPartitions("shard").mapInArrow(gather, "shard bigint, value binary")
-            .select("shard", F.col("value").cast("string").alias("value"))
-            .write.partitionBy("shard").option("lineSep", _SHARD_END).text(path)
-        )
+    parts = max(1, min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    pieces = packs.select("ids", "base").mapInArrow(scatter, "shard bigint, places array<bigint>, ids binary")
+    # consecutive shards go to one partition: a range partitioning without sampling
+    ranged = pieces.repartitionById(parts, (F.col("shard") * parts / max(shards, 1)).cast("int"))
+    (
+        ranged.sortWithinPartitions("shard").mapInArrow(gather, "shard bigint, value binary")
+        .select("shard", F.col("value").cast("string").alias("value"))
+        .write.partitionBy("shard").option("lineSep", _SHARD_END).text(path)
+    )
 
     kind = packs.schema["doc_ids"].dataType.simpleString()
 
@@ -266,6 +265,8 @@ def read_shards(spark: SparkSession, path: str, sequence: int = SEQUENCE, shard_
                     ["slot", "ids"])
 
     files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:  # a folder without shards
+        files = files.withColumn("shard", F.lit(0))
     files = files.where(F.col("shard") >= first_slot // per_shard).select(F.col("shard").cast("long"), "content")
     return files.mapInArrow(run, "slot bigint, ids array<int>")
 

@@ -78,6 +78,8 @@ def _cells(vectors: DataFrame, min_cosine: float) -> DataFrame:
                 rows = np.flatnonzero(lengths == dims)
                 part = lists.take(pa.array(rows))
                 values = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dims)
+                # a power of two brings the largest component near 1, so that no square over- or underflows
+                values = np.ldexp(values, -np.frexp(np.abs(values).max(axis=1))[1][:, None])
                 turned = _turned(values)
                 blocks, widths = _blocks(dims), np.sqrt(_budgets(dims, min_cosine))
                 at = [

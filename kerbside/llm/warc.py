@@ -64,12 +64,11 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> N
     rows = pages.select(
         (F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
          % F.lit(shards)).alias("shard"), "page_id", _records(pages).alias("value"))
-    if not rows.isEmpty():
-        (
-            rows.repartition(int(shards), "shard").sortWithinPartitions("shard", "page_id", "value")
-            .select("shard", "value").write.partitionBy("shard")
-            .option("lineSep", _END).option("compression", "gzip").text(path)
-        )
+    (
+        rows.repartition(int(shards), "shard").sortWithinPartitions("shard", "page_id", "value")
+        .select("shard", "value").write.partitionBy("shard")
+        .option("lineSep", _END).option("compression", "gzip").text(path)
+    )
 
 
 def _parse(data: bytes) -> Iterator[tuple[int, int, str | None]]:
@@ -90,7 +89,10 @@ def _parse(data: bytes) -> Iterator[tuple[int, int, str | None]]:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("shard").cast("long").alias("shard"), "content")
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:  # a folder without shards
+        files = files.withColumn("shard", F.lit(0))
+    return files.select(F.col("shard").cast("long").alias("shard"), "content")
 
 
 def _plain(content: bytes) -> bytes:
