@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import small_batches
+from kerbside.llm.common import numbered, small_batches
 from kerbside.session import materialise, working_tables
 
 WINDOW = 20
@@ -292,7 +292,7 @@ def _kept(docs: DataFrame, ranges: DataFrame, window: int, keep: list[str], sche
     per_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("covered"))
     rows = docs.select(
         _order().alias("doc"), F.col("text").cast("binary").alias("_text"),
-        *[F.col(c).alias(f"_kept_{i}") for i, c in enumerate(keep)])
+        *numbered(keep))
     rows = rows.join(per_doc.hint("shuffle_hash"), "doc", "left").drop("doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
