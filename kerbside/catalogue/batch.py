@@ -399,6 +399,22 @@ def upload_pipeline(spark, sf):
         "src_row", "accident_id", "hour", "month", "time_of_day", "severity_score", r6("risk_index").alias("risk_index"), "risk_level")
 
 
+@query("upload_file", ORACLES["upload_pipeline"])
+def upload_file(spark, sf):
+    """The same upload as a user's file: quoted texts with commas, quotes and line breaks, three ways to write a date."""
+    day = F.to_date("crash_date")
+    written = upload(spark, sf).withColumns({
+        "crash_date": F.when(F.col("src_row") % 3 == 0, F.date_format(day, "yyyy-MM-dd"))
+        .when(F.col("src_row") % 3 == 1, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "yyyy/MM/dd")),
+        "notes": F.concat(F.lit('said "slow down", then\nleft '), F.col("src_row").cast("string")),
+    })
+    path = scratch_path(spark, "upload-file")
+    T.write_csv(written, path)
+    table, _ = V.process_upload(T.read_upload(spark, path, multi_line=True), order=["src_row"])
+    return V.add_risk_level(table).select(
+        "src_row", "accident_id", "hour", "month", "time_of_day", "severity_score", r6("risk_index").alias("risk_index"), "risk_level")
+
+
 @query("generate_ids", upload_sql(
     """SELECT src_row, 'ACC' || lpad(cast(row_number() OVER (ORDER BY src_row) AS varchar), cast(greatest(6, length(cast(row_number() OVER (ORDER BY src_row) AS varchar))) AS int), '0') AS accident_id
  FROM (SELECT DISTINCT src_row FROM upload)"""))

@@ -1,10 +1,10 @@
-"""Registered queries on statistical models. Training has no SQL equivalent."""
+"""Registered queries on statistical models, with checking SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbside.catalogue.adapters import accidents
+from kerbside.catalogue.adapters import accidents, with_accidents
 from kerbside.catalogue.batch import derived, r6
 from kerbside.operators import aggregates as G
 from kerbside.operators import anomaly as A
@@ -21,9 +21,11 @@ ORACLES: dict[str, str] = {}
 _STORED: dict[tuple[str, str, str], C.SeverityModel] = {}
 
 
-def query(name: str):
+def query(name: str, oracle: str | None = None):
     def register(function):
         QUERIES[name] = function
+        if oracle is not None:
+            ORACLES[name] = oracle
         return function
     return register
 
@@ -67,16 +69,20 @@ def negative_binomial(spark, sf):
 
 @query("anomalies")
 def anomalies(spark, sf):
-    found = A.detect_anomalies(accidents(spark, sf), 0.1, "row_id").data
+    found = A.detect_anomalies(accidents(spark, sf), 0.1).data
     return G.anomalous_rows(found).select("accident_id", "severity", "weather", "road_type", "num_casualties")
 
 
 @query("anomaly_stats")
 def anomaly_stats(spark, sf):
-    return A.detect_anomalies(accidents(spark, sf), 0.1, "row_id").stats
+    return A.detect_anomalies(accidents(spark, sf), 0.1).stats
 
 
-@query("stratified_split")
+@query("stratified_split", with_accidents("""
+SELECT severity, count(*) AS n, CASE WHEN place <= ceil(rows * 0.8) THEN 'train' ELSE 'test' END AS part FROM (
+ SELECT severity, count(*) OVER (PARTITION BY severity) AS rows,
+  count(*) OVER (PARTITION BY severity ORDER BY draw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY severity, draw) + 1 AS place
+ FROM (SELECT severity, substr(md5(row_id || ':42'), 1, 7) AS draw FROM accidents)) GROUP BY ALL"""))
 def stratified_split(spark, sf):
     train, test = C.split(accidents(spark, sf), "row_id", by="severity")
     sizes = lambda df, part: df.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(part))

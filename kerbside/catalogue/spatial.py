@@ -8,7 +8,7 @@ from kerbside.catalogue.adapters import accidents
 from kerbside.catalogue.batch import CITY, DERIVED, derived, q1, q6, r6, sql
 from kerbside.operators import dbscan as D
 from kerbside.operators import rules as U
-from kerbside.operators.silhouette import silhouette_euclidean, silhouette_squared
+from kerbside.operators.silhouette import cluster_stats, silhouette_squared
 
 EPS, MIN_SAMPLES = 0.00305, 3
 QUERIES: dict = {}
@@ -97,13 +97,16 @@ def squared(spark, sf):
     return silhouette_squared(clusters(spark, sf), 4 * EPS).select(r6("silhouette").alias("silhouette"))
 
 
-@query("silhouette_euclidean", sql(
-    f"""SELECT {q6('avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette FROM (
- SELECT id, max(n) FILTER (own) AS n, max(total / greatest(n - 1, 1)) FILTER (own) AS a, min(total / n) FILTER (NOT own) AS b FROM (
-  SELECT p.id, q.cluster = p.cluster AS own, count(*) AS n, sum(sqrt((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x))) AS total
-  FROM (SELECT *, row_number() OVER () AS id FROM loc) p, loc q GROUP BY p.id, q.cluster, p.cluster) GROUP BY id)""", CLUSTERED, LABELLED))
-def euclidean(spark, sf):
-    return silhouette_euclidean(clusters(spark, sf)).select(r6("silhouette").alias("silhouette"))
+@query("dbscan_stats", sql(
+    f"""SELECT (SELECT count(*) FROM spots) AS n_clusters, (SELECT count(*) FROM labels WHERE cluster < 0) AS noise_points,
+ (SELECT {q6('avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)')} FROM (
+ SELECT any_value(o.n) AS n, any_value(((p.y - o.cy) * (p.y - o.cy) + (p.x - o.cx) * (p.x - o.cx) + o.v) * o.n / greatest(o.n - 1, 1)) AS a,
+  min((p.y - c.cy) * (p.y - c.cy) + (p.x - c.cx) * (p.x - c.cx) + c.v) AS b
+ FROM (SELECT *, row_number() OVER () AS id FROM loc) p JOIN cs o ON p.cluster = o.cluster JOIN cs c ON p.cluster <> c.cluster GROUP BY id)) AS silhouette""",
+    CLUSTERED, LABELLED,
+    "cs AS (SELECT cluster, count(*) AS n, avg(y) AS cy, avg(x) AS cx, greatest(0, avg(y * y + x * x) - avg(y) * avg(y) - avg(x) * avg(x)) AS v FROM loc GROUP BY cluster)"))
+def dbscan_stats(spark, sf):
+    return cluster_stats(clusters(spark, sf), 4 * EPS).withColumn("silhouette", r6("silhouette"))
 
 
 @query("priority_recommendations", sql(

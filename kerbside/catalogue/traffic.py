@@ -124,6 +124,22 @@ def incidents_to_accidents(spark, sf):
         "road_surface", "junction_type", "light_conditions", "time")
 
 
+@query("feed_selection", with_feed(f"""SELECT poll_id, position, type, {q6('latitude')} AS latitude, {q6('longitude')} AS longitude
+ FROM incidents WHERE type IN ('Jam', 'Accident') AND longitude BETWEEN -2.5 AND 0.5 AND latitude BETWEEN 51 AND 54"""))
+def feed_selection(spark, sf):
+    """Documents read as text, as the collector leaves them."""
+    path = scratch_path(spark, "feed-text")
+    incident_documents(spark, sf).select(F.to_json(F.struct("poll_id", "payload")).alias("value")).write.text(path)
+    lines = N.read_payloads(spark, path).select(F.from_json("payload", "poll_id BIGINT, payload STRING").alias("d"))
+    found = N.select_incidents(N.parse_incidents(lines.select("d.*")), ["Jam", "Accident"], (-2.5, 51.0, 0.5, 54.0))
+    return found.select("poll_id", "position", "type", r6("latitude").alias("latitude"), r6("longitude").alias("longitude"))
+
+
+@query("feed_rejects", with_feed(" SELECT DISTINCT poll_id FROM feed WHERE poll_id % 50 = 49"))
+def feed_rejects(spark, sf):
+    return N.malformed(incident_documents(spark, sf)).select("poll_id")
+
+
 # ---- streaming -----------------------------------------------------------------------
 
 def _landed(spark, documents, label):
@@ -145,9 +161,10 @@ def stream_normalise(spark, sf):
  count(*) FILTER (type = 'Road Works') AS road_works, count(*) FILTER (type IN ('Road Closed', 'Lane Closed')) AS closures,
  count(*) FILTER (severity = 'Critical') AS critical_incidents, count(*) FILTER (severity = 'Major') AS major_incidents,
  cast(least(100, count(*) FILTER (severity = 'Critical') * 20 + count(*) FILTER (severity = 'Major') * 10 + count(*) * 2) AS double) AS congestion_percent
- FROM placed GROUP BY 1, 2) WHERE window_second + 900 <= (SELECT max(poll_second) FROM incidents) - 600"""))
+ FROM placed GROUP BY 1, 2)"""))
 def stream_city_windows(spark, sf):
-    landed = _landed(spark, incident_documents(spark, sf), "landed")
+    documents = incident_documents(spark, sf)
+    landed = _landed(spark, documents.unionByName(W.closing_document(documents)), "landed")
     done = W.run_available(W.rolling_summary(W.normalise(landed), cities(spark)), "windows")
     return done.select(
         F.unix_seconds("window_start").alias("window_second"), "city", *COUNTED, "congestion_percent", "risk_level")

@@ -79,6 +79,17 @@ def day_of_week(date: Column) -> Column:
     return F.weekday(date)
 
 
+# Tried in this order; month first where both readings are possible.
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy")
+
+
+def date_of(value: Column) -> Column:
+    """The day of a date, timestamp or text in one of ``DATE_FORMATS``; null where none fits."""
+    text = value.cast("string")
+    return F.coalesce(
+        text.try_cast("date"), *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATE_FORMATS[1:]])
+
+
 def hour_of(time: Column) -> Column:
     return F.hour(F.try_to_timestamp(time, F.lit("H:m")))
 

@@ -23,7 +23,6 @@ from kerbside.session import materialise, working_tables
 COLUMNS = ["speed_limit", "num_vehicles", "num_casualties"]
 TREES = 100
 SAMPLE = 256          # rows per tree
-_POOL = 16 * SAMPLE   # rows from which the trees draw
 _EULER = 0.5772156649015329
 _NODES_DDL = "tree INT, node INT, feature INT, split DOUBLE, left INT, right INT, path DOUBLE"
 
@@ -67,6 +66,39 @@ def _grow(sample: pd.DataFrame, columns: list[str], seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "split", "left", "right", "path"])
 
 
+def _samples(profiles: DataFrame, columns: list[str], n: int, size: int, seed: int) -> DataFrame:
+    """(tree, draw, *columns): ``size`` different rows of all ``n`` per tree.
+
+    Row numbers are drawn first; they run through the counted combinations in
+    the order of their values, so a number names a combination whatever the
+    partitioning. Each partition looks up the numbers that fall to it.
+    """
+    numbers = np.concatenate([
+        np.random.default_rng([seed, tree, 1]).choice(n, size, replace=False) for tree in range(TREES)])
+    order = np.argsort(numbers, kind="stable")
+    sorted_numbers = numbers[order]
+
+    placed = materialise(profiles.orderBy(*columns).withColumn("_part", F.spark_partition_id()), "placed")
+    sizes = placed.groupBy("_part").agg(F.sum("n").alias("_size"))  # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part").orderBy(*columns).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.withColumn("_upto", F.sum("n").over(within)).join(F.broadcast(starts), "_part").select(
+        *columns, "n", (F.col("_start") + F.col("_upto") - F.col("n")).alias("_first"))
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            low = np.searchsorted(sorted_numbers, batch["_first"])
+            count = np.searchsorted(sorted_numbers, batch["_first"] + batch["n"]) - low
+            if count.sum():
+                taken = batch.loc[batch.index.repeat(count), columns]
+                place = np.concatenate([np.arange(a, a + c) for a, c in zip(low, count) if c])
+                yield taken.assign(tree=order[place] // size, draw=order[place] % size)[["tree", "draw", *columns]]
+
+    schema = "tree INT, draw BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns)
+    return numbered.mapInPandas(look_up, schema)
+
+
 def _scorer(forest: pd.DataFrame, columns: list[str], sample_size: int):
     trees = [g.sort_values("node").drop(columns=["tree", "node"]).to_numpy(float) for _, g in forest.groupby("tree")]
     scale = _average_path(sample_size) or 1.0
@@ -93,20 +125,20 @@ def _scorer(forest: pd.DataFrame, columns: list[str], sample_size: int):
 
 
 def detect_anomalies(
-    df: DataFrame, contamination: float = 0.1, key: str = "accident_id", seed: int = 42
+    df: DataFrame, contamination: float = 0.1, seed: int = 42
 ) -> Anomalies:
     """Flag the rows scoring below the ``contamination`` quantile of all scores.
 
-    ``key`` identifies rows; samples are chosen by its hash, so results do not
-    depend on partitioning. Fewer than two usable columns or ten complete rows
+    Samples are drawn from all rows in the order of their values, so results do
+    not depend on partitioning. Fewer than two usable columns or ten complete rows
     flag nothing.
     """
     with working_tables() as keep:
-        return _detect(df, contamination, key, seed, keep)
+        return _detect(df, contamination, seed, keep)
 
 
 def _detect(
-    df: DataFrame, contamination: float, key: str, seed: int, keep: list[DataFrame]
+    df: DataFrame, contamination: float, seed: int, keep: list[DataFrame]
 ) -> Anomalies:
     spark = df.sparkSession
     columns = [c for c in COLUMNS if c in df.columns]
@@ -129,19 +161,10 @@ def _detect(
     if (n or 0) < 10:
         return nothing(n or 0)
 
-    pool = complete.select(F.col(key).alias("key"), *doubles).orderBy(
-        F.xxhash64(F.col(key), F.lit(seed)), F.col(key)
-    ).limit(_POOL)
     size = min(SAMPLE, n)
-    draws = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        .withColumn("draw", F.xxhash64("key", "tree", F.lit(seed)))
-    )
-    # the pool is bounded, so ranking it per tree is too
-    ranked = Window.partitionBy("tree").orderBy("draw", "key")
-    samples = draws.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= size)
+    samples = _samples(profiles, columns, n, size, seed)
     forest = (
-        samples.select("tree", "draw", *columns).groupBy("tree")
+        samples.groupBy("tree")
         .applyInPandas(lambda pdf: _grow(pdf, columns, seed), _NODES_DDL)
         .toPandas()  # at most TREES * (2 * SAMPLE - 1) nodes
     )

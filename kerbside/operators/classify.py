@@ -16,12 +16,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbside import schema as S
 from kerbside.functions import scalars as X
 from kerbside.operators.encoding import alphabetical_codes, apply_codes
+from kerbside.operators.joins import BROADCAST_ROWS
 from kerbside.session import materialise, working_tables
 
 NUMERIC = ["speed_limit", "num_vehicles", "num_casualties"]
@@ -61,45 +62,49 @@ def standard_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("_moments", moments).withColumns(scored).drop("_moments")
 
 
-def unit_hash(key: str, seed: int) -> Column:
-    """Number in [0, 1) fixed by row key and seed."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+_DRAW_BITS = 28  # seven hexadecimal digits
+
+
+def draw_number(key: str, seed: int) -> Column:
+    """Whole number below 2^28 fixed by row key and seed."""
+    mixed = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(mixed, 1, _DRAW_BITS // 4), 16, 10).cast("long")
 
 
 def split(df: DataFrame, key: str, seed: int = 42, share: float = 0.8, by: str | None = None):
     """(train, test) by hash of the row key; ``by`` keeps the share within each class.
 
-    The class thresholds are mergeable sketches, one per class, so a class
-    holding most rows is no heavier than the others.
+    The threshold of a class is the exact draw below which ``share`` of its
+    rows lie, so the parts do not depend on partitioning. It is found in two
+    rounds of counts per class over the high and the low half of the draw.
     """
-    drawn = df.withColumn("_draw", unit_hash(key, seed))
+    drawn = df.withColumn("_draw", draw_number(key, seed))
     if by is None:
-        inside = F.col("_draw") < share
-    else:
-        cuts = drawn.groupBy(by).agg(F.percentile_approx("_draw", share, 10_000)).collect()
-        inside = F.lit(False)
-        for value, cut in cuts:
-            inside = inside | (F.col(by).eqNullSafe(F.lit(value)) & (F.col("_draw") <= F.lit(cut)))
-    return drawn.where(inside).drop("_draw"), drawn.where(~inside).drop("_draw")
-
-
-def _spread(df: DataFrame, rows: int, rows_per_task: int = 10_000) -> DataFrame:
-    """As many partitions as the rows warrant, up to the tasks that can run at once.
-
-    Boosting runs hundreds of short jobs over its table: tiny tasks would
-    dominate them, a single file would leave the cluster idle. Tables with
-    more partitions than that are left alone.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    wanted = max(1, min(-(-rows // rows_per_task), max(have, slots)))
-    return df.coalesce(wanted) if wanted < have else df.repartition(wanted) if wanted > have else df
+        inside = F.col("_draw") < share * (1 << _DRAW_BITS)
+        return drawn.where(inside).drop("_draw"), drawn.where(~inside).drop("_draw")
+    half = _DRAW_BITS // 2
+    places = drawn.select(F.col(by).alias("_class"), F.shiftright("_draw", half).alias("_high"), "_draw")
+    ranked = Window.partitionBy("_class").orderBy("_high").rowsBetween(Window.unboundedPreceding, 0)
+    high = places.groupBy("_class", "_high").agg(F.count(F.lit(1)).alias("n"))  # 2^14 rows per class at most
+    total = F.sum("n").over(Window.partitionBy("_class"))
+    high = high.select("_class", "_high", "n", F.sum("n").over(ranked).alias("upto"), F.ceil(total * share).alias("rank"))
+    crossed = high.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select(
+        F.col("_class").alias("_c"), F.col("_high").alias("_h"), (F.col("rank") - F.col("upto") + F.col("n")).alias("rest"))
+    low = places.join(crossed, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_high") == F.col("_h")))
+    low = low.groupBy("_class", "rest", "_draw").agg(F.count(F.lit(1)).alias("n"))
+    ranked = Window.partitionBy("_class").orderBy("_draw").rowsBetween(Window.unboundedPreceding, 0)
+    low = low.withColumn("upto", F.sum("n").over(ranked)).where(F.col("upto") >= F.col("rest"))
+    cuts = materialise(low.groupBy(F.col("_class").alias("_c")).agg(F.min("_draw").alias("_cut")), "cuts")
+    if cuts.count() <= BROADCAST_ROWS:
+        cuts = F.broadcast(cuts)
+    judged = drawn.join(cuts, F.col(by).eqNullSafe(F.col("_c")))
+    inside = F.col("_draw") <= F.col("_cut")
+    return tuple(judged.where(part).drop("_draw", "_cut", "_c") for part in (inside, ~inside))
 
 
 def _counted(df: DataFrame, features: list[str]) -> DataFrame:
     counted = df.groupBy(*features, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    table = materialise(counted, "counted")
-    return _spread(table, table.count())
+    return materialise(counted, "counted")
 
 
 def _numbers(df: DataFrame, features: list[str], label: Column, *others: str) -> DataFrame:
@@ -211,7 +216,7 @@ def best_model(metrics: DataFrame) -> DataFrame:
 
 
 def new_version(now: datetime | None = None) -> str:
-    return (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
+    return (now or datetime.now()).strftime("%Y%m%d_%H%M%S_%f")
 
 
 # -- training jobs ------------------------------------------------------------------
@@ -272,7 +277,6 @@ def _train_and_select(
     usual = counts.orderBy(F.desc("count"), "label").first()
     label = F.coalesce(code, F.lit(usual["label"] if usual else 0))
     table = materialise(_numbers(df, features, label, key), "training")
-    table = _spread(table, table.count())
     train, test = split(table, key, seed, by="label")
     counted, held_out = _counted(train, features), _counted(test, features)
     candidates = [
@@ -307,10 +311,6 @@ def predict(df: DataFrame, trained: SeverityModel) -> DataFrame:
     Unknown category values count as code 0, absent features as 0.
     """
     own = df.columns
-    if not df.isStreaming:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:  # scoring is heavy: use every core on small inputs too
-            df = df.repartition(slots)
     table = apply_codes(df, trained.encodings, unknown=0)
     inputs = {
         c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in table.columns else F.lit(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside import schema as S
@@ -10,8 +10,6 @@ from kerbside.operators.joins import BROADCAST_ROWS, skew_join
 from kerbside.operators.ordinals import with_ordinal
 from kerbside.session import materialise
 
-_SINGLE_TASK_ROWS = 100_000
-
 
 def _distinct_values(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     pairs = F.array(*[
@@ -25,11 +23,7 @@ def _distinct_values(df: DataFrame, columns: list[str], order: str) -> DataFrame
 
 
 def _dense(values: DataFrame, order: list[str]) -> DataFrame:
-    """0-based codes within each column; a sort of all values when they are many."""
-    values = materialise(values, "values")
-    if values.count() <= _SINGLE_TASK_ROWS:
-        rank = F.row_number().over(Window.partitionBy("column").orderBy(*order)) - 1
-        return values.withColumn("code", rank.cast("int"))
+    """0-based codes within each column, from one sort of all values."""
     placed = with_ordinal(values, ["column", *order], "_n")
     starts = placed.groupBy("column").agg(F.min("_n").alias("_start"))
     return (

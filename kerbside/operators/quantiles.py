@@ -26,7 +26,9 @@ def exact_quantiles(
 ) -> dict[str, float | None]:
     """Linear-interpolation quantile ``q`` per column, nulls and NaN ignored.
 
-    ``weight`` names a column of whole-number multiplicities.
+    ``weight`` names a column of whole-number multiplicities. Infinite values
+    take the ends of the order; each round separates the smallest finite value
+    of an interval from the largest, so the search ends on any values.
     """
     if not columns:
         return {}
@@ -40,12 +42,17 @@ def exact_quantiles(
         .select("times", "p.name", "p.value")
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
     )
+    times_of = lambda test: F.coalesce(F.sum(F.when(test, F.col("times"))), F.lit(0))
+    finite = F.abs("value") < math.inf
     spans = {
         r["name"]: r
         for r in values.groupBy("name").agg(
-            F.sum("times").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+            F.sum("times").alias("n"), times_of(F.col("value") == -math.inf).alias("below"),
+            times_of(F.col("value") == math.inf).alias("above"),
+            F.min(F.when(finite, F.col("value"))).alias("lo"), F.max(F.when(finite, F.col("value"))).alias("hi"),
         ).collect()
     }
+    values = values.where(finite)
     # target (column, rank) -> interval (lo, hi) and the number of values before it
     found: dict[tuple[str, int], float] = {}
     still_open: dict[tuple[str, int], tuple[float, float, int]] = {}
@@ -54,10 +61,14 @@ def exact_quantiles(
         place = (r["n"] - 1) * q
         ranks[name] = (place, math.floor(place), math.ceil(place))
         for rank in set(ranks[name][1:]):
-            if r["lo"] == r["hi"]:
+            if rank < r["below"]:
+                found[name, rank] = -math.inf
+            elif rank >= r["n"] - r["above"]:
+                found[name, rank] = math.inf
+            elif r["lo"] == r["hi"]:
                 found[name, rank] = r["lo"]
             else:
-                still_open[name, rank] = (r["lo"], r["hi"], 0)
+                still_open[name, rank] = (r["lo"], r["hi"], r["below"])
 
     while still_open:
         intervals = sorted({(name, *span) for (name, _), span in still_open.items()})
@@ -99,10 +110,10 @@ def exact_quantiles(
     result: dict[str, float | None] = dict.fromkeys(columns)
     for name, (place, low, high) in ranks.items():
         a, b = found[name, low], found[name, high]
-        result[name] = a + (b - a) * (place - low)
+        result[name] = a if a == b or place == low else a + (b - a) * (place - low)
     return result
 
 
 def _bucket(lo: float, hi: float, buckets: int):
-    share = (F.col("value") - F.lit(lo)) / F.lit(hi - lo)
+    share = (F.col("value") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)  # halves cannot overflow
     return F.least(F.floor(share * buckets), F.lit(buckets - 1))

@@ -24,7 +24,9 @@ def score_parts(columns: list[str], severity: Column, casualties: Column | None)
         parts["casualty_sum"] = F.sum(casualties.cast("double"))
         parts["casualty_rows"] = F.count(casualties)
     if "date" in columns:
-        parts["days"] = F.datediff(F.max(F.to_date("date")), F.min(F.to_date("date")))
+        day = X.date_of(F.col("date"))
+        parts["days"] = F.datediff(F.max(day), F.min(day))
+        parts["unread_dates"] = F.count_if(F.col("date").isNotNull() & day.isNull())
     return parts
 
 
@@ -40,8 +42,10 @@ def score_factors(part) -> dict[str, Column]:
         frequency = F.least(total / 10, F.lit(25.0))
     else:
         days = part("days")
-        frequency = F.when(days > 0, F.least(total / days * 10, F.lit(25.0))).otherwise(
-            F.least(total * 2.0, F.lit(25.0))
+        frequency = (
+            F.when(part("unread_dates") > 0, F.least(total / 10, F.lit(25.0)))  # as if there were no dates
+            .when(days > 0, F.least(total / days * 10, F.lit(25.0)))
+            .otherwise(F.least(total * 2.0, F.lit(25.0)))
         )
     fatal = F.least(part("fatal") / total * 100 * 2, F.lit(20.0))
     return {

@@ -46,16 +46,21 @@ def condition_shares(df: DataFrame) -> DataFrame:
 
 
 def design_recommendations(df: DataFrame) -> DataFrame:
-    """Road-design rules on a derived table: category, priority, issue, recommendation, impact."""
+    """Road-design rules on a derived table: category, priority, issue, recommendation, impact.
+
+    Without ``severity_score`` the rules on junctions, surface and speed are
+    left out, and the fog rule reports an average of 0.
+    """
     have = set(df.columns)
     total = F.col("total")
     facts = {"total": F.count(F.lit(1))}
-    score = F.col("severity_score")
-    if "road_surface" in have:
+    scored = "severity_score" in have
+    score = F.col("severity_score") if scored else F.lit(0.0)
+    if "road_surface" in have and scored:
         facts["wet"] = F.count_if(F.col("road_surface").isin("Wet", "Ice"))
     if "light_conditions" in have:
         facts["dark"] = F.count_if(F.col("light_conditions") == "Dark")
-    if "speed_limit" in have:
+    if "speed_limit" in have and scored:
         facts["fast_score"] = F.avg(F.when(F.col("speed_limit") >= 60, score))
         facts["slow_score"] = F.avg(F.when(F.col("speed_limit") < 60, score))
     if "weather" in have:
@@ -80,7 +85,7 @@ def design_recommendations(df: DataFrame) -> DataFrame:
     def counted(name: str, ending: str) -> list[Column]:
         return [F.col(name).cast("string"), F.lit(" accidents ("), share(name), F.lit(f"%) {ending}")]
 
-    if "junction_type" in have:
+    if "junction_type" in have and scored:
         worst = groups_above_median(df, "junction_type", "severity_score")
         listing = worst.agg(F.array_join(F.sort_array(F.collect_list("junction_type")), ", "))
         row = row.withColumn("junctions", listing.scalar())

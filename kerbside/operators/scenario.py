@@ -10,6 +10,7 @@ from kerbside.functions import scalars as X
 from kerbside.operators.risk import score_factors, score_parts, total_score
 
 _STEPS = 1_000_000
+_SHARED = ("total", "days", "unread_dates")  # sums that no intervention changes
 
 
 def draw(key: str, intervention: str, purpose: str, seed: int) -> Column:
@@ -48,12 +49,12 @@ def simulate(
         # one rounding per row, ties to even; the factor is formed once, as 1 - reduction
         spared = F.rint(F.col("num_casualties") * F.lit(1 - fewer)) if counted else None
         after = score_parts(df.columns, eased, spared)
-        parts.update({f"after{i}_{k}": c for k, c in after.items() if k not in ("total", "days")})
+        parts.update({f"after{i}_{k}": c for k, c in after.items() if k not in _SHARED})
     sums = df.agg(*[c.alias(k) for k, c in parts.items()])
 
     def part(prefix: str):
         def get(name: str) -> Column | None:
-            prefixed = f"before_{name}" if name in ("total", "days") else f"{prefix}_{name}"
+            prefixed = f"before_{name}" if name in _SHARED else f"{prefix}_{name}"
             return F.col(prefixed) if prefixed in parts else None
         return get
 

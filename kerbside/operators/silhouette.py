@@ -1,28 +1,19 @@
-"""Mean silhouette of a clustering; noise counts as one more cluster.
+"""Mean silhouette of a clustering on squared distances; noise counts as one more cluster.
 
-``squared`` distances need only each cluster's size, centre and spread, so the
-cost grows linearly with the rows. The Euclidean measure compares every
-location with every other one by definition; it runs in passes over bounded
-blocks of reference locations and keeps three numbers per location.
+Squared distances need only each cluster's size, centre and spread, so the
+cost grows linearly with the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.operators.dbscan import Clustering
+from kerbside.operators.dbscan import Clustering, cluster_counts
 from kerbside.operators.joins import skew_join
 from kerbside.operators.ordinals import with_ordinal
 from kerbside.session import materialise, working_tables
 
-BLOCK = 20_000   # reference locations per pass, also held by the driver
-_CHUNK = 256     # locations compared with a block at a time
-_STATE = "latitude DOUBLE, longitude DOUBLE, w BIGINT, cluster BIGINT, n BIGINT, own DOUBLE, best DOUBLE, carry DOUBLE"
 
 
 def _sized(clustering: Clustering) -> tuple[DataFrame, DataFrame, int]:
@@ -116,73 +107,6 @@ def _squared(clustering: Clustering, reach: float) -> float:
     return _mean(rows)
 
 
-def _compare(block: pd.DataFrame, continued: bool, complete: np.ndarray):
-    """One pass: distance sums of all locations to the clusters of one block."""
-    ry, rx, rw = (block[c].to_numpy(float) for c in ("latitude", "longitude", "w"))
-    ids, starts = np.unique(block["cluster"].to_numpy(), return_index=True)
-    sizes = block["n"].to_numpy(float)[starts]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch.copy()
-            for at in range(0, len(batch), _CHUNK):
-                part = slice(at, at + _CHUNK)
-                y, x = (batch[c].to_numpy(float)[part, None] for c in ("latitude", "longitude"))
-                sums = np.add.reduceat(np.hypot(y - ry, x - rx) * rw, starts, axis=1)
-                if continued:
-                    sums[:, 0] += batch["carry"].to_numpy()[part]
-                mine = batch["cluster"].to_numpy()[part, None] == ids
-                own = np.where(mine & complete, sums, 0).sum(axis=1)
-                means = np.where(mine | ~complete, np.inf, sums / sizes)
-                columns = [out.columns.get_loc(c) for c in ("own", "best", "carry")]
-                out.iloc[part, columns[0]] += own
-                out.iloc[part, columns[1]] = np.minimum(batch["best"].to_numpy()[part], means.min(axis=1))
-                out.iloc[part, columns[2]] = 0.0 if complete[-1] else sums[:, -1]
-            yield out
-
-    return run
-
-
-def silhouette_euclidean(clustering: Clustering, block: int = BLOCK) -> DataFrame:
-    """Exact silhouette on plain distances: quadratic work, bounded memory.
-
-    Clusters lie side by side in the reference order, so between two passes
-    only the sum for the cluster cut by the block boundary is carried over.
-    """
-    with working_tables():
-        return _one_row(clustering, _euclidean(clustering, block))
-
-
-def _euclidean(clustering: Clustering, block: int) -> float:
-    points, clusters, n_clusters = _sized(clustering)
-    if n_clusters <= 1:
-        return 0.0
-    sized = skew_join(
-        points.drop("y", "x"), clusters.select("cluster", "n"), ["cluster"],
-        split_rows=clustering.split_rows, counts=clusters.select("cluster", "rows"),
-    )
-    ordered = materialise(with_ordinal(sized, ["cluster", "latitude", "longitude"], "place"), "reference")
-    total = ordered.count()
-    slots = ordered.sparkSession.sparkContext.defaultParallelism
-    state = ordered.select(
-        "latitude", "longitude", "w", "cluster", "n", F.lit(0.0).alias("own"),
-        F.lit(float("inf")).alias("best"), F.lit(0.0).alias("carry"),
-    ).repartition(max(slots, total // 50_000), "latitude", "longitude")
-    cut, seen = None, {}
-    for start in range(0, total, block):
-        chosen = ordered.where(F.col("place").between(start, start + block - 1))
-        reference = chosen.orderBy("place").toPandas()  # at most ``block`` rows
-        here = reference.groupby("cluster", sort=True)["w"].sum()
-        continued = cut is not None and here.index[0] == cut
-        before = seen.get(cut, 0) if continued else 0
-        reached = here.to_numpy(float)
-        reached[0] += before
-        sizes = reference.groupby("cluster", sort=True)["n"].first().to_numpy(float)
-        complete = reached >= sizes
-        state = materialise(state.mapInPandas(_compare(reference, continued, complete), _STATE), "state")
-        cut = None if complete[-1] else here.index[-1]
-        seen = {cut: reached[-1]}
-    rows = state.select(
-        "w", "n", F.try_divide(F.col("own"), (F.col("n") - 1).cast("double")).alias("a"), F.col("best").alias("b")
-    )
-    return _mean(rows)
+def cluster_stats(clustering: Clustering, reach: float) -> DataFrame:
+    """One row: number of clusters and of noise rows, and the mean silhouette."""
+    return cluster_counts(clustering).crossJoin(F.broadcast(silhouette_squared(clustering, reach)))  # 1 x 1 row

@@ -12,7 +12,7 @@ from kerbside.operators.encoding import apply_codes, first_seen_codes
 
 def add_time_features(df: DataFrame) -> DataFrame:
     if "date" in df.columns:
-        df = df.withColumn("date", F.to_date("date"))
+        df = df.withColumn("date", X.date_of(F.col("date")))
         weekday = X.day_of_week(F.col("date"))
         df = df.withColumns({
             "day_of_week": weekday,

@@ -49,6 +49,23 @@ def _start_of_line(geometry: Column) -> Column:
     return F.when(geometry["type"] == "LineString", F.coalesce(nested, F.from_json(text, "array<double>")))
 
 
+def select_incidents(
+    incidents: DataFrame, types: list[str] | None = None, box: tuple[float, float, float, float] | None = None
+) -> DataFrame:
+    """Incidents of the given types inside ``box`` (min_lon, min_lat, max_lon, max_lat), bounds included."""
+    if types is not None:
+        incidents = incidents.where(F.col("type").isin(types))
+    if box is not None:
+        west, south, east, north = box
+        incidents = incidents.where(F.col("longitude").between(west, east) & F.col("latitude").between(south, north))
+    return incidents
+
+
+def malformed(documents: DataFrame, payload: str = "payload") -> DataFrame:
+    """The documents that are no JSON object, for a reject table."""
+    return documents.where(F.from_json(F.col(payload), "map<string,string>").isNull())
+
+
 def parse_incidents(documents: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per incident, next to the document's own columns and ``position``.
 

@@ -15,14 +15,24 @@ MISSING_TEXTS = [
 ]
 
 
-def read_accidents(spark: SparkSession, path: str, ddl: str = ACCIDENT_DDL) -> DataFrame:
-    """Canonical CSV. The schema is declared: inference costs a scan and turns 08:30 into a date."""
-    return spark.read.schema(ddl).option("header", True).csv(path)
+# Quotes inside quoted text are doubled, as spreadsheets and other readers do.
+_QUOTING = {"quote": '"', "escape": '"'}
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """A user's CSV with unknown headers. Columns holding only numbers become numbers; times stay text."""
-    text = spark.read.option("header", True).option("inferSchema", False).csv(path)
+def read_accidents(spark: SparkSession, path: str, ddl: str = ACCIDENT_DDL, multi_line: bool = False) -> DataFrame:
+    """Canonical CSV. The schema is declared: inference costs a scan and turns 08:30 into a date.
+
+    ``multi_line`` lets quoted text hold line breaks; a file is then read by one task.
+    """
+    return spark.read.schema(ddl).options(header=True, multiLine=multi_line, **_QUOTING).csv(path)
+
+
+def read_upload(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A user's CSV with unknown headers. Columns holding only numbers become numbers; times stay text.
+
+    ``multi_line`` as in ``read_accidents``.
+    """
+    text = spark.read.options(header=True, inferSchema=False, multiLine=multi_line, **_QUOTING).csv(path)
     known = [
         F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in text.columns
     ]
@@ -56,7 +66,7 @@ def infer_numbers(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, **_QUOTING).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -54,20 +54,20 @@ def test_anomalies(spark):
     odd = spark.range(500, 505).select("id", F.lit(150).alias("speed_limit"), F.lit(40).alias("num_vehicles"), F.lit(50).alias("num_casualties"))
     gap = spark.range(505, 506).select("id", F.lit(None).cast("int").alias("speed_limit"), F.lit(1).alias("num_vehicles"), F.lit(1).alias("num_casualties"))
     df = usual.unionByName(odd).unionByName(gap)
-    found = A.detect_anomalies(df, 0.01, "id")
+    found = A.detect_anomalies(df, 0.01)
     flagged = {r["id"] for r in found.data.where("is_anomaly").collect()}
     assert flagged == set(range(500, 505))
     assert found.data.count() == 506 and found.stats.first()["n_anomalies"] == 5
-    again = A.detect_anomalies(df.repartition(11), 0.01, "id")
+    again = A.detect_anomalies(df.repartition(11), 0.01)
     assert {r["id"] for r in again.data.where("is_anomaly").collect()} == flagged
 
 
 def test_anomaly_share_and_small_tables(accidents):
-    stats = A.detect_anomalies(accidents, 0.2, "row_id").stats.first()
+    stats = A.detect_anomalies(accidents, 0.2).stats.first()
     assert 0 < stats["percentage"] <= 20
-    few = A.detect_anomalies(accidents.limit(9), 0.2, "row_id")
+    few = A.detect_anomalies(accidents.limit(9), 0.2)
     assert few.stats.first()["n_anomalies"] == 0 and few.data.where("is_anomaly").count() == 0
-    assert A.detect_anomalies(accidents.select("row_id", "speed_limit"), 0.2, "row_id").stats.first()["n_anomalies"] == 0
+    assert A.detect_anomalies(accidents.select("row_id", "speed_limit"), 0.2).stats.first()["n_anomalies"] == 0
 
 
 def test_split_is_stratified_and_stable(accidents):

@@ -166,8 +166,7 @@ def test_codes(spark):
     assert set(column(coded, "weather_encoded")) == {0}
 
 
-def test_codes_of_many_values(spark, monkeypatch):
-    monkeypatch.setattr(E, "_SINGLE_TASK_ROWS", 0)
+def test_codes_of_many_values(spark):
     df = spark.range(200).select("id", F.concat(F.lit("v"), F.col("id") % 60).alias("weather"), (F.col("id") % 7).cast("string").alias("road_type"))
     got = {(r["column"], r["value"]): r["code"] for r in E.first_seen_codes(df, "id").collect()}
     assert got["weather", "v59"] == 59 and got["road_type", "6"] == 6 and len(got) == 67
