@@ -16,10 +16,11 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.operators.joins import skew_join
 from kerbside.session import materialise, working_tables
 
 NUMERIC = ["speed_limit", "num_vehicles"]
-MAX_CATEGORIES = 4096  # columns the solver takes
+SOLVER_COLUMNS = 4000  # as many columns go into one system of equations
 CATEGORIES = ["weather", "road_type", "light_conditions"]
 _STATS_DDL = (
     "model STRING, fitted BOOLEAN, aic DOUBLE, bic_deviance DOUBLE, bic_llf DOUBLE, pseudo_r2 DOUBLE, "
@@ -72,11 +73,12 @@ def _profiles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def dummy_columns(df: DataFrame, column: str) -> list[tuple[str, Column]]:
-    """0/1 indicators per category in alphabetical order, the first category left out."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    if values.count() > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories")
-    values = values.orderBy(column).collect()
+    """0/1 indicators per category in alphabetical order, the first category left out.
+
+    One column per category by definition; a table of (row, category) pairs is
+    the form for very many.
+    """
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()
     return [
         (f"{column}_{r[0]}", F.coalesce((F.col(column) == r[0]).cast("double"), F.lit(0.0)))
         for r in values[1:]
@@ -85,11 +87,11 @@ def dummy_columns(df: DataFrame, column: str) -> list[tuple[str, Column]]:
 
 def fit_poisson(df: DataFrame) -> CountFit:
     """Poisson regression (log link) on speed, vehicles, weather, road type and light."""
-    with working_tables():
-        return _poisson(df)
+    with working_tables() as keep:
+        return _poisson(df, keep)
 
 
-def _poisson(df: DataFrame) -> CountFit:
+def _poisson(df: DataFrame, keep: list[DataFrame]) -> CountFit:
     if "num_casualties" not in df.columns:
         return _unfitted(df, "poisson", "num_casualties column not found")
     numeric = [c for c in NUMERIC if c in df.columns]
@@ -97,10 +99,10 @@ def _poisson(df: DataFrame) -> CountFit:
     if not numeric + categories:
         return _unfitted(df, "poisson", "Insufficient features")
     table = _profiles(df, numeric + categories)
-    try:
-        dummies = [d for c in categories for d in dummy_columns(table, c)]
-    except ValueError as error:
-        return _unfitted(df, "poisson", str(error))
+    levels = [F.count_distinct(c) for c in categories]
+    if categories and sum(table.agg(*levels).first()) > SOLVER_COLUMNS:
+        return _poisson_by_blocks(df, table, numeric, categories, keep)
+    dummies = [d for c in categories for d in dummy_columns(table, c)]
     names = numeric + [name for name, _ in dummies]
     n = table.agg(F.sum("n")).first()[0] or 0
     if n == 0:
@@ -124,6 +126,81 @@ def _poisson(df: DataFrame) -> CountFit:
     )
 
 
+def _poisson_by_blocks(
+    df: DataFrame, table: DataFrame, numeric: list[str], categories: list[str], keep: list[DataFrame],
+    max_rounds: int = 200, tol: float = 1e-9,
+) -> CountFit:
+    """The same fit with any number of categories, one block of coefficients at a time.
+
+    The indicators of a column exclude each other, so its coefficients have a
+    closed form given the rest: the log ratio of observed to expected sums per
+    category, a group-by and a join. Constant and numeric coefficients take a
+    Newton step on a small system. Every category has a coefficient while the
+    rounds go on, until the deviance stands still; the first category's is then
+    moved into the constant. The full information matrix is never formed, so
+    there are no p-values.
+    """
+    y, n = F.col("y"), F.col("n")
+    x = [F.lit(1.0), *[F.col(c) for c in numeric]]
+    k = len(x)
+    total, ys, n_profiles = table.agg(F.sum("n"), F.sum(y * n), F.count(F.lit(1))).first()
+    if not total or not ys:
+        return _unfitted(df, "poisson", "no casualties to fit")
+    firsts = table.agg(*[F.min(c).alias(c) for c in categories]).first().asDict()
+    beta = np.array([math.log(ys / total), *[0.0] * len(numeric)])
+    firsts = {c: "" if v is None else v for c, v in firsts.items()}
+    table = table.withColumns({c: F.coalesce(F.col(c), F.lit(firsts[c])) for c in categories})  # a gap has no indicator
+    effects = {c: materialise(table.select(c).distinct().withColumn("effect", F.lit(0.0)), "effects") for c in categories}
+
+    def fitted(beta: np.ndarray) -> DataFrame:
+        rows = table
+        for c in categories:
+            rows = skew_join(rows, effects[c].withColumnRenamed("effect", f"_{c}"), [c], left_rows=n_profiles)
+        eta = sum((F.lit(float(b)) * v for b, v in zip(beta, x)), sum((F.col(f"_{c}") for c in categories), F.lit(0.0)))
+        return rows.withColumn("mu", F.exp(eta))
+
+    def deviance_of(mean: Column) -> Column:
+        return F.sum(n * 2 * (F.when(y > 0, y * F.ln(y / mean)).otherwise(0.0) - (y - mean)))
+
+    deviance = math.inf
+    mu = F.col("mu")
+    for _ in range(max_rounds):
+        for c in categories:
+            ratio = fitted(beta).groupBy(c).agg(F.ln(F.greatest(F.sum(n * y), F.lit(1e-9)) / F.sum(n * mu)).alias("step"))
+            effects[c] = materialise(
+                effects[c].join(ratio, c).select(c, (F.col("effect") + F.col("step")).alias("effect")), "effects")
+        cells = {f"g{i}_{j}": F.sum(n * mu * x[i] * x[j]) for i in range(k) for j in range(i, k)}
+        cells |= {f"h{i}": F.sum(n * (y - mu) * x[i]) for i in range(k)}
+        sums = fitted(beta).agg(*[c.alias(name) for name, c in cells.items()]).first()
+        gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        beta = beta + np.linalg.pinv(gram) @ np.array([sums[f"h{i}"] for i in range(k)])
+        last, deviance = deviance, fitted(beta).agg(deviance_of(mu)).first()[0]
+        if abs(last - deviance) <= tol * (abs(deviance) + 1):
+            break
+    big = y * F.ln(y) - y + F.ln(2 * math.pi * y) / 2 + 1 / (12 * y) - 1 / (360 * y * y * y)  # of y!, beyond 20
+    log_factorial = F.when(y > 20, big).otherwise(F.ln(F.factorial(F.least(y, F.lit(20.0)).cast("int"))))
+    null_deviance, llf = fitted(beta).agg(
+        deviance_of(F.lit(ys / total)), F.sum(n * (y * F.ln(mu) - mu - log_factorial))).first()
+    base = {c: effects[c].where(F.col(c) == F.lit(firsts[c])).first()["effect"] for c in categories}
+    beta[0] += sum(base.values())
+    effects = {c: effects[c].where(F.col(c) != F.lit(firsts[c])).withColumn("effect", F.col("effect") - base[c]) for c in categories}
+    size = k + sum(e.count() for e in effects.values())
+    spark = df.sparkSession
+    row = (
+        "poisson", True, -2 * llf + 2 * size, deviance - (total - size) * math.log(total), -2 * llf + size * math.log(total),
+        1 - deviance / null_deviance if null_deviance else None, deviance, null_deviance, total, [], None,
+    )
+    fixed = spark.createDataFrame(
+        [(f, float(b), None) for f, b in zip(["const", *numeric], beta)], "feature STRING, coefficient DOUBLE, p_value DOUBLE")
+    for c in categories:
+        name = F.concat(F.lit(f"{c}_"), F.col(c).cast("string")).alias("feature")
+        fixed = fixed.unionByName(
+            effects[c].select(name, F.col("effect").alias("coefficient"), F.lit(None).cast("double").alias("p_value")))
+    coefficients = materialise(fixed, "coefficients")
+    keep.append(coefficients)
+    return CountFit(spark.createDataFrame([row], _STATS_DDL), coefficients)
+
+
 def _sums(table: DataFrame, expressions: dict[str, Column]) -> dict[str, float]:
     weight = F.col("n")
     return table.agg(*[F.sum(e * weight).alias(k) for k, e in expressions.items()]).first().asDict()

@@ -133,3 +133,44 @@ def test_confidence(spark):
     metrics = spark.createDataFrame([(0.95,), (0.8,), (0.5,)], "accuracy DOUBLE")
     assert [r["level"] for r in C.confidence_report(metrics, 100).collect()] == ["High", "Medium", "Low"]
     assert [r["level"] for r in C.confidence_report(metrics, 60).collect()] == ["Medium", "Medium", "Low"]
+
+
+def test_poisson_by_blocks_equals_the_solver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.integers(20, 80)), str(rng.choice(list("abcd"))), rng.choice(["x", "y", None])) for _ in range(600)]
+    counts = [int(rng.poisson(np.exp(0.3 + 0.01 * v + 0.4 * (w == "b") - 0.5 * (r == "y")))) for v, w, r in rows]
+    df = spark.createDataFrame(
+        [(*r, c) for r, c in zip(rows, counts)], "speed_limit DOUBLE, weather STRING, road_type STRING, num_casualties INT")
+    fit = R.fit_poisson(df)
+    whole, stats = {r["feature"]: r["coefficient"] for r in fit.coefficients.collect()}, fit.stats.first()
+    monkeypatch.setattr(R, "SOLVER_COLUMNS", 1)
+    fit = R.fit_poisson(df)
+    blocks, own = {r["feature"]: r["coefficient"] for r in fit.coefficients.collect()}, fit.stats.first()
+    assert blocks.keys() == whole.keys()
+    assert all(blocks[k] == pytest.approx(whole[k], abs=1e-3) for k in whole)
+    assert own["deviance"] == pytest.approx(stats["deviance"], rel=1e-6)
+    assert own["aic"] == pytest.approx(stats["aic"], rel=1e-6) and own["null_deviance"] == pytest.approx(stats["null_deviance"])
+
+
+def test_split_does_not_depend_on_partitioning(spark):
+    df = spark.range(40_000).select("id", (F.col("id") % 3).alias("label"))
+    parts = [{r["id"] for r in C.split(df.repartition(n), "id", by="label")[0].collect()} for n in (3, 37)]
+    assert parts[0] == parts[1] and len(parts[0]) == sum(-(-n * 4 // 5) for n in (13_334, 13_333, 13_333))
+
+
+def test_quantiles_with_infinite_values(spark):
+    from kerbside.operators.quantiles import exact_quantiles
+    inf = float("inf")
+    for values, want in (([1.0, 2.0, inf, None], 2.0), ([-inf, -inf, 3.0], -inf), ([-1.7e308, 1.7e308, 0.5], 0.5),
+                         ([1e-300, 1e300, 2.0, 3.0], 2.5), ([inf, inf], inf)):
+        df = spark.createDataFrame([(v,) for v in values], "x DOUBLE")
+        assert exact_quantiles(df, ["x"])["x"] == want
+
+
+def test_trees_draw_from_all_rows(spark):
+    df = spark.range(10_000).select(*[(F.col("id") * k % 9973).cast("double").alias(c) for k, c in ((1, "a"), (7, "b"))])
+    profiles = df.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    got = A._samples(profiles, ["a", "b"], 10_000, 256, 42)
+    counts = got.groupBy("tree").count().collect()
+    assert len(counts) == A.TREES and {r["count"] for r in counts} == {256}
+    assert got.select("a", "b").distinct().count() > 8500  # of 25 600 draws from 10 000 rows
