@@ -78,6 +78,59 @@ def anomaly_stats(spark, sf):
     return A.detect_anomalies(accidents(spark, sf), 0.1).stats
 
 
+# ---- cases with a closed form: the fits themselves are checked in SQL -------------------
+
+def _r4(column: str):
+    return F.floor(F.col(column) * 1e4 + 0.5) / 1e4
+
+
+@query("poisson_groups", with_accidents("""
+, means AS (SELECT weather, avg(cast(num_casualties AS double)) AS m FROM accidents GROUP BY weather),
+first AS (SELECT m AS m0, weather AS w0 FROM means ORDER BY weather LIMIT 1)
+SELECT CASE WHEN weather = w0 THEN 'const' ELSE 'weather_' || weather END AS feature,
+ floor(CASE WHEN weather = w0 THEN ln(m0) ELSE ln(m / m0) END * 1e4 + 0.5) / 1e4 AS coefficient FROM means, first"""))
+def poisson_groups(spark, sf):
+    """One categorical input: the constant and the log ratios of the group means."""
+    fit = R.fit_poisson(accidents(spark, sf).select("num_casualties", "weather"))
+    return fit.coefficients.select("feature", _r4("coefficient").alias("coefficient"))
+
+
+@query("negative_binomial_groups", with_accidents("""
+, means AS (SELECT avg(CASE WHEN num_vehicles <= 2 THEN cast(num_casualties AS double) END) AS m0,
+ avg(CASE WHEN num_vehicles > 2 THEN cast(num_casualties AS double) END) AS m1 FROM accidents)
+SELECT 'const' AS feature, floor(ln(m0) * 1e4 + 0.5) / 1e4 AS coefficient FROM means
+UNION ALL SELECT 'num_vehicles', floor(ln(m1 / m0) * 1e4 + 0.5) / 1e4 FROM means"""))
+def negative_binomial_groups(spark, sf):
+    """One 0/1 input: the same two numbers as for any count model with a log link."""
+    many = (F.col("num_vehicles") > 2).cast("int").alias("num_vehicles")
+    fit = R.fit_negative_binomial(accidents(spark, sf).select("num_casualties", many))
+    return fit.coefficients.select("feature", _r4("coefficient").alias("coefficient"))
+
+
+@query("anomalies_planted", with_accidents(" SELECT row_id FROM accidents WHERE row_id % 100 = 0"))
+def anomalies_planted(spark, sf):
+    """One row in a hundred lies far out in both columns; exactly those are flagged."""
+    far = F.col("row_id") % 100 == 0
+    planted = accidents(spark, sf).select(
+        "row_id", F.when(far, 1000 + F.col("row_id") % 700).otherwise(F.col("speed_limit")).alias("speed_limit"),
+        F.when(far, 500 + F.col("row_id") % 900).otherwise(F.col("num_vehicles")).alias("num_vehicles"))
+    return A.detect_anomalies(planted, 0.01).data.where("is_anomaly").select("row_id")
+
+
+_BY_SPEED = "CASE WHEN speed_limit >= 60 THEN 'Fatal' WHEN speed_limit >= 50 THEN 'Serious' ELSE 'Minor' END"
+
+
+@query("severity_by_speed", with_accidents(
+    f" SELECT speed_limit, {_BY_SPEED} AS predicted_severity, count(*) AS n, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1_score FROM accidents GROUP BY 1, 2"))
+def severity_by_speed(spark, sf):
+    """Severity fixed by the speed limit: every prediction is right, and so are the metrics."""
+    table = accidents(spark, sf).select(
+        "row_id", "speed_limit", F.lit(1).alias("num_vehicles"), F.expr(_BY_SPEED).alias("severity"))
+    trained = C.train_severity(table, "row_id")
+    predicted = C.predict(table, trained).groupBy("speed_limit", "predicted_severity").agg(F.count(F.lit(1)).alias("n"))
+    return predicted.crossJoin(F.broadcast(trained.metrics.select("accuracy", "f1_score")))  # one row of metrics
+
+
 @query("stratified_split", with_accidents("""
 SELECT severity, count(*) AS n, CASE WHEN place <= ceil(rows * 0.8) THEN 'train' ELSE 'test' END AS part FROM (
  SELECT severity, count(*) OVER (PARTITION BY severity) AS rows,
