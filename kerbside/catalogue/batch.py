@@ -498,6 +498,26 @@ def scenarios_expected(spark, sf):
         {c: r6(c) for c in ("expected_fatal", "expected_serious", "expected_minor")})
 
 
+def _drawn(purpose: str) -> str:
+    return f"('0x' || substr(md5(row_id || '/' || intervention || '/{purpose}/42'), 1, 7))::BIGINT / 268435456.0"
+
+
+@query("scenario_counts", sql(
+    f"""SELECT intervention, fatal_before, fatal_after, serious_before, serious_after, casualties_before, casualties_after,
+ fatal_before - fatal_after AS fatal_reduction, casualties_before - casualties_after AS casualty_reduction,
+ greatest(1, trunc((fatal_before - fatal_after) * 1.2::DOUBLE + (casualties_before - casualties_after) * 0.1::DOUBLE))::BIGINT AS lives_saved_estimate FROM (
+ SELECT intervention, count(*) FILTER (severity = 'Fatal') AS fatal_before, count(*) FILTER (severity = 'Serious') AS serious_before,
+  count(*) FILTER (severity = 'Fatal' AND NOT saved) AS fatal_after,
+  count(*) FILTER (severity = 'Serious' AND NOT eased) + count(*) FILTER (severity = 'Fatal' AND saved) AS serious_after,
+  sum(cast(num_casualties AS double)) AS casualties_before, sum(round_even(num_casualties * (1 - cr), 0)) AS casualties_after
+ FROM (SELECT *, {_drawn('fatal')} < fr AS saved, {_drawn('serious')} < sr AS eased
+  FROM accidents, (VALUES {_scenario_values()}) i(intervention, sr, cr, fr)) GROUP BY intervention)"""))
+def scenario_counts(spark, sf):
+    return Z.simulate(accidents(spark, sf), key="row_id").select(
+        "intervention", "fatal_before", "fatal_after", "serious_before", "serious_after", "casualties_before",
+        "casualties_after", "fatal_reduction", "casualty_reduction", "lives_saved_estimate")
+
+
 @query("scenarios")
 def scenarios(spark, sf):
     return Z.simulate(accidents(spark, sf), key="row_id")

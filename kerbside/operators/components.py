@@ -21,19 +21,19 @@ def _relabel(edges: DataFrame, roots: DataFrame, split_rows: int, n_edges: int)
     )
 
 
-def connected_components(edges: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame, split_rows: int = SPLIT_ROWS, stars: bool = False) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``, which should be a written table.
 
     The graph is contracted round by round: every node joins its neighbour (or
     itself) of lowest rank, and edges inside a joined node disappear. The rank
-    is the id in the first round, which folds a star around its smallest id at
-    once, and a fresh hash later, which shrinks a graph of any shape by a
-    constant factor. No node gathers its neighbours into one task. The root is
+    is a fresh hash, which shrinks a graph of any shape by a constant factor;
+    with ``stars`` the first round ranks by id, which folds stars around their
+    smallest id at once. No node gathers its neighbours into one task. The root is
     some node of the component, the same for all of its nodes.
     """
     edges = edges.select("a", "b")
     merges: list[DataFrame] = []
-    rest, n_rest, turn = edges, edges.count(), 0
+    rest, n_rest, turn = edges, edges.count(), 0 if stars else 1
     while n_rest:
         ends = rest.unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = F.least(F.min(_ranked("b", turn)), F.min(_ranked("a", turn)))

@@ -9,14 +9,13 @@ from kerbside import schema as S
 from kerbside.functions import scalars as X
 from kerbside.operators.risk import score_factors, score_parts, total_score
 
-_STEPS = 1_000_000
 _SHARED = ("total", "days", "unread_dates")  # sums that no intervention changes
 
 
 def draw(key: str, intervention: str, purpose: str, seed: int) -> Column:
     """Uniform [0, 1) fixed by row, intervention and seed: the same on any partitioning."""
-    mixed = F.xxhash64(F.col(key), F.lit(f"{intervention}/{purpose}/{seed}"))
-    return F.pmod(mixed, F.lit(_STEPS)) / F.lit(float(_STEPS))
+    mixed = F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(f"{intervention}/{purpose}/{seed}")))
+    return F.conv(F.substring(mixed, 1, 7), 16, 10).cast("long") / F.lit(float(1 << 28))
 
 
 def _known(names: list[str] | None) -> list[tuple]:

@@ -53,7 +53,7 @@ def test_equals_brute_force(spark, shape, eps, min_samples):
 
 def test_large_scale_paths(spark, monkeypatch):
     """Box splitting and key splitting, forced on small data."""
-    monkeypatch.setattr(components.connected_components, "__defaults__", (1,))
+    monkeypatch.setattr(components.connected_components, "__defaults__", (1, False))
     monkeypatch.setattr(D._cell_links, "__defaults__", (0,))
     points = shapes()["mixed"]
     df = table(spark, points).repartition(5, "longitude")
@@ -84,7 +84,8 @@ def test_far_and_infinite_positions_are_noise(spark):
     assert [r["cluster"] for r in found.collect()] == [0, 0, 0, -1, -1, -1]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("stars", [False, True])
+def test_components(spark, stars):
     pairs = [(i, i + 1) for i in range(60) if i % 13] + [(100, i) for i in range(101, 140)] + [(7, 100)]
     edges = spark.createDataFrame(pairs, "a BIGINT, b BIGINT")
     parent = {}
@@ -96,7 +97,7 @@ def test_components(spark):
     for a, b in pairs:
         parent[find(a)] = find(b)
     got = {}
-    for r in components.connected_components(edges, split_rows=1).collect():
+    for r in components.connected_components(edges, split_rows=1, stars=stars).collect():
         got.setdefault(r["root"], set()).add(r["node"])
     want = {}
     for x in list(parent):
