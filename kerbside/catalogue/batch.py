@@ -415,6 +415,15 @@ def upload_file(spark, sf):
         "src_row", "accident_id", "hour", "month", "time_of_day", "severity_score", r6("risk_index").alias("risk_index"), "risk_level")
 
 
+@query("upload_codes", upload_sql(
+    """SELECT road_type, cast(dense_rank() OVER (ORDER BY first_row) - 1 AS int) AS code, n FROM (
+ SELECT road_type, min(src_row) AS first_row, count(*) AS n FROM standard GROUP BY road_type)""",
+    DISTINCT, FILLED, WORDS, STANDARD))
+def upload_codes(spark, sf):
+    table, _ = V.process_upload(upload(spark, sf), order=["src_row"], encode=True)
+    return table.groupBy("road_type", F.col("road_type_encoded").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("generate_ids", upload_sql(
     """SELECT src_row, 'ACC' || lpad(cast(row_number() OVER (ORDER BY src_row) AS varchar), cast(greatest(6, length(cast(row_number() OVER (ORDER BY src_row) AS varchar))) AS int), '0') AS accident_id
  FROM (SELECT DISTINCT src_row FROM upload)"""))

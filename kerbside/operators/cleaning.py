@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -183,10 +185,18 @@ def generate_ids(df: DataFrame, order: list[str]) -> DataFrame:
 
 # -- the whole upload pipeline ------------------------------------------------------
 
-class Optimised(NamedTuple):
-    data: DataFrame      # standardised table
-    report: DataFrame    # one row
-    changes: DataFrame   # one row per change or warning, in order of application
+class Optimised:
+    """The standardised table, a report of one row, and one row per change or warning in order.
+
+    Identifiers cost a sort of the whole table, so ``data`` is formed on first use.
+    """
+
+    def __init__(self, form: Callable[[], DataFrame], report: DataFrame, changes: DataFrame):
+        self._form, self.report, self.changes = form, report, changes
+
+    @cached_property
+    def data(self) -> DataFrame:
+        return self._form()
 
 
 def optimise(df: DataFrame, order: list[str] | None = None) -> Optimised:
@@ -242,18 +252,22 @@ def optimise(df: DataFrame, order: list[str] | None = None) -> Optimised:
                  f"{found[key]} rows have invalid {column} values")
 
     data = standardise_vocabulary(filled)
-    if "accident_id" not in data.columns:
-        data = generate_ids(data, order or data.columns)
+    columns = list(data.columns)
+    if "accident_id" not in columns:
+        columns.append("accident_id")
         note("generated_ids", "accident_id", fills.rows, "Generated accident IDs")
 
+    def form() -> DataFrame:
+        return data if "accident_id" in data.columns else generate_ids(data, order or data.columns)
+
     report = spark.createDataFrame(
-        [(original, len(df.columns), fills.rows, len(data.columns), removed,
+        [(original, len(df.columns), fills.rows, len(columns), removed,
           found["unknown"], found["lat"], found["lon"], max(0.0, quality))],
         "original_rows BIGINT, original_cols INT, final_rows BIGINT, final_cols INT, "
         "duplicates_removed BIGINT, severities_replaced BIGINT, invalid_latitude BIGINT, "
         "invalid_longitude BIGINT, quality_score DOUBLE",
     )
-    return Optimised(data, report, spark.createDataFrame(changes, _CHANGES_DDL))
+    return Optimised(form, report, spark.createDataFrame(changes, _CHANGES_DDL))
 
 
 def append_records(table: DataFrame, records: DataFrame) -> DataFrame:

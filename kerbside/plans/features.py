@@ -62,7 +62,15 @@ def process(df: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     return add_risk_index(apply_codes(table, encodings)), encodings
 
 
-def process_upload(df: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, Optimised]:
-    """Standardise an uploaded table, then derive: returns (derived table, what was changed)."""
+def process_upload(
+    df: DataFrame, order: list[str] | None = None, encode: bool = False
+) -> tuple[DataFrame, Optimised]:
+    """Standardise an uploaded table, then derive: returns (derived table, what was changed).
+
+    With ``encode`` the category columns also get their codes, by first appearance in the order of the identifiers.
+    """
     optimised = optimise(df, order)
-    return derive(optimised.data), optimised
+    table = derive(optimised.data)
+    if encode:
+        table = apply_codes(table, first_seen_codes(table, "accident_id"))
+    return table, optimised
