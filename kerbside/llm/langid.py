@@ -34,7 +34,8 @@ MAX_LANGUAGES = 512
 SLOTS_LOG2 = 17
 HASHES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 UNKNOWN = "und"
-MIN_RATE = 0.2
+MIN_RATE = 0.2         # of n-grams known, for a text to read like a language
+MIN_GRAMS = 40         # shorter texts are not judged by it
 _PER_SLICE = 64
 # A-Z to a-z; other ASCII bytes than letters separate words; the bytes of other characters stay
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -130,38 +131,40 @@ def _rates(model: Model, codes: np.ndarray) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every document, numbered, with ``lang_pred``, ``score`` and ``rate``.
+    """The columns ``keep`` of every document, numbered, with ``lang_pred``, ``score``, ``rate``, ``grams``.
 
     ``score`` is the winner's part of all languages' rates, ``rate`` the
-    winner's rate (near 1 for ordinary text of that language). Texts that are
+    winner's rate (near 1 for ordinary text of that language), ``grams`` the
+    number of n-grams read. Texts that are
     null or have no letter, and all texts if nothing was learned, are ``und``
     with score 0. Ties go to the language first in order. Only the text counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     rows = docs.select(*numbered(keep), *([] if "text" in keep else ["text"]))
     place = keep.index("text") if "text" in keep else len(keep)
-    names = [*rows.columns[:len(keep)], "lang_pred", "score", "rate"]
+    names = [*rows.columns[:len(keep)], "lang_pred", "score", "rate", "grams"]
 
-    def predict(model: Model, text: str | None) -> tuple[str, float, float]:
+    def predict(model: Model, text: str | None) -> tuple[str, float, float, int]:
         if not text or not model.languages or not _LETTER.search(text):
-            return UNKNOWN, 0.0, 0.0
+            return UNKNOWN, 0.0, 0.0, 0
         codes = _grams(text)
         rates = _rates(model, codes) if len(codes) else np.zeros(len(model.languages))
         best, total = int(np.argmax(rates)), rates.sum()
-        return model.languages[best], float(rates[best] / total) if total else 0.0, float(rates[best])
+        return model.languages[best], float(rates[best] / total) if total else 0.0, float(rates[best]), len(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in batches:
             found = [predict(model, t) for t in batch.column(place).to_pylist()]
-            lang, score, rate = zip(*found) if found else ((), (), ())
+            lang, score, rate, grams = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(keep))]
-                + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())],
+                + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()),
+                   pa.array(grams, pa.int64())],
                 names)
 
     return small_batches(rows).mapInArrow(
-        run, f"{numbered_schema(docs, keep)}lang_pred string, score double, rate double")
+        run, f"{numbered_schema(docs, keep)}lang_pred string, score double, rate double, grams bigint")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -177,9 +180,11 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, min_rate: float = MIN_RATE) -> DataFrame:
     """The documents whose text reads like one of the learned languages, columns unchanged.
 
-    Texts without a letter go, and those of which even the best language
-    knows fewer than ``min_rate`` of the n-grams it knows of its own text.
+    Texts without a letter go, and those of ``MIN_GRAMS`` n-grams or more of
+    which even the best language knows fewer than ``min_rate`` of the share
+    that it knows of its own text. Shorter texts stay: too little to judge.
     """
     found = identify(docs, fit(docs.where(~held_out())), docs.columns)
-    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("rate") >= min_rate)
+    reads = (F.col("grams") < MIN_GRAMS) | (F.col("rate") >= min_rate)
+    kept = (F.col("lang_pred") != UNKNOWN) & reads
     return found.where(kept).select(*restored(docs.columns))

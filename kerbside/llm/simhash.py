@@ -195,7 +195,7 @@ def components(
         distinct = materialise(
             prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
         links = near_links(distinct, max_bits, cell_rows)
-        roots = materialise(connected_components(links), "roots").withColumnRenamed("node", "fp")
+        roots = materialise(connected_components(links, stars=True), "roots").withColumnRenamed("node", "fp")
         linked = distinct.join(roots, "fp").select("fp", "root", "first")
         lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
         named = linked.join(lowest, "root").select("fp", "component_id")

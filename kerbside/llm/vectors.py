@@ -245,7 +245,7 @@ def components(
         found = near_links(distinct.select("id", "n", "embedding"), min_cosine, home_rows)
         counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
         links = materialise(found.where("b IS NOT NULL").select("a", "b").distinct(), "links")
-        roots = materialise(connected_components(links), "roots").withColumnRenamed("node", "id")
+        roots = materialise(connected_components(links, stars=True), "roots").withColumnRenamed("node", "id")
         lowest = distinct.join(roots, "id").groupBy("root").agg(F.min("first").alias("component_id"))
         named = materialise(
             distinct.join(counts, "id", "left").join(roots, "id", "left").join(lowest, "root", "left")

@@ -65,7 +65,7 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> N
         (F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
          % F.lit(shards)).alias("shard"), "page_id", _records(pages).alias("value"))
     (
-        rows.repartition(int(shards), "shard").sortWithinPartitions("shard", "page_id", "value")
+        rows.repartitionById(int(shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "value")
         .select("shard", "value").write.partitionBy("shard")
         .option("lineSep", _END).option("compression", "gzip").text(path)
     )
