@@ -40,9 +40,11 @@ ROUNDS = 2
 CONTEXT = 9            # words that an anchor's name covers at least
 _CACHED_WORDS = 500_000
 _FLUSH_ROWS = 1_000_000
+_BUSY_ROWS = 256       # different stretches of an anchor in one flush of a task beyond which it counts as busy
 _PLACE_BITS = 28       # of a rank: symbols of a batch, below the hash
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_STATES = ("repeated", "open", "busy", "mark")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -175,11 +177,14 @@ def _order(column: str = "doc_id") -> Column:
 
 
 def _stretches(docs: DataFrame, window: int, rounds: int, context: int) -> DataFrame:
-    """(anchor, stretch, doc, start, windows, repeated): first occurrences per task and their repeats.
-
-    A stretch that equals an earlier one of the same task is marked repeated
-    and takes no part in the comparison, so a passage of any frequency sends
-    one row per task to its anchor.
+    """(anchor, stretch, doc, start, windows, state): what a task settles and what is left to compare.
+
+    A stretch that equals an earlier one of the same task is ``repeated`` and
+    takes no part in the comparison, so a passage of any frequency sends one
+    row per task to its anchor. An anchor with very many different stretches
+    in a task is busy: they go to the comparison of windows at once (state
+    ``busy``), and a single ``mark`` tells the other tasks' stretches of that
+    anchor to do the same. The rest is ``open``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _Names()
@@ -197,10 +202,18 @@ def _stretches(docs: DataFrame, window: int, rounds: int, context: int) -> DataF
             # an equal place is the same document again, not an earlier one
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
             later = same & ((doc != doc[head]) | (start != start[head]))
+            _, group, rows_of = np.unique(anchor[~later], return_inverse=True, return_counts=True)
+            state = np.where(later, 0, 1)
+            state[~later] = np.where(rows_of[group] > _BUSY_ROWS, 2, 1)
+            busy = np.unique(anchor[state == 2])
+            none = np.zeros(len(busy), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(doc),
-                 pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(later)],
-                ["anchor", "stretch", "doc", "start", "windows", "repeated"])
+                [pa.array(np.concatenate([anchor, busy]).view(np.int64)),
+                 pa.array(np.concatenate([stretch, _mix(busy, 23)]).view(np.int64)), pa.array(np.concatenate([doc, none])),
+                 pa.array(np.concatenate([start, none]).astype(np.int32)),
+                 pa.array(np.concatenate([count, none]).astype(np.int32)),
+                 pa.array([_STATES[k] for k in np.concatenate([state, none + 3]).tolist()], pa.string())],
+                ["anchor", "stretch", "doc", "start", "windows", "state"])
 
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
@@ -221,7 +234,7 @@ def _stretches(docs: DataFrame, window: int, rounds: int, context: int) -> DataF
 
     texts = small_batches(docs).select(_order().alias("doc"), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(
-        run, "anchor bigint, stretch bigint, doc bigint, start int, windows int, repeated boolean")
+        run, "anchor bigint, stretch bigint, doc bigint, start int, windows int, state string")
 
 
 def _windows(texts: DataFrame, asked: DataFrame, window: int) -> DataFrame:
@@ -256,20 +269,22 @@ def repeated_ranges(
     texts = docs.select(_order().alias("doc"), F.col("text").cast("binary").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _stretches(docs, window, rounds, context)
-    # repeats within a task are settled; they spread evenly instead of following their anchor
-    key = F.when(F.col("repeated"), F.xxhash64("doc", "start")).otherwise(F.col("anchor"))
-    rows = rows.withColumn("key", key).repartition(parts, "key")
-    same = Window.partitionBy("key", "repeated", "stretch").orderBy("doc", "start")
-    group = Window.partitionBy("key", "repeated")
+    # what needs no comparison here spreads evenly instead of following its anchor
+    compared = F.col("state").isin("open", "mark")
+    key = F.when(compared, F.col("anchor")).otherwise(F.xxhash64("doc", "start"))
+    rows = rows.withColumns({"key": key, "compared": compared}).repartition(parts, "key")
+    same = Window.partitionBy("key", "compared", "stretch").orderBy("doc", "start")
+    group = Window.partitionBy("key", "compared")
     judged = materialise(
         rows.withColumns({
             "first": F.first(F.struct("doc", "start")).over(same),
             "copy": F.row_number().over(same),
             "several": F.min("stretch").over(group) != F.max("stretch").over(group),
         })
-        .withColumn("later", F.col("first") != F.struct("doc", "start"))
-        .where("repeated OR later OR (several AND copy = 1)")
-        .select("anchor", "doc", "start", "windows", (F.col("repeated") | F.col("later")).alias("covered")),
+        .withColumn("covered", (F.col("state") == "repeated") | (
+            (F.col("state") == "open") & (F.col("first") != F.struct("doc", "start"))))
+        .where("covered OR state = 'busy' OR (state = 'open' AND several AND copy = 1)")
+        .select("anchor", "doc", "start", "windows", "covered"),
         "judged",
     )
     covered = judged.where("covered").select("doc", "start", "windows")

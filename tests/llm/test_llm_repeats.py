@@ -47,6 +47,15 @@ def test_equals_brute_force(spark, kind):
         assert sorted(map(tuple, got.collect())) == brute(enumerate(case), window)
 
 
+def test_busy_anchors(spark, monkeypatch):
+    """Stretches of frequent anchors skip the comparison of stretches in some tasks and not in others."""
+    monkeypatch.setattr(repeats, "_BUSY_ROWS", 2)
+    for kind in ("few words", "passages"):
+        case = texts(kind)
+        got = repeats.report(docs_of(spark, case).repartition(3), 6)
+        assert sorted(map(tuple, got.collect())) == brute(enumerate(case), 6)
+
+
 def test_kept_texts(spark):
     case = texts("passages")
     kept = {r["doc_id"]: r["text"] for r in repeats.remove_repeats(docs_of(spark, case, windows=1)).collect()}
