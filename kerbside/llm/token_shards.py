@@ -110,7 +110,11 @@ def feistel(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 def _packs(docs: DataFrame, vocabulary: str, end: int, sequence: int) -> DataFrame:
-    """(pack, doc_ids, sizes, sequences, ids): packed and compressed ids of consecutive documents; written."""
+    """(doc_ids, sizes, sequences, ids, base): packed and compressed ids of consecutive documents; written.
+
+    ``base`` numbers the first sequence of a pack: packs count on within a
+    task, and one row per task says where each task starts.
+    """
     with open(vocabulary, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -120,16 +124,19 @@ def _packs(docs: DataFrame, vocabulary: str, end: int, sequence: int) -> DataFra
         marker = array("H", [end]).tobytes()
         doc_ids: list = []
         parts: list[bytes] = []
-        held = 0
+        held = done = 0
 
         def pack() -> pa.RecordBatch:
+            nonlocal done
             data = b"".join(parts)
             sizes = [len(p) // 2 for p in parts]
             count = -(-len(data) // (2 * sequence))
+            done += count
             return pa.RecordBatch.from_arrays(
                 [pa.array([doc_ids], pa.list_(doc_type)), pa.array([sizes], pa.list_(pa.int64())),
-                 pa.array([count], pa.int64()), pa.array([zstandard.compress(data, _LEVEL)], pa.binary())],
-                ["doc_ids", "sizes", "sequences", "ids"])
+                 pa.array([count], pa.int64()), pa.array([zstandard.compress(data, _LEVEL)], pa.binary()),
+                 pa.array([done - count], pa.int64())],
+                ["doc_ids", "sizes", "sequences", "ids", "before"])
 
         for batch in batches:
             encoder = encoder or Encoder(ranks.value)
@@ -146,11 +153,12 @@ def _packs(docs: DataFrame, vocabulary: str, end: int, sequence: int) -> DataFra
             yield pack()
 
     packed = small_batches(docs).select("doc_id", "text").mapInArrow(
-        run, f"doc_ids array<{kind}>, sizes array<bigint>, sequences bigint, ids binary")
-    packed = materialise(packed.withColumn("pack", F.monotonically_increasing_id()), "packs")
-    before = F.sum("sequences").over(Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1))
-    bases = packed.select("pack", "sequences").withColumn("base", F.coalesce(before, F.lit(0)))  # one row per pack
-    return packed.join(bases.select("pack", "base"), "pack")
+        run, f"doc_ids array<{kind}>, sizes array<bigint>, sequences bigint, ids binary, before bigint")
+    packed = materialise(packed.withColumn("task", F.spark_partition_id()), "packs")
+    tasks = packed.groupBy("task").agg(F.sum("sequences").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = tasks.select("task", F.coalesce(earlier, F.lit(0)).alias("start"))
+    return packed.join(F.broadcast(starts), "task").withColumn("base", F.col("start") + F.col("before"))
 
 
 def _sequences(ids: bytes, sequence: int, end: int) -> np.ndarray:
