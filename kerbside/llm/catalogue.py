@@ -150,6 +150,25 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(documents(spark, sf_dir))
 
 
+ORACLES["op6_repeats"] = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(words) - 18)) AS i FROM split)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS turn FROM windows)
+  WHERE turn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM later),
+places AS (SELECT doc_id, k, words[k] AS word FROM (SELECT *, unnest(range(1, len(words) + 1)) AS k FROM split)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS words
+  FROM places ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(s.words), 0)::BIGINT AS n_words,
+       (coalesce(len(s.words), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)
+"""
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document."""
