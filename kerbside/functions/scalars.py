@@ -184,7 +184,8 @@ def congestion_colour(percent: Column) -> Column:
 
 # -- model reports ---------------------------------------------------------------
 
-def _reliable(accuracy: Column, rows: Column, good: str, fair: str, poor: str) -> Column:
+def _reliable(accuracy: Column, rows: Column, field: int) -> Column:
+    good, fair, poor = (row[field] for row in S.CONFIDENCE)
     return (
         F.when((accuracy >= 0.9) & (rows >= 100), F.lit(good))
         .when((accuracy >= 0.75) & (rows >= 50), F.lit(fair))
@@ -193,15 +194,15 @@ def _reliable(accuracy: Column, rows: Column, good: str, fair: str, poor: str) -
 
 
 def confidence_level(accuracy: Column, rows: Column) -> Column:
-    return _reliable(accuracy, rows, *S.CONFIDENCE_LEVELS)
+    return _reliable(accuracy, rows, 0)
 
 
 def confidence_colour(accuracy: Column, rows: Column) -> Column:
-    return _reliable(accuracy, rows, *S.CONFIDENCE_COLOURS)
+    return _reliable(accuracy, rows, 1)
 
 
 def confidence_text(accuracy: Column, rows: Column) -> Column:
-    return _reliable(accuracy, rows, *S.CONFIDENCE_TEXTS)
+    return _reliable(accuracy, rows, 2)
 
 
 def impact_band(importance: Column) -> Column:

@@ -141,12 +141,11 @@ CITY_COLOURS = ([(33, "green"), (66, "orange")], "red")
 DELAY_BANDS = ([(4, "Critical"), (3, "Major"), (2, "Moderate"), (1, "Minor")], "Low")        # from
 CONGESTION_BANDS = ([(70, "Critical"), (50, "High"), (30, "Moderate")], "Low")               # from
 CONGESTION_COLOURS = ([(70, "#ff0040"), (50, "#ff6600"), (30, "#ffcc00")], "#00ff88")        # from
-CONFIDENCE_LEVELS = ("High", "Medium", "Low")
-CONFIDENCE_COLOURS = ("#34A853", "#FBBC05", "#EA4335")
-CONFIDENCE_TEXTS = (
-    "Model predictions are highly reliable",
-    "Model predictions are reasonably reliable",
-    "More data needed for reliable predictions",
+# Confidence in a model: level, colour, text.
+CONFIDENCE = (
+    ("High", "#34A853", "Model predictions are highly reliable"),
+    ("Medium", "#FBBC05", "Model predictions are reasonably reliable"),
+    ("Low", "#EA4335", "More data needed for reliable predictions"),
 )
 
 # Feed severities as accident severities, and the casualties assumed for each.
