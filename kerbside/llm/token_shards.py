@@ -41,7 +41,7 @@ KEY = 0x5EED
 # Fixed value: the published splitting pattern of the vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PACK_IDS = 1 << 21
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 250_000
 _LEVEL = 6
 _SHARD_END = "\n"      # one byte behind the last sequence of a shard, written by the text sink
 _ROUNDS = 6
