@@ -2,7 +2,7 @@
 
 The seeds are what the base patterns find. Every token holding a digit or an
 at sign is a possible identifier; the two words before it are its lexical
-pattern. Patterns and tokens form a bipartite graph with one edge per pair
+pattern, in which a token counts as a word that is the same for all. Patterns and tokens form a bipartite graph with one edge per pair
 seen anywhere. Scores run over the graph in rounds: seeds have score 1, a
 pattern scores the mean of its tokens, a token scores what remains after each
 of its reliable patterns has failed to vouch for it. Tokens that reliable
@@ -29,18 +29,20 @@ _IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-_TOKEN = r"[^\s0-9@]*+[0-9@]\S*+"
+_TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_LAST = r"(?:^\s*+|(?<!\S)(?:\S++\s++)?\S++\s*+)\z"  # up to two words at the end of a gap
 CONTEXT = "context"
 
 ROUNDS = 3
 MIN_SEEDS = 5            # different seeds that must follow a pattern
 MIN_CONFIDENCE = 0.9     # of a pattern, and of a token it brings in
-_TAIL = 64               # characters before a token searched for its two words
+_NUMBER = "0"            # stands for a token among the words; no other word has a digit
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,before:string>>"
+_UNIT = "struct<start:bigint,end:bigint,token:string,pattern:string>"
 
 
 def _matches(text: Column, pattern: str, kind: str) -> Column:
-    """Leftmost non-overlapping matches with their places in code points and the text before them."""
+    """Leftmost non-overlapping matches with their places in code points; those of tokens with the end of the gap before them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
@@ -50,7 +52,7 @@ def _matches(text: Column, pattern: str, kind: str) -> Column:
         end = begin + F.length(pair["value"])
         span = F.struct(
             F.lit(kind).alias("kind"), begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"),
-            pair["value"].alias("value"), F.right(pair["gap"], F.lit(_TAIL)).alias("before"))
+            pair["value"].alias("value"), (F.regexp_extract(pair["gap"], _LAST, 0) if kind == CONTEXT else F.lit("")).alias("before"))
         return F.struct(end.cast("bigint").alias("at"), F.array_append(done["spans"], span).cast(_SPAN).alias("spans"))
 
     # split gives one more gap than there are matches; the last one is dropped
@@ -74,6 +76,20 @@ def _proper(span: Column) -> Column:
     )
 
 
+def _units(tokens: Column) -> Column:
+    """Tokens with the two words before each, in the whole text; tokens among these count as ``_NUMBER``."""
+    def step(done: Column, t: Column) -> Column:
+        tail = F.trim(F.regexp_replace(F.lower(t["before"]), r"\s+", " "))
+        pattern = F.substring_index(F.trim(F.concat_ws(" ", done["words"], tail)), " ", -2)
+        unit = F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("token"), pattern.alias("pattern"))
+        return F.struct(
+            F.substring_index(F.trim(F.concat_ws(" ", pattern, F.lit(_NUMBER))), " ", -2).alias("words"),
+            F.array_append(done["units"], unit).cast(f"array<{_UNIT}>").alias("units"))
+
+    start = F.struct(F.lit("").alias("words"), F.array().cast(f"array<{_UNIT}>").alias("units"))
+    return F.aggregate(tokens, start, step, lambda done: done["units"])
+
+
 def _scanned(docs: DataFrame) -> DataFrame:
     """(row, doc_id, base, tokens) per document; the only pass over the texts."""
     text = F.col("text")
@@ -90,13 +106,11 @@ def _scanned(docs: DataFrame) -> DataFrame:
         found(digit & text.contains("+"), _PHONE, "phone"),
     )
     tokens = found(digit | text.contains("@"), _TOKEN, CONTEXT)
-    words = lambda t: F.lower(F.regexp_extract(t["before"], r"(?:^|\s)(\S+\s+\S+)\s+$", 1))
-    edge = F.transform(tokens, lambda t: F.struct(
-        t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("token"),
-        F.regexp_replace(words(t), r"\s+", " ").alias("pattern")))
     return docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.filter(base, _proper).alias("base"), edge.alias("tokens"),
-    ).select("row", "doc_id", F.transform("base", lambda s: s.dropFields("value", "before")).alias("base"), "tokens")
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.filter(base, _proper).alias("base"), tokens.alias("tokens"),
+    ).select(
+        "row", "doc_id", F.transform("base", lambda s: s.dropFields("value", "before")).alias("base"),
+        _units(F.col("tokens")).alias("tokens"))
 
 
 def _scores(edges: DataFrame, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:
@@ -140,7 +154,7 @@ def find(
         token = F.col("t")
         inside = F.exists("base", lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
         seen = scanned.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t")).select(
-            "row", "t.start", "t.end", "t.token", "t.pattern", inside.cast("int").alias("seed")).where("pattern <> ''")
+            "row", "t.start", "t.end", "t.token", "t.pattern", inside.cast("int").alias("seed")).where(F.col("pattern").contains(" "))
         edges = materialise(seen.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges")
         accepted = materialise(_scores(edges, rounds, min_seeds, min_confidence), "accepted")
         spans = (

@@ -65,6 +65,26 @@ def test_reliable_pattern_brings_in_tokens(spark):
     assert got[48] == "context:14:22" and got[49] == ""
 
 
+def test_words_before_a_token_may_be_tokens_or_long(spark):
+    long = "z" * 100
+    texts = [
+        "the ids QX-10457, QX-20881 QX-30991", "room 12 code QX-10457", f"see {long} code QX-10457", f"{long} {long} QX-10457",
+        "QX-10457 only", "a \t QX-10457\n\nQX-20881", "é\U0001f600 Mail a@b.example or  QX-10457"]
+    got = {r["doc_id"]: [tuple(u)[:4] for u in r["tokens"]] for r in personal._scanned(docs_of(spark, texts)).collect()}
+    patterns = {k: [u[3] for u in v] for k, v in got.items()}
+    assert patterns == {
+        0: ["the ids", "ids 0", "0 0"], 1: ["room", "0 code"], 2: [f"{long} code"], 3: [f"{long} {long}"],
+        4: [""], 5: ["a", "a 0"], 6: ["é\U0001f600 mail", "0 or"]}
+    assert all(texts[k][a:b] == t for k, v in got.items() for a, b, t, _ in v)
+
+
+def test_adjacent_identifiers_are_found(spark):
+    texts = [f"ids {n}{i}@staff.example, {n}{i + 50}@staff.example" for i, n in enumerate("abcdefghijkl")]
+    texts = [f"the {t}" for t in texts] + ["the ids QX-10457, QX-20881"]
+    got = {r["doc_id"]: r["spans"] for r in personal.report(docs_of(spark, texts)).collect()}
+    assert got[12] == "context:8:17,context:18:26"
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     got = personal.report(docs)
