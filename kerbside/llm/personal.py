@@ -1,8 +1,9 @@
 """Personal data by patterns and by bootstrapped contextual extraction, in DataFrame operations only.
 
-The seeds are what the base patterns find. Every token holding a digit or an
-at sign is a possible identifier; the two words before it are its lexical
-pattern, in which a token counts as a word that is the same for all. Patterns and tokens form a bipartite graph with one edge per pair
+The seeds are what the base patterns find, each with its full value. Outside
+of them every token holding a digit or an at sign, with the number pieces that
+follow it, is a possible identifier. The two words before one are its lexical
+pattern, in which identifiers count as a word that is the same for all. Patterns and tokens form a bipartite graph with one edge per pair
 seen anywhere. Scores run over the graph in rounds: seeds have score 1, a
 pattern scores the mean of its tokens, a token scores what remains after each
 of its reliable patterns has failed to vouch for it. Tokens that reliable
@@ -30,6 +31,7 @@ _CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_PIECE = r"^\(?[0-9][0-9()./-]*[0-9][0-9()./-]*[.,;:!?]*$"  # at least two digits
 _LAST = r"(?:^\s*+|(?<!\S)(?:\S++\s++)?\S++\s*+)\z"  # up to two words at the end of a gap
 CONTEXT = "context"
 
@@ -38,7 +40,8 @@ MIN_SEEDS = 5            # different seeds that must follow a pattern
 MIN_CONFIDENCE = 0.9     # of a pattern, and of a token it brings in
 _NUMBER = "0"            # stands for a token among the words; no other word has a digit
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,before:string>>"
-_UNIT = "struct<start:bigint,end:bigint,token:string,pattern:string>"
+_UNITS = "array<struct<start:bigint,end:bigint,token:string,pattern:string,seed:int,runs:boolean>>"
+_STATE = f"struct<covered:bigint,words:string,pattern:string,last:string,units:{_UNITS}>"
 
 
 def _matches(text: Column, pattern: str, kind: str) -> Column:
@@ -76,18 +79,55 @@ def _proper(span: Column) -> Column:
     )
 
 
-def _units(tokens: Column) -> Column:
-    """Tokens with the two words before each, in the whole text; tokens among these count as ``_NUMBER``."""
-    def step(done: Column, t: Column) -> Column:
-        tail = F.trim(F.regexp_replace(F.lower(t["before"]), r"\s+", " "))
-        pattern = F.substring_index(F.trim(F.concat_ws(" ", done["words"], tail)), " ", -2)
-        unit = F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("token"), pattern.alias("pattern"))
-        return F.struct(
-            F.substring_index(F.trim(F.concat_ws(" ", pattern, F.lit(_NUMBER))), " ", -2).alias("words"),
-            F.array_append(done["units"], unit).cast(f"array<{_UNIT}>").alias("units"))
+def _units(base: Column, tokens: Column) -> Column:
+    """Instances with the two words before each, in the whole text, in order.
 
-    start = F.struct(F.lit("").alias("words"), F.array().cast(f"array<{_UNIT}>").alias("units"))
-    return F.aggregate(tokens, start, step, lambda done: done["units"])
+    A checked base span is one instance (seed 1) with the words before the
+    word it begins in; of overlapping spans the first, then longest, counts.
+    Any other token that touches no span is a candidate (seed 0), and number
+    pieces that follow it at one blank belong to it. A span or a token and
+    its pieces is one word ``_NUMBER`` to what comes after.
+    """
+    def event(kind: int):
+        return lambda s: F.struct(
+            s["start"].alias("start"), F.lit(kind).alias("seed"), (-s["end"]).alias("minus_end"),
+            s["value"].alias("value"), s["before"].alias("before"))
+
+    def last_two(*words: Column) -> Column:
+        return F.substring_index(F.trim(F.concat_ws(" ", *words)), " ", -2)
+
+    def step(done: Column, e: Column) -> Column:
+        span, end, units = e["seed"] == 1, -e["minus_end"], done["units"]
+        inside = e["start"] < done["covered"]  # a span begun in an earlier word goes on here
+        tail = F.trim(F.regexp_replace(F.lower(e["before"]), r"\s+", " "))
+        pattern = F.when(span, done["pattern"]).when(inside, done["words"]).otherwise(last_two(done["words"], tail))
+        runs = ~span & (e["before"] == " ") & e["value"].rlike(_PIECE) & done["last"].rlike("[0-9)]$")
+        unit = F.struct(e["start"].alias("start"), end.alias("end"), e["value"].alias("token"), pattern.alias("pattern"),
+                        e["seed"].alias("seed"), runs.alias("runs"))
+        newest = F.get(units, F.size(units) - 1)
+        touched = span & (newest["seed"] == 0) & (newest["end"] > e["start"])
+        clear = F.when(touched, F.slice(units, F.lit(1), F.size(units) - 1)).otherwise(units)
+        return F.struct(
+            F.when(span, F.greatest(done["covered"], end)).otherwise(done["covered"]).alias("covered"),
+            F.when(span | inside | runs, done["words"]).otherwise(last_two(pattern, F.lit(_NUMBER))).alias("words"),
+            pattern.alias("pattern"), F.when(span, done["last"]).otherwise(e["value"]).alias("last"),
+            F.when(inside, clear).otherwise(F.array_append(clear, unit)).alias("units")).cast(_STATE)
+
+    def join(done: Column, u: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        whole = F.struct(
+            last["start"].alias("start"), u["end"].alias("end"), F.concat_ws(" ", last["token"], u["token"]).alias("token"),
+            last["pattern"].alias("pattern"), u["seed"].alias("seed"), u["runs"].alias("runs"))
+        follows = u["runs"] & (u["seed"] == 0) & (last["seed"] == 0) & (last["end"] + 1 == u["start"])
+        return F.when(follows, F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), whole)).otherwise(
+            F.array_append(done, u)).cast(_UNITS)
+
+    events = F.array_sort(F.concat(F.transform(tokens, event(0)), F.transform(base, event(1))))
+    empty = F.array().cast(_UNITS)
+    start = F.struct(
+        F.lit(0).alias("covered"), F.lit("").alias("words"), F.lit("").alias("pattern"), F.lit("").alias("last"),
+        empty.alias("units")).cast(_STATE)
+    return F.aggregate(F.aggregate(events, start, step, lambda done: done["units"]), empty, join)
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -110,7 +150,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row"), "doc_id", F.filter(base, _proper).alias("base"), tokens.alias("tokens"),
     ).select(
         "row", "doc_id", F.transform("base", lambda s: s.dropFields("value", "before")).alias("base"),
-        _units(F.col("tokens")).alias("tokens"))
+        _units(F.col("base"), F.col("tokens")).alias("tokens"))
 
 
 def _scores(edges: DataFrame, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:
@@ -151,10 +191,8 @@ def find(
     """
     with working_tables() as keep:
         scanned = materialise(_scanned(docs), "scanned")
-        token = F.col("t")
-        inside = F.exists("base", lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
-        seen = scanned.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t")).select(
-            "row", "t.start", "t.end", "t.token", "t.pattern", inside.cast("int").alias("seed")).where(F.col("pattern").contains(" "))
+        seen = scanned.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select(
+            "row", "t.start", "t.end", "t.token", "t.pattern", "t.seed").where(F.col("pattern").contains(" "))
         edges = materialise(seen.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges")
         accepted = materialise(_scores(edges, rounds, min_seeds, min_confidence), "accepted")
         spans = (

@@ -78,6 +78,26 @@ def test_words_before_a_token_may_be_tokens_or_long(spark):
     assert all(texts[k][a:b] == t for k, v in got.items() for a, b, t, _ in v)
 
 
+def test_spans_are_whole_instances(spark):
+    texts = [
+        "my phone +1 (487) 555-7209, or (302) 555-0175. now", "the card 4111 1111 1111 1111 and 4111 1111 1111 1112 x9",
+        "two at a@b.example,c@d.example (+1 302 555-0175) QX-10457 10.0.0.1", "the ids QX-10457, 20881 30991 4x"]
+    got = {r["doc_id"]: [tuple(u)[:5] for u in r["tokens"]] for r in personal._scanned(docs_of(spark, texts)).collect()}
+    assert {k: [(t, p, s) for _, _, t, p, s in v] for k, v in got.items()} == {
+        0: [("+1 (487) 555-7209", "my phone", 1), ("(302) 555-0175.", "0 or", 0)],
+        1: [("4111 1111 1111 1111", "the card", 1), ("4111 1111 1111 1112", "0 and", 0), ("x9", "and 0", 0)],
+        2: [("a@b.example", "two at", 1), ("c@d.example", "two at", 1), ("+1 302 555-0175", "at 0", 1),
+            ("QX-10457", "0 0", 0), ("10.0.0.1", "0 0", 1)],
+        3: [("QX-10457,", "the ids", 0), ("20881 30991", "ids 0", 0), ("4x", "0 0", 0)]}
+    assert all(texts[k][a:b] == t for k, v in got.items() for a, b, t, _, _ in v)
+
+
+def test_phone_contexts_bring_in_phones(spark):
+    texts = [f"call me +1 (487) 555-72{i:02}" for i in range(12)] + ["call me (302) 555-0175 soon"]
+    got = {r["doc_id"]: r["spans"] for r in personal.report(docs_of(spark, texts)).collect()}
+    assert got[0] == "phone:8:25" and got[12] == "context:8:22"
+
+
 def test_adjacent_identifiers_are_found(spark):
     texts = [f"ids {n}{i}@staff.example, {n}{i + 50}@staff.example" for i, n in enumerate("abcdefghijkl")]
     texts = [f"the {t}" for t in texts] + ["the ids QX-10457, QX-20881"]
