@@ -5,10 +5,11 @@ of them every token holding a digit or an at sign, with the number pieces that
 follow it, is a possible identifier. The two words before one are its lexical
 pattern, in which identifiers count as a word that is the same for all. Patterns and tokens form a bipartite graph with one edge per pair
 seen anywhere. Scores run over the graph in rounds: seeds have score 1, a
-pattern scores the mean of its tokens, a token scores what remains after each
-of its reliable patterns has failed to vouch for it. Tokens that reliable
-patterns bring in, and that look like an identifier, are personal data too,
-wherever such a pattern precedes them.
+pattern scores the mean of its tokens, a token that looks like an identifier
+scores what remains after each of its reliable patterns has failed to vouch
+for it. What a round brings in counts as evidence for further patterns in the
+next, until nothing changes. Tokens that reliable patterns bring in are
+personal data too, wherever such a pattern precedes them.
 
 Texts are scanned once; what follows works on the tokens found. Edges are
 counted before they are shuffled, so a pattern or token of any frequency is
@@ -35,9 +36,9 @@ _PIECE = r"^\(?[0-9][0-9()./-]*[0-9][0-9()./-]*[.,;:!?]*$"  # at least two digit
 _LAST = r"(?:^\s*+|(?<!\S)(?:\S++\s++)?\S++\s*+)\z"  # up to two words at the end of a gap
 CONTEXT = "context"
 
-ROUNDS = 3
-MIN_SEEDS = 5            # different seeds that must follow a pattern
+MIN_SEEDS = 5            # different seeds or vouched tokens that must follow a pattern
 MIN_CONFIDENCE = 0.9     # of a pattern, and of a token it brings in
+SETTLED = 1e-4           # rounds end when the confidences rise by less in all
 _NUMBER = "0"            # stands for a token among the words; no other word has a digit
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,before:string>>"
 _UNITS = "array<struct<start:bigint,end:bigint,token:string,pattern:string,seed:int,runs:boolean>>"
@@ -153,33 +154,47 @@ def _scanned(docs: DataFrame) -> DataFrame:
         _units(F.col("base"), F.col("tokens")).alias("tokens"))
 
 
-def _scores(edges: DataFrame, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:
-    """(pattern, token) of the tokens that reliable patterns bring in, from (pattern, token, seed) edges."""
-    seeded = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    graph = materialise(skew_join(edges, seeded.select("pattern"), ["pattern"]), "graph")
+def _scores(edges: DataFrame, rounds: int | None, min_seeds: int, min_confidence: float) -> DataFrame:
+    """(pattern, token) of the tokens that reliable patterns bring in, from (pattern, token, seed) edges.
+
+    A pattern is reliable if ``min_seeds`` of its tokens are seeds or vouched
+    for, and its tokens score ``min_confidence`` on average. Scores only rise,
+    so rounds end when no pattern is added and no score moves any more.
+    """
+    shape = (F.col("token").contains("@") | (F.length(_digits(F.col("token"))) >= 3)) & (F.length("token") >= 6)
+    possible = ((F.col("seed") == 1) | shape).cast("int")
+    # no score can lift the other patterns over the bounds
+    hopeful = edges.groupBy("pattern").agg(F.sum(possible).alias("n"), F.avg(possible).alias("share")).where(
+        (F.col("n") >= min_seeds) & (F.col("share") >= min_confidence)).select("pattern")
+    graph = materialise(
+        skew_join(edges, hopeful, ["pattern"]).select("pattern", "token", "seed", possible.alias("possible")), "graph")
     scores = materialise(graph.groupBy("token").agg(F.max("seed").cast("double").alias("score")), "token-scores")
-    for turn in range(rounds):
-        scored = skew_join(graph, scores, ["token"])
+    turn, before = 0, (0, 0.0)
+    while True:
+        turn += 1
+        sure = F.col("score") >= min_confidence
         patterns = materialise(
-            scored.groupBy("pattern").agg(F.avg("score").alias("confidence"))
-            .where(F.col("confidence") >= min_confidence), "patterns")
-        if turn == rounds - 1 or patterns.isEmpty():
+            skew_join(graph, scores, ["token"]).groupBy("pattern")
+            .agg(F.avg("score").alias("confidence"), F.count_if(sure).alias("support"))
+            .where((F.col("support") >= min_seeds) & (F.col("confidence") >= min_confidence)), "patterns")
+        now = patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if turn == rounds or (now[0] == before[0] and now[1] - before[1] < SETTLED):
             break
+        before = now
         vouched = skew_join(graph, patterns, ["pattern"], "left")
         unsure = F.when(F.col("confidence").isNotNull(), F.greatest(1 - F.col("confidence"), F.lit(1e-12)))
         doubt = F.coalesce(F.sum(F.log(unsure)), F.lit(0.0))
         scores = materialise(
-            vouched.groupBy("token").agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
-            .select("token", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("doubt")).alias("score")),
+            vouched.groupBy("token").agg(F.max("seed").alias("seed"), F.max("possible").alias("possible"), doubt.alias("doubt"))
+            .select("token", F.when(F.col("seed") == 1, 1.0).when(F.col("possible") == 1, 1 - F.exp("doubt"))
+                    .otherwise(0.0).alias("score")),
             "token-scores",
         )
-    shape = F.col("token").contains("@") | (F.length(_digits(F.col("token"))) >= 3)
-    return skew_join(graph, patterns, ["pattern"]).where((F.col("seed") == 0) & shape & (F.length("token") >= 6)).select(
-        "pattern", "token")
+    return skew_join(graph, patterns, ["pattern"]).where("seed = 0 AND possible = 1").select("pattern", "token")
 
 
 def find(
-    docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE
+    docs: DataFrame, rounds: int | None = None, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
     """(doc_id, base, context): base spans and spans found by context, arrays of (kind, start, end).
 
@@ -187,7 +202,7 @@ def find(
     and do not overlap; those that fail their check are dropped and not tried
     again. Context spans never overlap base spans. Null and empty texts have no
     spans, repeated rows are reported each but count once as evidence, an
-    empty table gives no rows.
+    empty table gives no rows. ``rounds`` may bound the rounds of scoring.
     """
     with working_tables() as keep:
         scanned = materialise(_scanned(docs), "scanned")

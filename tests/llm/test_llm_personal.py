@@ -98,6 +98,18 @@ def test_phone_contexts_bring_in_phones(spark):
     assert got[0] == "phone:8:25" and got[12] == "context:8:22"
 
 
+def test_discovered_identifiers_induce_patterns(spark):
+    texts = [f"badge number {'abcdefghij'[i % 10]}{i}@staff.example" for i in range(100)]
+    texts += [f"badge number QX-1000{i}" for i in range(10)]    # first generation
+    texts += [f"locker key QX-1000{i}" for i in range(10)] + ["locker key ZZ-99999"]
+    texts += [f"version string {i}00000" for i in range(12)]    # nothing vouches for these
+    got = {r["doc_id"]: r["spans"] for r in personal.report(docs_of(spark, texts)).collect()}
+    assert all(got[i].startswith("email:13:") and "context" not in got[i] for i in range(100))
+    assert {got[i] for i in range(100, 110)} == {"context:13:21"}
+    assert {got[i] for i in range(110, 121)} == {"context:11:19"}
+    assert {got[i] for i in range(121, 133)} == {""}
+
+
 def test_adjacent_identifiers_are_found(spark):
     texts = [f"ids {n}{i}@staff.example, {n}{i + 50}@staff.example" for i, n in enumerate("abcdefghijkl")]
     texts = [f"the {t}" for t in texts] + ["the ids QX-10457, QX-20881"]
