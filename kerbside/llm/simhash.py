@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import column, small_batches, spanning_links
+from kerbside.llm.common import numbered, restored, small_batches, spanning_links
 from kerbside.operators.components import connected_components
 from kerbside.operators.joins import skew_join
 from kerbside.session import materialise, working_tables
@@ -212,18 +212,17 @@ def components(
 
 
 def deduplicate(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents whose doc_id names their component, one row per component.
+    """One row per component: that with the smallest doc_id, of several such rows the first one written.
 
-    Of several rows with that doc_id, one stays (the smallest text). Rows
-    without doc_id stay: they cannot be told apart.
+    Rows are told apart by a number of their own, so neither a missing nor a
+    repeated doc_id matters; a row without doc_id stays only if all of its
+    component lack one.
     """
-    named = components(docs.where("doc_id IS NOT NULL"), shingle_words, max_bits)
-    kept = materialise(
-        named.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    single = docs.join(kept.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    result = single.select(*map(column, docs.columns)).unionByName(docs.where("doc_id IS NULL"))
-    twins = kept.where("n > 1").select("doc_id")
-    if twins.isEmpty():
-        return result
-    rows = docs.join(twins, "doc_id", "left_semi").select(F.col("doc_id"), F.struct(*map(column, docs.columns)).alias("_row"))
-    return result.unionByName(rows.groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row.*"))
+    place = docs.columns.index("doc_id"), docs.columns.index("text")
+    written = materialise(docs.select(F.monotonically_increasing_id().alias("number"), *numbered(docs.columns)), "rows")
+    doc_id, text = (F.col(f"_kept_{i}") for i in place)
+    key = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.col("number"))
+    nullable = f"struct<none:boolean,id:{docs.schema['doc_id'].dataType.simpleString()},number:bigint>"
+    named = components(written.select(key.cast(nullable).alias("doc_id"), text.alias("text")), shingle_words, max_bits)
+    kept = named.where("doc_id.number = component_id.number").select("doc_id.number")
+    return written.join(kept.hint("shuffle_hash"), "number", "left_semi").select(*restored(docs.columns))

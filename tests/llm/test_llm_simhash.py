@@ -53,6 +53,25 @@ def test_components_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(components(prints)))
 
 
+def test_deduplicate_goes_by_row(spark):
+    draw = random.Random(7)
+    a, b, c, d = ([f"{k}{draw.randint(0, 9999)}" for _ in range(3000)] for k in "abcd")
+    near = " ".join([*a[:-1], "other"])
+    a, b, c, d = map(" ".join, (a, b, c, d))
+    assert bin(fingerprint(a) ^ fingerprint(near)).count("1") <= 4
+    cases = [(None, c), (None, c), (None, d), (8, d),             # copies without an id, and of a numbered document
+             (1, a), (5, near), (5, b), (9, b + " x y"), (9, c + d)]  # unrelated texts of one id
+    docs = spark.createDataFrame(cases, "doc_id BIGINT, text STRING")
+    prints = [fingerprint(t) for _, t in cases]
+    order = sorted(range(len(cases)), key=lambda i: (cases[i][0] is None, cases[i][0] or 0))
+    roots = components([prints[i] for i in order])
+    want = [cases[order[k]] for k in sorted(set(roots))]
+    assert (None, c) in want and (8, d) in want and (5, b) in want and (5, near) not in want
+    assert rows(simhash.deduplicate(docs)) == sorted(want, key=repr)
+    pair = spark.createDataFrame([(5, a), (5, b)], "doc_id BIGINT, text STRING")
+    assert simhash.deduplicate(pair).count() == 2
+
+
 def test_links_are_exact_in_crowded_cells(spark):
     """Chains of single-bit steps, a dense ball and noise, with cells cut into chunks."""
     rng = np.random.default_rng(2)
