@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kerbside.llm import decontaminate, langid, mixing, personal, repeats, secrets, simhash, token_shards, vectors, warc
+from kerbside.llm import (
+    decontaminate, langid, mixing, personal, quality, repeats, search, secrets, simhash, token_shards, vectors, warc,
+    whitening,
+)
 from kerbside.llm.common import documents
 
 QUERIES: dict = {}
@@ -210,3 +213,48 @@ counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM named LEFT JOIN counted USING (vec_id)
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading whitened components of each embedding."""
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))  # null beyond 64 bits
+
+
+@query
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op12_search"] = r"""
+WITH folded AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+total AS (SELECT count(*) AS n, sum(len(words))::BIGINT AS l FROM folded WHERE len(words) > 0),
+counted AS (
+  SELECT doc_id, len(words) AS size, term, count(*) AS tf
+  FROM (SELECT doc_id, words, unnest(words) AS term FROM folded) GROUP BY doc_id, words, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, total GROUP BY term, n),
+impacts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * n) // l))) AS impact
+  FROM counted JOIN weights USING (term), total),
+scores AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict on each document; documents labelled good and not toxic are trusted."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judge(documents(spark, sf_dir), quality.trusted_ids(labels))
