@@ -1,7 +1,7 @@
 """Severity classifiers: training, selection, scoring and model storage.
 
-Trees and the logistic model treat equal rows alike, so training data is
-counted per distinct (features, label) first and fitted with weights. The
+Boosted trees and the logistic model treat equal rows alike, so training data
+is counted per distinct (features, label) first and fitted with weights. The
 random forest is the exception: it resamples single rows.
 """
 
@@ -11,9 +11,7 @@ from datetime import datetime
 from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kerbside import schema as S
 from kerbside.functions import scalars as X
+from kerbside.operators import boosting
 from kerbside.operators.encoding import alphabetical_codes, apply_codes
 from kerbside.operators.joins import BROADCAST_ROWS
 from kerbside.session import materialise, working_tables
@@ -32,7 +31,7 @@ _METRICS_DDL = "model_no INT, model_name STRING, accuracy DOUBLE, f1_score DOUBL
 
 class SeverityModel(NamedTuple):
     name: str
-    model: PipelineModel
+    model: PipelineModel | boosting.BoostedTrees
     features: list[str]
     labels: list[str]        # label text per code
     encodings: DataFrame     # (column, value, code)
@@ -119,12 +118,11 @@ def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features")
 
 
-def fit_boosted(counted: DataFrame, features: list[str], depth: int, rounds: int = 100) -> PipelineModel:
-    """Boosted trees, one binary model per class (trained side by side)."""
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42)
-    rest = OneVsRest(classifier=trees, labelCol="label", weightCol="weight", parallelism=3)
-    assembler = _assembler(features)
-    return PipelineModel([assembler, rest.fit(assembler.transform(counted))])
+def fit_boosted(
+    counted: DataFrame, features: list[str], classes: int, depth: int, rounds: int = 100
+) -> boosting.BoostedTrees:
+    """Second-order boosted trees, one per class and round."""
+    return boosting.fit(counted, features, classes, depth, rounds)
 
 
 def fit_forest(rows: DataFrame, features: list[str]) -> PipelineModel:
@@ -147,35 +145,15 @@ def fit_logistic(rows: DataFrame, counted: DataFrame, features: list[str]) -> Pi
     return PipelineModel([assembler, scaler, model])
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add ``prediction`` and ``probabilities``; works on streams.
-
-    One-against-rest models are evaluated side by side in the JVM; their
-    probabilities are the shares of the single models' logistic values.
-    """
-    last = model.stages[-1]
-    if not isinstance(last, OneVsRestModel):
+def score(model: PipelineModel | boosting.BoostedTrees, df: DataFrame) -> DataFrame:
+    """Add ``prediction`` and ``probabilities``; works on streams."""
+    if not isinstance(model, boosting.BoostedTrees):
         return model.transform(df).withColumn("probabilities", vector_to_array("probability"))
-    for stage in model.stages[:-1]:
-        df = stage.transform(df)
-    margins = []
-    for k, single in enumerate(last.models):
-        df = (
-            single.copy().setPredictionCol("").setProbabilityCol("")
-            .setRawPredictionCol(f"_raw{k}").transform(df)
-        )
-        margins.append(vector_to_array(f"_raw{k}")[1])
-    df = df.withColumn("_margins", F.array(*margins))
-    single = F.transform("_margins", lambda m: F.lit(1.0) / (F.exp(m * -2) + 1))
-    total = F.aggregate("_margins", F.lit(0.0), lambda a, m: a + F.lit(1.0) / (F.exp(m * -2) + 1))
-    best = F.array_position("_margins", F.array_max("_margins")) - 1
-    return df.withColumns({
-        "prediction": best.cast("double"),
-        "probabilities": F.transform(single, lambda p: F.try_divide(p, total)),
-    })
+    best = F.array_position("probabilities", F.array_max("probabilities")) - 1
+    return df.withColumn("probabilities", boosting.probabilities(model)).withColumn("prediction", best.cast("double"))
 
 
-def evaluate(model: PipelineModel, counted: DataFrame) -> tuple[float, float]:
+def evaluate(model: PipelineModel | boosting.BoostedTrees, counted: DataFrame) -> tuple[float, float]:
     """(accuracy, weighted F1) from the confusion counts, one pass."""
     cells = {
         (r["label"], r["prediction"]): r["n"]
@@ -195,16 +173,16 @@ def evaluate(model: PipelineModel, counted: DataFrame) -> tuple[float, float]:
     return right / total, f1
 
 
-def importance_table(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
+def importance_table(
+    spark: SparkSession, model: PipelineModel | boosting.BoostedTrees, features: list[str]
+) -> DataFrame:
     """Tree importances, or mean absolute coefficients of a logistic model."""
-    last = model.stages[-1]
-    if isinstance(last, OneVsRestModel):
-        each = [m.featureImportances.toArray() for m in last.models]
-        values = sum(each) / len(each)
-    elif hasattr(last, "featureImportances"):
-        values = last.featureImportances.toArray()
+    if isinstance(model, boosting.BoostedTrees):
+        values = boosting.importances(model)
+    elif hasattr(model.stages[-1], "featureImportances"):
+        values = model.stages[-1].featureImportances.toArray()
     else:
-        values = abs(last.coefficientMatrix.toArray()).mean(axis=0)
+        values = abs(model.stages[-1].coefficientMatrix.toArray()).mean(axis=0)
     return spark.createDataFrame(
         [(f, float(v)) for f, v in zip(features, values, strict=True)], "feature STRING, importance DOUBLE"
     )
@@ -239,10 +217,12 @@ def _train_severity(
         raise ValueError("Insufficient features")
     encodings = materialise(alphabetical_codes(df, [*coded, "severity"]), "encodings")
     keep.append(encodings)
-    labels = [r["value"] for r in encodings.where("column = 'severity'").orderBy("code").collect()]
+    labels = [
+        r["value"] for r in encodings.where("column = 'severity'").orderBy("code").limit(boosting.CLASSES + 1).collect()
+    ]
     table = _numbers(apply_codes(df, encodings), features, F.col("severity_encoded"), key)
     train, test = split(table, key, seed)
-    model = fit_boosted(_counted(train, features), features, depth=5)
+    model = fit_boosted(_counted(train, features), features, len(labels), depth=5)
     accuracy, f1 = evaluate(model, _counted(test, features))
     name = "Boosted Trees"
     return SeverityModel(
@@ -284,7 +264,7 @@ def _train_and_select(
         ("Random Forest", fit_forest(train, features)),
     ]
     if boosted:
-        candidates.append(("Boosted Trees", fit_boosted(counted, features, depth=6)))
+        candidates.append(("Boosted Trees", fit_boosted(counted, features, len(S.SEVERITIES), depth=6)))
     rows = [(i, name, *evaluate(m, held_out)) for i, (name, m) in enumerate(candidates, start=1)]
     metrics = spark.createDataFrame(rows, _METRICS_DDL)
     name = best_model(metrics).first()["model_name"]
@@ -332,13 +312,17 @@ def save(trained: SeverityModel, folder: str) -> str:
     """Write a versioned copy and point ``latest`` at it."""
     spark = trained.encodings.sparkSession
     path = f"{folder}/{trained.version}"
-    trained.model.write().overwrite().save(f"{path}/model")
+    grown = isinstance(trained.model, boosting.BoostedTrees)
+    if grown:
+        boosting.save(trained.model, spark, f"{path}/model")
+    else:
+        trained.model.write().overwrite().save(f"{path}/model")
     trained.encodings.write.mode("overwrite").parquet(f"{path}/encodings")
     trained.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
     trained.importances.write.mode("overwrite").parquet(f"{path}/importances")
     about = spark.createDataFrame(
-        [(trained.name, trained.features, trained.labels, trained.version)],
-        "name STRING, features ARRAY<STRING>, labels ARRAY<STRING>, version STRING",
+        [(trained.name, trained.features, trained.labels, trained.version, grown)],
+        "name STRING, features ARRAY<STRING>, labels ARRAY<STRING>, version STRING, boosted BOOLEAN",
     )
     about.write.mode("overwrite").parquet(f"{path}/about")
     about.select("version").write.mode("overwrite").parquet(f"{folder}/latest")
@@ -349,8 +333,9 @@ def load(spark: SparkSession, folder: str, version: str | None = None) -> Severi
     version = version or spark.read.parquet(f"{folder}/latest").first()["version"]
     path = f"{folder}/{version}"
     about = spark.read.parquet(f"{path}/about").first()
+    model = boosting.load(spark, f"{path}/model") if about["boosted"] else PipelineModel.load(f"{path}/model")
     return SeverityModel(
-        about["name"], PipelineModel.load(f"{path}/model"), list(about["features"]), list(about["labels"]),
+        about["name"], model, list(about["features"]), list(about["labels"]),
         spark.read.parquet(f"{path}/encodings"), spark.read.parquet(f"{path}/metrics"),
         spark.read.parquet(f"{path}/importances"), about["version"],
     )
