@@ -43,7 +43,7 @@ def words(text: Column) -> Column:
 def _shapes(text: Column) -> Column:
     """The shape of each word: one character per run of letters of a kind or of digits, the rest as it is."""
     plain = F.coalesce(text, F.lit(""))
-    for kind, sign in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"[\p{L}&&[^\p{Lu}\p{Ll}]]+", "x"), (r"\p{N}+", "0")):
+    for kind, sign in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"[\p{L}&&[^\p{Lu}\p{Ll}]]+", "x"), (r"\p{N}+", "0")):
         plain = F.regexp_replace(plain, kind, sign)
     return F.regexp_extract_all(plain, F.lit(_WORD), F.lit(0))
 
@@ -53,13 +53,14 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def buckets(text: Column, n_buckets: int = BUCKETS) -> Column:
-    """Buckets of the n-grams of a text: its words, then its pairs of word shapes."""
-    single = F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(n_buckets)).cast("int"))
+def buckets(text: Column, found: Column, n_buckets: int = BUCKETS) -> Column:
+    """Buckets of the n-grams of a text: its words ``found``, then its pairs of word shapes."""
+    def bucket(*parts: Column) -> Column:
+        return F.pmod(F.xxhash64(*parts), F.lit(n_buckets)).cast("int")
+
     pairs = _bound(_shapes(text), lambda s: F.zip_with(
-        s, F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))),
-        lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, F.lit(" "), b), F.lit(n_buckets)).cast("int"))))
-    return F.concat(single, F.filter(pairs, lambda p: p.isNotNull()))
+        F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.size(s)), lambda a, b: bucket(a, b)))
+    return F.concat(F.transform(found, lambda w: bucket(w)), pairs)
 
 
 def _covered(starts: Column) -> Column:
@@ -124,7 +125,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n_buckets: int = BUCKETS) ->
         .select(F.col("doc_id").alias("trusted_id"))
     )
     grams = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left").select(
-        F.col("trusted_id").isNotNull().cast("long").alias("trusted"), F.explode(buckets(F.col("text"), n_buckets)).alias("bucket"))
+        F.col("trusted_id").isNotNull().cast("long").alias("trusted"),
+        F.explode(buckets(F.col("text"), words(F.col("text")), n_buckets)).alias("bucket"))
     counted = materialise(
         grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("trusted").alias("n_trusted")), "buckets")
     every = docs.sparkSession.range(n_buckets).select(F.col("id").cast("int").alias("bucket"))
@@ -151,18 +153,20 @@ def judge(docs: DataFrame, trusted: DataFrame, min_ratio: float = MIN_RATIO) ->
     # folded into one constant array before the first row
     ratios = F.split(F.lit(",".join(repr(model[i]) for i in range(BUCKETS))), ",").cast("array<double>")
     text = F.coalesce("text", F.lit(""))
-    found = words(F.col("text"))
-    total = _bound(buckets(F.col("text")), lambda b: F.struct(
-        F.aggregate(b, F.lit(0.0), lambda s, i: s + F.get(ratios, i)).alias("sum"), F.size(b).alias("n")))
+
+    def read(found: Column) -> Column:
+        total = _bound(buckets(text, found), lambda b: F.struct(
+            F.aggregate(b, F.lit(0.0), lambda s, i: s + F.get(ratios, i)).alias("sum"), F.size(b).alias("n")))
+        return F.struct(F.size(found).cast("long").alias("n_words"), repeated_words(found).alias("n_repeat_words"), total.alias("total"))
+
     counts = docs.select(
         "doc_id",
-        F.size(found).cast("long").alias("n_words"),
         F.char_length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
-        repeated_words(found).alias("n_repeat_words"),
-        total.alias("total"),
-    )
+        _bound(words(F.col("text")), read).alias("read"),  # the words are found once
+    ).select(
+        "doc_id", "read.n_words", "word_chars", "n_symbols", "n_dup_lines", "read.n_repeat_words", F.col("read.total").alias("total"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     ratio = F.when(F.col("total.n") > 0, F.col("total.sum") / F.col("total.n")).otherwise(F.lit(0.0))
     return counts.withColumn("base_failed", failed).withColumn("ratio", ratio).withColumn(

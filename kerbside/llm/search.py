@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from kerbside.llm.common import small_batches
-from kerbside.operators.joins import skew_join
+from kerbside.operators.joins import BROADCAST_ROWS, skew_join
 from kerbside.operators.ordinals import with_ordinal
 from kerbside.session import materialise, working_tables
 
@@ -291,7 +291,9 @@ def _search_block(index: Index, items: DataFrame, first: int, top: int) -> DataF
     least = dict(visit(start, base._replace(visits=visits)).where(F.col("rank") == top).select("item", "score").collect())
     queries = base._replace(least=np.array([least.get(i, 1) for i in range(ITEMS)], np.int64))
     reach = spark.createDataFrame([(i, least.get(i, 1)) for i in range(ITEMS)], "item int, least bigint")
-    alive = bounds.join(F.broadcast(reach), "item").where("bound >= least").select("m").distinct()
+    alive = materialise(bounds.join(F.broadcast(reach), "item").where("bound >= least").select("m").distinct(), "alive")
+    if alive.count() <= BROADCAST_ROWS:  # blocks then stay where they are
+        alive = F.broadcast(alive)
     found = visit(index.blocks.join(alive, "m", "left_semi"), queries)
     return materialise(found.select((F.col("item") + first).alias("ordinal"), "rank", "id", "score"), "found")
 

@@ -35,7 +35,7 @@ def grams(text):
         for part in parts:
             seed = xxhash.xxh64_intdigest(part.encode(), seed)
         return (seed - (1 << 64) if seed >> 63 else seed) % quality.BUCKETS
-    return [hashed(w) for w in words] + [hashed(a, " ", b) for a, b in zip(shapes, shapes[1:])]
+    return [hashed(w) for w in words] + [hashed(a, b) for a, b in zip(shapes, shapes[1:])]
 
 
 def ratios(texts, trusted):
