@@ -80,6 +80,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table written by ``materialise`` that nothing reads any more."""
+    files, target = _hadoop(table.sparkSession, table._scratch)
+    files.delete(target, True)
+
+
 @contextmanager
 def working_tables() -> Iterator[list[DataFrame]]:
     """Delete the tables materialised inside the block, except those put on the yielded list.
