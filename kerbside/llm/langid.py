@@ -9,8 +9,8 @@ language's slice predicts, and divided by the share of its own text that the
 language's n-grams cover. The language with the largest such rate wins.
 
 The filter is fitted on a bounded sample: about ``SAMPLE_DOCS`` whole documents
-per language, drawn by a hash of doc_id, and the ``MAX_LANGUAGES`` most common
-labels. Everything else covers all rows.
+per language, drawn by a hash of doc_id, for every label there is. Everything
+else covers all rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from kerbside.session import materialise, working_tables
 N = 4
 GRAMS = 2000
 SAMPLE_DOCS = 4000
-MAX_LANGUAGES = 512
 SLOTS_LOG2 = 17
 HASHES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 UNKNOWN = "und"
@@ -77,7 +76,6 @@ def fit(labelled: DataFrame) -> Model:
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     sizes = (
         labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     )
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000.0) * SAMPLE_DOCS / F.col("n")
     sample = small_batches(labelled.join(F.broadcast(sizes), "lang").where(draw).select("lang", "text"))
@@ -182,9 +180,13 @@ def keep_identified(docs: DataFrame, min_rate: float = MIN_RATE) -> DataFrame:
 
     Texts without a letter go, and those of ``MIN_GRAMS`` n-grams or more of
     which even the best language knows fewer than ``min_rate`` of the share
-    that it knows of its own text. Shorter texts stay: too little to judge.
+    that it knows of its own text. Shorter texts stay: too little to judge. If
+    no document has a label, nothing can be learned, and all documents stay.
     """
-    found = identify(docs, fit(docs.where(~held_out())), docs.columns)
+    model = fit(docs.where(~held_out()))
+    if not model.languages:
+        return docs
+    found = identify(docs, model, docs.columns)
     reads = (F.col("grams") < MIN_GRAMS) | (F.col("rate") >= min_rate)
     kept = (F.col("lang_pred") != UNKNOWN) & reads
     return found.where(kept).select(*restored(docs.columns))

@@ -29,10 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from kerbside.llm.common import numbered, small_batches
+from kerbside.operators.ordinals import with_ordinal
 from kerbside.session import materialise, working_tables
 
 WINDOW = 20
@@ -171,12 +173,23 @@ class _Batch:
         self.text = np.repeat(np.arange(len(texts)), self.sizes)
 
 
-def _order(column: str = "doc_id") -> Column:
-    """doc_id as a long; a null id comes before all others."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)))
+def _placed(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
+    """``doc`` and the numbered columns; ``doc`` tells rows apart and follows the order of doc_id, null first.
+
+    Whole-number ids without repeats are taken as they are. Otherwise rows are
+    sorted by id, those of one id by a hash of the text, and numbered.
+    """
+    doc_id, text = (f"_kept_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    rows = docs.select(*numbered(docs.columns))
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    if whole and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), "*")
+    table = materialise(with_ordinal(rows, [doc_id, F.xxhash64(text)], "doc"), "placed")
+    keep.append(table)
+    return table
 
 
-def _stretches(docs: DataFrame, window: int, rounds: int, context: int) -> DataFrame:
+def _stretches(texts: DataFrame, window: int, rounds: int, context: int) -> DataFrame:
     """(anchor, stretch, doc, start, windows, state): what a task settles and what is left to compare.
 
     A stretch that equals an earlier one of the same task is ``repeated`` and
@@ -232,8 +245,7 @@ def _stretches(docs: DataFrame, window: int, rounds: int, context: int) -> DataF
                 yield from flush()
         yield from flush()
 
-    texts = small_batches(docs).select(_order().alias("doc"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(
+    return small_batches(texts).mapInArrow(
         run, "anchor bigint, stretch bigint, doc bigint, start int, windows int, state string")
 
 
@@ -257,18 +269,19 @@ def _windows(texts: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                 ["anchor", "hash", "doc", "start"])
 
     per_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("asked"))
-    # equal rows of a doc_id have equal windows; texts that differ under one doc_id are each asked in full
     rows = texts.join(per_doc.hint("shuffle_hash"), "doc").select("doc", "text", "asked")
     return rows.mapInArrow(run, "anchor bigint, hash bigint, doc bigint, start int")
 
 
 def repeated_ranges(
-    docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, context: int = CONTEXT
+    texts: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, context: int = CONTEXT
 ) -> DataFrame:
-    """(doc, start, windows): runs of windows whose words also start earlier; written."""
-    texts = docs.select(_order().alias("doc"), F.col("text").cast("binary").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _stretches(docs, window, rounds, context)
+    """(doc, start, windows): runs of windows whose words also start earlier; written.
+
+    ``texts`` holds ``doc``, a long of its own per row, and ``text`` as bytes.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _stretches(texts, window, rounds, context)
     # what needs no comparison here spreads evenly instead of following its anchor
     compared = F.col("state").isin("open", "mark")
     key = F.when(compared, F.col("anchor")).otherwise(F.xxhash64("doc", "start"))
@@ -302,12 +315,15 @@ def repeated_ranges(
     return materialise(covered.unionByName(later), "covered")
 
 
-def _kept(docs: DataFrame, ranges: DataFrame, window: int, keep: list[str], schema: str, finish) -> DataFrame:
-    """``finish(column values of keep, kept words, number of words)`` per document, texts joined with ranges."""
+def _kept(docs: DataFrame, window: int, keep: list[str], schema: str, finish) -> DataFrame:
+    """``finish(column values of keep, texts, kept words, number of words)`` per batch of documents."""
+    with working_tables() as kept:
+        placed = _placed(docs, kept)
+        text = F.col(f"_kept_{docs.columns.index('text')}").cast("binary")
+        ranges = repeated_ranges(placed.select("doc", text.alias("text")), window)
+        kept.append(ranges)
     per_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("covered"))
-    rows = docs.select(
-        _order().alias("doc"), F.col("text").cast("binary").alias("_text"),
-        *numbered(keep))
+    rows = placed.select("doc", text.alias("_text"), *[f"_kept_{docs.columns.index(c)}" for c in keep])
     rows = rows.join(per_doc.hint("shuffle_hash"), "doc", "left").drop("doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,9 +354,9 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are separated by ASCII white space. A word goes if a window of
     ``window`` words around it has its words also at an earlier place: a
-    smaller doc_id, or the same doc_id and an earlier start. Rows with equal
-    doc_id are judged as one document at the same places: repeated rows do not
-    remove each other. A null id comes before all others. Null texts have no
+    smaller doc_id, or the same document and an earlier start. Rows with equal
+    doc_id are documents of their own, one before the other, so of repeated rows
+    one keeps its words. Null ids come before all others. Null texts have no
     words. Texts shorter than a window and empty tables lose nothing.
     """
     def finish(kept, texts, left, sizes):
@@ -349,12 +365,9 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
              pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in left], pa.string())],
             ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    with working_tables() as keep:
-        ranges = repeated_ranges(docs, window)
-        keep.append(ranges)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _kept(
-        docs, ranges, window, ["doc_id"], f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string", finish)
+        docs, window, ["doc_id"], f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string", finish)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -368,8 +381,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(text, pa.string()) if i == place else c for i, c in enumerate(kept)], names)
 
-    with working_tables() as keep:
-        ranges = repeated_ranges(docs, window)
-        keep.append(ranges)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _kept(docs, ranges, window, names, schema, finish)
+    return _kept(docs, window, names, schema, finish)

@@ -23,12 +23,13 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import numbered, restored, small_batches, spanning_links
 from kerbside.operators.components import connected_components
-from kerbside.operators.joins import skew_join
+from kerbside.operators.joins import BROADCAST_ROWS, skew_join
 from kerbside.session import materialise, working_tables
 
 SHINGLE_WORDS = 4
@@ -211,18 +212,42 @@ def components(
     return result
 
 
+def _numbered_rows(docs: DataFrame) -> DataFrame:
+    """The numbered columns and ``number``, an ordered value of its own per row.
+
+    Rows of Parquet files are known by file and place, without a copy. Tables
+    that are not read from such files, or repeat their rows, are written once.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        rows = docs.select(place.alias("number"), *numbered(docs.columns))
+        if rows.groupBy("number").count().where("count > 1").isEmpty():
+            return rows
+    except AnalysisException:  # no files below
+        pass
+    return materialise(
+        docs.select(F.monotonically_increasing_id().alias("number"), *numbered(docs.columns)), "rows")
+
+
 def deduplicate(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per component: that with the smallest doc_id, of several such rows the first one written.
+    """One row per component: that with the smallest doc_id, of several such rows the first by file and place.
 
     Rows are told apart by a number of their own, so neither a missing nor a
     repeated doc_id matters; a row without doc_id stays only if all of its
-    component lack one.
+    component lack one. What is written beside the numbers of the rows that go
+    is deleted at once; a table that is not read from Parquet stays as a copy.
     """
     place = docs.columns.index("doc_id"), docs.columns.index("text")
-    written = materialise(docs.select(F.monotonically_increasing_id().alias("number"), *numbered(docs.columns)), "rows")
+    rows = _numbered_rows(docs)
     doc_id, text = (F.col(f"_kept_{i}") for i in place)
     key = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.col("number"))
-    nullable = f"struct<none:boolean,id:{docs.schema['doc_id'].dataType.simpleString()},number:bigint>"
-    named = components(written.select(key.cast(nullable).alias("doc_id"), text.alias("text")), shingle_words, max_bits)
-    kept = named.where("doc_id.number = component_id.number").select("doc_id.number")
-    return written.join(kept.hint("shuffle_hash"), "number", "left_semi").select(*restored(docs.columns))
+    nullable = (
+        f"struct<none:boolean,id:{docs.schema['doc_id'].dataType.simpleString()},"
+        f"number:{rows.schema['number'].dataType.simpleString()}>")
+    with working_tables() as keep:
+        named = components(rows.select(key.cast(nullable).alias("doc_id"), text.alias("text")), shingle_words, max_bits)
+        gone = materialise(named.where("doc_id.number <> component_id.number").select("doc_id.number"), "gone")
+        keep.append(gone)
+    # few rows to drop leave the texts where they are
+    hinted = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
+    return rows.join(hinted, "number", "left_anti").select(*restored(docs.columns))

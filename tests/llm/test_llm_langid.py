@@ -52,3 +52,15 @@ def test_awkward_rows(spark):
     assert langid.report(docs.limit(0)).count() == 0
     nothing = langid.report(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
+
+
+def test_nothing_learned_keeps_everything(spark):
+    docs = spark.createDataFrame([(i, f"some plain text {i}", None) for i in range(20)], "doc_id BIGINT, text STRING, lang STRING")
+    assert langid.keep_identified(docs).count() == 20
+
+
+def test_any_number_of_labels(spark):
+    table = [(i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}xq" for w in ("ab", "cd", "ef", "gh")), f"l{k:03}")
+             for i, k in enumerate(k for k in range(600) for _ in range(4))]
+    docs = spark.createDataFrame(table, "doc_id BIGINT, text STRING, lang STRING")
+    assert len(langid.fit(docs).languages) == 600

@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 
@@ -10,7 +11,7 @@ from test_llm_simhash import components, fingerprint
 import corpus_pipeline
 from kerbside.llm import langid, token_shards
 from kerbside.llm.common import documents
-from kerbside.session import materialise
+from kerbside.session import materialise, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,17 @@ def test_index_is_whole(kept):
     n = index.count()
     assert index.agg(F.min("slot"), F.max("slot"), F.countDistinct("slot")).first() == (0, n - 1, n)
     assert index.where(F.col("n_ids") > token_shards.SEQUENCE).count() == 0
+
+
+def _written(spark):
+    """Folders with Parquet files on the shared folder, by their labels."""
+    top = shared_folder(spark).removeprefix("file:") + "/kerbside"
+    return {n for n in os.listdir(top) if os.path.isdir(f"{top}/{n}") and os.listdir(f"{top}/{n}")} if os.path.isdir(top) else set()
+
+
+def test_run_leaves_its_result_only(spark):
+    before = _written(spark)
+    result = corpus_pipeline.run(spark, TESTDATA)
+    left = {n.rsplit("-", 1)[0] for n in _written(spark) - before}
+    assert result.count() > 0
+    assert not left & {"language", "near_duplicates", "benchmark", "mix", "rows", "prints", "distinct", "components"}

@@ -70,3 +70,20 @@ def test_awkward_rows(spark):
     assert rows == {1: (13, 0), 2: (0, 0), 3: (0, 0), None: (13, 0), 4: (0, 0), 5: (30_000, 29_999), 6: (3, 0), 7: (4, 0)}
     assert got.count() == 9 and repeats.report(awkward(spark).limit(0)).count() == 0
     assert repeats.remove_repeats(awkward(spark)).columns == awkward(spark).columns
+
+
+def test_rows_of_one_id_and_other_ids(spark):
+    """Rows of one id are documents of their own; ids may be missing, repeated or texts."""
+    a, z, own = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 30), ("z", 50), ("o", 40)))
+    table = [(7, a), (7, z), (3, own), (None, a + " end"), (None, own), (9, z + " x"), (7, a)]
+    for kind in ("BIGINT", "STRING"):
+        ids = [(None if i is None else i if kind == "BIGINT" else str(i), t) for i, t in table]
+        df = spark.createDataFrame(ids, f"doc_id {kind}, text STRING").repartition(3)
+        got = {}
+        for r in repeats.report(df).collect():
+            got.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"]))
+        seven, three, nine = (7, 3, 9) if kind == "BIGINT" else ("7", "3", "9")
+        # the null rows come first, so theirs are the first occurrences
+        assert sorted(got[None]) == [(31, 0), (40, 0)] and got[three] == [(40, 40)]
+        assert sorted(got[seven]) == [(30, 30), (30, 30), (50, 0)] and got[nine] == [(51, 50)]
+        assert sorted(r["text"] or "" for r in repeats.remove_repeats(df).where("doc_id = '7'").collect()) == ["", "", z]

@@ -119,3 +119,14 @@ def test_awkward_rows(spark):
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 5, 6, 7]
     assert simhash.components(docs.limit(0)).count() == 0
     assert rows(simhash.deduplicate(docs.limit(0))) == []
+
+
+def test_deduplicate_with_and_without_files(spark, tmp_path):
+    """Rows read from files, computed rows and rows repeated by a join all lose their copies only."""
+    from pyspark.sql import functions as F
+    docs = awkward(spark)
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    twice = read.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("again")
+    kept = [sorted(r["doc_id"] for r in simhash.deduplicate(t).collect()) for t in (docs, read, twice)]
+    assert kept == [[1, 2, 5, 6, 7]] * 3
