@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kerbside.llm import decontaminate, langid, mixing, simhash, token_shards
 from kerbside.llm.common import documents
-from kerbside.session import materialise, working_tables
+from kerbside.session import discard, materialise, working_tables
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again; what a stage writes besides goes when it is done."""
-    docs = documents(spark, sf_dir)
+    """All stages over documents, each written as Parquet and read again.
+
+    A stage's input goes once its result is written, and so does what a stage writes besides.
+    """
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         with working_tables() as keep:
             docs = materialise(stage(spark, docs, sf_dir), name)
             keep.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
