@@ -62,6 +62,7 @@ def standard_scores(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 _DRAW_BITS = 28  # seven hexadecimal digits
+TRAIN_SHARE = 0.8
 
 
 def draw_number(key: str, seed: int) -> Column:
@@ -70,7 +71,7 @@ def draw_number(key: str, seed: int) -> Column:
     return F.conv(F.substring(mixed, 1, _DRAW_BITS // 4), 16, 10).cast("long")
 
 
-def split(df: DataFrame, key: str, seed: int = 42, share: float = 0.8, by: str | None = None):
+def split(df: DataFrame, key: str, seed: int = 42, share: float = TRAIN_SHARE, by: str | None = None):
     """(train, test) by hash of the row key; ``by`` keeps the share within each class.
 
     The threshold of a class is the exact draw below which ``share`` of its
@@ -101,9 +102,10 @@ def split(df: DataFrame, key: str, seed: int = 42, share: float = 0.8, by: str |
     return tuple(judged.where(part).drop("_draw", "_cut", "_c") for part in (inside, ~inside))
 
 
-def _counted(df: DataFrame, features: list[str]) -> DataFrame:
-    counted = df.groupBy(*features, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return materialise(counted, "counted")
+def _counted(df: DataFrame, features: list[str], rows: str | None = None) -> DataFrame:
+    """Rows per (features, label); column ``rows`` says for how many rows of the data one stands."""
+    n = F.sum(rows) if rows else F.count(F.lit(1))
+    return materialise(df.groupBy(*features, "label").agg(n.cast("double").alias("weight")), "counted")
 
 
 def _numbers(df: DataFrame, features: list[str], label: Column, *others: str) -> DataFrame:
@@ -199,31 +201,51 @@ def new_version(now: datetime | None = None) -> str:
 
 # -- training jobs ------------------------------------------------------------------
 
+def severity_profiles(df: DataFrame, key: str = "accident_id", seed: int = 42) -> DataFrame:
+    """Rows ``n`` per distinct (inputs, severity) and side of the split (``train``); rows without severity are left out.
+
+    A row's side depends on its key alone, so profiles of two tables add up to
+    those of both.
+    """
+    numeric = [c for c in NUMERIC if c in df.columns]
+    columns = [*numeric, *[c for c in S.LABEL_COLUMNS if c in df.columns], "severity"]
+    train = draw_number(key, seed) < TRAIN_SHARE * (1 << _DRAW_BITS)
+    doubles = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric}
+    return (
+        df.where("severity IS NOT NULL").select(*[doubles.get(c, F.col(c)).alias(c) for c in columns], train.alias("train"))
+        .groupBy(*columns, "train").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def train_severity(
     df: DataFrame, key: str = "accident_id", seed: int = 42, version: str | None = None
 ) -> SeverityModel:
     """Boosted trees of depth 5 on three counts and five alphabetically coded categories."""
     with working_tables() as keep:
-        return _train_severity(df, key, seed, version, keep)
+        profiles = materialise(severity_profiles(df, key, seed), "profiles")
+        return _train_from_profiles(profiles, version, keep)
 
 
-def _train_severity(
-    df: DataFrame, key: str, seed: int, version: str | None, keep: list[DataFrame]
-) -> SeverityModel:
-    spark = df.sparkSession
-    coded = [c for c in S.LABEL_COLUMNS if c in df.columns]
-    features = [c for c in NUMERIC if c in df.columns] + [f"{c}_encoded" for c in coded]
+def train_from_profiles(profiles: DataFrame, version: str | None = None) -> SeverityModel:
+    """The model of ``train_severity`` from the (added up) ``severity_profiles`` of its rows."""
+    with working_tables() as keep:
+        return _train_from_profiles(profiles, version, keep)
+
+
+def _train_from_profiles(profiles: DataFrame, version: str | None, keep: list[DataFrame]) -> SeverityModel:
+    spark = profiles.sparkSession
+    coded = [c for c in S.LABEL_COLUMNS if c in profiles.columns]
+    features = [c for c in NUMERIC if c in profiles.columns] + [f"{c}_encoded" for c in coded]
     if len(features) < 2:
         raise ValueError("Insufficient features")
-    encodings = materialise(alphabetical_codes(df, [*coded, "severity"]), "encodings")
+    encodings = materialise(alphabetical_codes(profiles, [*coded, "severity"]), "encodings")
     keep.append(encodings)
     labels = [
         r["value"] for r in encodings.where("column = 'severity'").orderBy("code").limit(boosting.CLASSES + 1).collect()
     ]
-    table = _numbers(apply_codes(df, encodings), features, F.col("severity_encoded"), key)
-    train, test = split(table, key, seed)
-    model = fit_boosted(_counted(train, features), features, len(labels), depth=5)
-    accuracy, f1 = evaluate(model, _counted(test, features))
+    table = _numbers(apply_codes(profiles, encodings), features, F.col("severity_encoded"), "train", "n")
+    model = fit_boosted(_counted(table.where("train"), features, "n"), features, len(labels), depth=5)
+    accuracy, f1 = evaluate(model, _counted(table.where("NOT train"), features, "n"))
     name = "Boosted Trees"
     return SeverityModel(
         name, model, features, labels, encodings.where("column <> 'severity'"),

@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.operators.joins import skew_join
@@ -59,17 +59,24 @@ def _result(df, model, names, coefficients, p_values, aic, deviance, null_devian
     )
 
 
-def _profiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct (inputs, y) with the number of rows ``n``."""
-    rows = df.where(F.col("num_casualties").isNotNull())
-    y = F.col("num_casualties").cast("int").cast("double").alias("y")
+def count_profiles(df: DataFrame) -> DataFrame:
+    """Rows ``n`` per distinct (casualties ``y``, inputs); the fits need no more of the data.
+
+    Profiles of two tables add up to those of both. Rows without casualties are left out.
+    """
     inputs = [
         F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in NUMERIC else F.col(c)
-        for c in columns
+        for c in [*NUMERIC, *CATEGORIES] if c in df.columns
     ]
-    return materialise(
-        rows.select(y, *inputs).groupBy("y", *columns).agg(F.count(F.lit(1)).alias("n")), "profiles"
-    )
+    rows = df.where(F.col("num_casualties").isNotNull()).select(
+        F.col("num_casualties").cast("int").cast("double").alias("y"), *inputs)
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _profiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct (y, inputs) with the number of rows ``n``, written; ``df`` is a table of rows or of such profiles."""
+    counted = count_profiles(df) if "num_casualties" in df.columns else df
+    return materialise(counted.groupBy("y", *columns).agg(F.sum("n").alias("n")), "profiles")
 
 
 def dummy_columns(df: DataFrame, column: str) -> list[tuple[str, Column]]:
@@ -86,13 +93,16 @@ def dummy_columns(df: DataFrame, column: str) -> list[tuple[str, Column]]:
 
 
 def fit_poisson(df: DataFrame) -> CountFit:
-    """Poisson regression (log link) on speed, vehicles, weather, road type and light."""
+    """Poisson regression (log link) on speed, vehicles, weather, road type and light.
+
+    ``df`` holds rows, or their ``count_profiles``.
+    """
     with working_tables() as keep:
         return _poisson(df, keep)
 
 
 def _poisson(df: DataFrame, keep: list[DataFrame]) -> CountFit:
-    if "num_casualties" not in df.columns:
+    if not {"num_casualties", "y"} & set(df.columns):
         return _unfitted(df, "poisson", "num_casualties column not found")
     numeric = [c for c in NUMERIC if c in df.columns]
     categories = [c for c in CATEGORIES if c in df.columns]
@@ -188,7 +198,7 @@ def _poisson_by_blocks(
     spark = df.sparkSession
     row = (
         "poisson", True, -2 * llf + 2 * size, deviance - (total - size) * math.log(total), -2 * llf + size * math.log(total),
-        1 - deviance / null_deviance if null_deviance else None, deviance, null_deviance, total, [], None,
+        1 - deviance / null_deviance if null_deviance else None, deviance, null_deviance, total, None, None,
     )
     fixed = spark.createDataFrame(
         [(f, float(b), None) for f, b in zip(["const", *numeric], beta)], "feature STRING, coefficient DOUBLE, p_value DOUBLE")
@@ -201,6 +211,15 @@ def _poisson_by_blocks(
     return CountFit(spark.createDataFrame([row], _STATS_DDL), coefficients)
 
 
+def save_fit(fit: CountFit, path: str) -> None:
+    fit.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    fit.coefficients.write.mode("overwrite").parquet(f"{path}/coefficients")
+
+
+def load_fit(spark: SparkSession, path: str) -> CountFit:
+    return CountFit(spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/coefficients"))
+
+
 def _sums(table: DataFrame, expressions: dict[str, Column]) -> dict[str, float]:
     weight = F.col("n")
     return table.agg(*[F.sum(e * weight).alias(k) for k, e in expressions.items()]).first().asDict()
@@ -217,14 +236,15 @@ def fit_negative_binomial(df: DataFrame, max_iter: int = 100, tol: float = 1e-8)
     """Negative-binomial regression (log link, dispersion 1) on speed and vehicles.
 
     Iteratively reweighted least squares: each round is one aggregate of the
-    weighted cross products; only a k x k system reaches the driver.
+    weighted cross products; only a k x k system reaches the driver. ``df`` holds
+    rows, or their ``count_profiles``.
     """
     with working_tables():
         return _negative_binomial(df, max_iter, tol)
 
 
 def _negative_binomial(df: DataFrame, max_iter: int, tol: float) -> CountFit:
-    if "num_casualties" not in df.columns:
+    if not {"num_casualties", "y"} & set(df.columns):
         return _unfitted(df, "negative_binomial", "num_casualties column not found")
     names = [c for c in NUMERIC if c in df.columns]
     if not names:

@@ -1,4 +1,7 @@
-"""Append records, then refit every model on the whole table."""
+"""Append records, then refit every model on the whole table.
+
+``plans.training`` does the same from stored counts, without the old rows.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,11 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from kerbside.operators.classify import SeverityModel, save, train_severity
+from kerbside.operators.classify import SeverityModel, train_severity
 from kerbside.operators.cleaning import append_records
 from kerbside.operators.regression import CountFit, fit_negative_binomial, fit_poisson
 from kerbside.plans.features import derive
+from kerbside.plans.training import Models, store
 
 
 class Retrained(NamedTuple):
@@ -23,10 +27,13 @@ def retrain(
     table: DataFrame, new_records: DataFrame | None, key: str = "accident_id",
     model_folder: str | None = None,
 ) -> Retrained:
-    """``table`` and ``new_records`` are standardised; features are derived after the append."""
+    """``table`` and ``new_records`` are standardised; features are derived after the append.
+
+    With ``model_folder`` all three models are stored there.
+    """
     whole = table if new_records is None else append_records(table, new_records)
     data = derive(whole)
-    severity = train_severity(data, key)
+    models = Models(train_severity(data, key), fit_poisson(data), fit_negative_binomial(data))
     if model_folder:
-        save(severity, model_folder)
-    return Retrained(data, severity, fit_poisson(data), fit_negative_binomial(data))
+        store(models, model_folder)
+    return Retrained(data, *models)
