@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbside.catalogue.adapters import accidents
 from kerbside.catalogue.batch import CITY, DERIVED, derived, q1, q6, r6, sql
+from kerbside.operators import clusters as K
 from kerbside.operators import dbscan as D
 from kerbside.operators import rules as U
 from kerbside.operators.silhouette import cluster_stats, silhouette_squared
@@ -62,6 +63,16 @@ def dbscan_points(spark, sf):
     return D.label_rows(table, clusters(spark, sf)).select("accident_id", "cluster")
 
 
+@query("dbscan_appended", sql("SELECT accident_id, cluster FROM clustered", CLUSTERED))
+def dbscan_appended(spark, sf):
+    """The same labels from a stored state that two later tables are added to."""
+    table = accidents(spark, sf)
+    state = K.start(table.where("row_id % 10 < 6"), EPS, MIN_SAMPLES, "row_id")
+    for late in ("row_id % 10 = 6 AND latitude < 51.5", "row_id % 10 > 6 OR (row_id % 10 = 6 AND latitude >= 51.5)"):
+        state = K.append(state, table.where(late))
+    return D.label_rows(table, K.clusters(state)).select("accident_id", "cluster")
+
+
 @query("dbscan_hotspots", sql(
     f"""SELECT cluster_id, {q9('center_lat')} AS center_lat, {q9('center_lon')} AS center_lon, accident_count, {q6('avg_casualties')} AS avg_casualties,
  fatal_count, serious_count, risk_level FROM spots""", CLUSTERED))

@@ -173,14 +173,13 @@ def dbscan(
     return clustering
 
 
-def _cluster(df: DataFrame, eps: float, min_samples: int, order: str, split_rows: int) -> Clustering:
+def locate(df: DataFrame, side: float, order: str) -> DataFrame:
+    """One row per position: number of rows, first row, sums for reports, and the grid cell of that side."""
     have = set(df.columns)
     casualties = F.col("num_casualties") if "num_casualties" in have else F.lit(None).cast("int")
     severity = F.col("severity") if "severity" in have else F.lit(None).cast("string")
-    side = eps / math.sqrt(2) * _SLACK
-    reach = eps * eps
     u, v = F.col("latitude") / side, F.col("longitude") / side
-    locations = materialise(
+    return (
         df.where(
             # NaN compares as larger than any limit, null as unknown
             (F.abs(u) < _MIDDLE - 4) & (F.abs(v) < _MIDDLE - 4)
@@ -193,9 +192,14 @@ def _cluster(df: DataFrame, eps: float, min_samples: int, order: str, split_rows
             F.count_if(severity == "Serious").alias("serious"),
         )
         .withColumns({"u": u, "v": v})
-        .withColumn("cell", F.floor("u") * _ROW + F.floor("v") + _MIDDLE),
-        "locations",
+        .withColumn("cell", F.floor("u") * _ROW + F.floor("v") + _MIDDLE)
     )
+
+
+def _cluster(df: DataFrame, eps: float, min_samples: int, order: str, split_rows: int) -> Clustering:
+    side = eps / math.sqrt(2) * _SLACK
+    reach = eps * eps
+    locations = materialise(locate(df, side, order), "locations")
     n_locations = locations.count()
 
     weights = locations.groupBy("cell").agg(
