@@ -179,3 +179,42 @@ def stream_repeats(spark, sf):
     landed = _landed(spark, documents.unionAll(again), "landed")
     kept = W.run_available(W.suppress_repeats(W.normalise(landed)).select(*W.INCIDENT_KEY), "repeats")
     return kept.withColumns({"latitude": r6("latitude"), "longitude": r6("longitude")})
+
+
+_POLLED_AGAIN = (0, 300, 1500, 5400, 5700)  # seconds; the fourth poll comes after a silence
+
+
+def _polled_again(documents):
+    return documents.withColumn("_after", F.explode(F.array(*[F.lit(s) for s in _POLLED_AGAIN]))).select(
+        (F.col("poll_id") + F.col("_after").cast("long") * 1_000_000_000).alias("poll_id"),
+        F.timestamp_seconds(F.unix_seconds("polled_at") + F.col("_after")).alias("polled_at"), "payload")
+
+
+_LIVES = with_feed(f""", reports AS (SELECT type, latitude, longitude, description, start_time, poll_second + s AS seen
+ FROM incidents, (VALUES {', '.join(f'({s})' for s in _POLLED_AGAIN)}) polls(s)),
+marked AS (SELECT *, CASE WHEN seen - lag(seen) OVER same <= 1800 THEN 0 ELSE 1 END AS begins FROM reports
+ WINDOW same AS (PARTITION BY type, latitude, longitude, description, start_time ORDER BY seen)),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY type, latitude, longitude, description, start_time ORDER BY seen ROWS UNBOUNDED PRECEDING) AS life FROM marked)
+SELECT type, {q6('latitude')} AS latitude, {q6('longitude')} AS longitude, description, start_time, min(seen)::BIGINT AS first_second,
+ max(seen)::BIGINT AS last_second, count(*) AS reports, (max(seen) - min(seen))::BIGINT AS seconds
+FROM numbered GROUP BY type, numbered.latitude, numbered.longitude, description, start_time, life""")
+
+
+def _lives(df):
+    return df.select(
+        "type", r6("latitude").alias("latitude"), r6("longitude").alias("longitude"), "description", "start_time",
+        F.unix_seconds("first_seen").alias("first_second"), F.unix_seconds("last_seen").alias("last_second"), "reports", "seconds")
+
+
+@query("incident_lives", _LIVES)
+def incident_lives(spark, sf):
+    return _lives(W.incident_lives(W.normalise(_polled_again(incident_documents(spark, sf)))))
+
+
+@query("stream_incident_lives", _LIVES)
+def stream_incident_lives(spark, sf):
+    documents = _polled_again(incident_documents(spark, sf))
+    landed = _landed(spark, documents.unionByName(W.closing_document(documents)), "landed-lives")
+    done = W.run_available(W.incident_lives(W.normalise(landed)), "lives")
+    # the closing document reports an incident of its own
+    return _lives(done.where("latitude > -89"))
