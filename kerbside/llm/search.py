@@ -39,7 +39,7 @@ TOP = 10
 BLOCK_POSTINGS = 400_000
 ITEMS = 1024
 FIRST_STRATA = 4
-_PART = 4_000_000  # postings and scores worked on at once
+_PART = 500_000  # postings and scores worked on at once
 
 # A-Z become small, other ASCII characters that are no letter or digit become spaces.
 _FOLD = bytes(
