@@ -271,6 +271,20 @@ def factor_codes(spark, sf):
     return E.first_seen_codes(V.add_time_features(accidents(spark, sf)), "row_id")
 
 
+_GROWN = "weather", "road_type", "junction_type"
+
+
+@query("grown_codes", sql(f"""SELECT column_name AS "column", value, cast(row_number() OVER (PARTITION BY column_name ORDER BY first_seen) - 1 AS int) AS code FROM (
+ SELECT column_name, value, min(batch * 1000000000000 + row_id) AS first_seen FROM (
+  {" UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value, row_id, CASE WHEN weather IN ('Clear', 'Rain') AND road_type <> 'Rural' THEN 0 ELSE 1 END AS batch FROM accidents" for c in _GROWN)})
+ GROUP BY column_name, value)"""))
+def grown_codes(spark, sf):
+    """Codes of a first table, then of all rows: values of the first table keep theirs."""
+    table = accidents(spark, sf)
+    first = E.first_seen_codes(table.where("weather IN ('Clear', 'Rain') AND road_type <> 'Rural'"), "row_id", list(_GROWN))
+    return E.grow_codes(first, table, "row_id")
+
+
 @query("label_codes", sql(
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", {c} AS value, cast(row_number() OVER (ORDER BY {c}) - 1 AS int) AS code FROM accidents GROUP BY {c}"""

@@ -21,7 +21,7 @@ from kerbside.streaming.incidents import run_available
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-_STORED: dict[tuple[str, str, str], C.SeverityModel] = {}
+_STORED: dict[tuple[str, str, str], str] = {}  # folders of stored models
 
 
 def query(name: str, oracle: str | None = None):
@@ -34,13 +34,13 @@ def query(name: str, oracle: str | None = None):
 
 
 def _stored(spark, sf: str, kind: str, train) -> C.SeverityModel:
-    """Train once per session and table folder; queries use the model as stored and loaded."""
+    """The stored model of that kind, read from its folder; trained on the tables of ``sf`` when first asked for."""
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _STORED:
         folder = scratch_path(spark, f"models-{kind}")
         C.save(train(), folder)
-        _STORED[key] = C.load(spark, folder)
-    return _STORED[key]
+        _STORED[key] = folder
+    return C.load(spark, _STORED[key])
 
 
 def severity_model(spark, sf):

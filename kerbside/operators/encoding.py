@@ -41,6 +41,24 @@ def first_seen_codes(
     return _dense(_distinct_values(df, present, order), ["first_row"])
 
 
+def grow_codes(codes: DataFrame, df: DataFrame, order: str) -> DataFrame:
+    """``codes`` (column, value, code) and codes for the values of ``df`` that it lacks.
+
+    Codes given once never change: new values get the next numbers of their
+    column, by first appearance in ``df``. So what was encoded or learned with
+    the old table stays right, and a stream can go on with the new one.
+    """
+    known = materialise(codes.select("column", "value", "code"), "codes")
+    sizes = {r["column"]: r["size"] for r in known.groupBy("column").agg((F.max("code") + 1).alias("size")).collect()}
+    values = _distinct_values(df, [c for c in sizes if c in df.columns], order)
+    same = (F.col("new.column") == F.col("old.column")) & F.col("new.value").eqNullSafe(F.col("old.value"))
+    fresh = _dense(values.alias("new").join(known.alias("old"), same, "left_anti"), ["first_row"])
+    offset = F.lit(0)
+    for column, size in sizes.items():
+        offset = F.when(F.col("column") == column, F.lit(size)).otherwise(offset)
+    return known.unionByName(fresh.select("column", "value", (F.col("code") + offset).cast("int").alias("code")))
+
+
 def alphabetical_codes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Encoding table (column, value, code) in alphabetical order of the values."""
     present = [c for c in columns or S.LABEL_COLUMNS if c in df.columns]

@@ -45,7 +45,7 @@ def test_matches_sql(spark, duck, name):
 UNCHECKED = [n for n in entry.queries() if n not in entry.oracle_sql()]
 
 
-@pytest.mark.parametrize("name", [n for n in UNCHECKED if n not in ("model_comparison", "retrain")])
+@pytest.mark.parametrize("name", UNCHECKED)
 def test_runs(spark, name):
     assert entry.queries()[name](spark, TESTDATA).count() > 0
 
