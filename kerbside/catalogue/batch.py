@@ -186,6 +186,19 @@ def density_grid(spark, sf):
         r6("latitude").alias("latitude"), r6("longitude").alias("longitude"), "n")
 
 
+_KERNEL = "(VALUES (-3, 1), (-2, 6), (-1, 15), (0, 20), (1, 15), (2, 6), (3, 1))"
+
+
+@query("density_surface", sql(
+    f"""SELECT level, gy + dy AS lat_step, gx + dx AS lon_step, cast(sum(CASE WHEN dy = 0 AND dx = 0 THEN n ELSE 0 END) AS bigint) AS n,
+ cast(sum(n * wy * wx) AS double) / 4096 AS density
+FROM (SELECT level, cast(floor(gy / power(2, level)) AS bigint) AS gy, cast(floor(gx / power(2, level)) AS bigint) AS gx, count(*) AS n
+ FROM (SELECT {GRID} FROM accidents), (VALUES (0), (1), (2)) levels(level) GROUP BY ALL) cells,
+ {_KERNEL} ky(dy, wy), {_KERNEL} kx(dx, wx) GROUP BY level, gy + dy, gx + dx"""))
+def density_surface(spark, sf):
+    return P.density_surface(accidents(spark, sf))
+
+
 @query("map_centre", sql(
     f"""SELECT {q6('la')} AS center_lat, {q6('lo')} AS center_lon, n AS accidents,
  CASE WHEN abs(la - 28.6139) < 0.5 AND abs(lo - 77.2090) < 0.5 THEN 'Delhi, India'

@@ -186,7 +186,10 @@ def _poisson_by_blocks(
         beta = beta + np.linalg.pinv(gram) @ np.array([sums[f"h{i}"] for i in range(k)])
         last, deviance = deviance, fitted(beta).agg(deviance_of(mu)).first()[0]
         if abs(last - deviance) <= tol * (abs(deviance) + 1):
+            error = None
             break
+    else:
+        error = f"not converged after {max_rounds} rounds"
     big = y * F.ln(y) - y + F.ln(2 * math.pi * y) / 2 + 1 / (12 * y) - 1 / (360 * y * y * y)  # of y!, beyond 20
     log_factorial = F.when(y > 20, big).otherwise(F.ln(F.factorial(F.least(y, F.lit(20.0)).cast("int"))))
     null_deviance, llf = fitted(beta).agg(
@@ -198,7 +201,7 @@ def _poisson_by_blocks(
     spark = df.sparkSession
     row = (
         "poisson", True, -2 * llf + 2 * size, deviance - (total - size) * math.log(total), -2 * llf + size * math.log(total),
-        1 - deviance / null_deviance if null_deviance else None, deviance, null_deviance, total, None, None,
+        1 - deviance / null_deviance if null_deviance else None, deviance, null_deviance, total, None, error,
     )
     fixed = spark.createDataFrame(
         [(f, float(b), None) for f, b in zip(["const", *numeric], beta)], "feature STRING, coefficient DOUBLE, p_value DOUBLE")

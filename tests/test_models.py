@@ -174,3 +174,13 @@ def test_trees_draw_from_all_rows(spark):
     counts = got.groupBy("tree").count().collect()
     assert len(counts) == A.TREES and {r["count"] for r in counts} == {256}
     assert got.select("a", "b").distinct().count() > 8500  # of 25 600 draws from 10 000 rows
+
+
+def test_poisson_by_blocks_says_what_it_lacks(spark, monkeypatch):
+    rows = [(float(i % 7), "abc"[i % 3], "xy"[i % 2], i % 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "speed_limit DOUBLE, weather STRING, road_type STRING, num_casualties INT")
+    monkeypatch.setattr(R, "SOLVER_COLUMNS", 1)
+    stats = R.fit_poisson(df).stats.first()
+    assert stats["significant_features"] is None and stats["error"] is None
+    monkeypatch.setattr(R._poisson_by_blocks, "__defaults__", (1, 1e-15))
+    assert R.fit_poisson(df).stats.first()["error"] == "not converged after 1 rounds"
