@@ -8,9 +8,11 @@ over the accidents, whatever the number of iterations.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,8 +149,7 @@ def _poisson_by_blocks(
     category, a group-by and a join. Constant and numeric coefficients take a
     Newton step on a small system. Every category has a coefficient while the
     rounds go on, until the deviance stands still; the first category's is then
-    moved into the constant. The full information matrix is never formed, so
-    there are no p-values.
+    moved into the constant. Standard errors come from ``_block_errors``.
     """
     y, n = F.col("y"), F.col("n")
     x = [F.lit(1.0), *[F.col(c) for c in numeric]]
@@ -194,26 +195,105 @@ def _poisson_by_blocks(
     log_factorial = F.when(y > 20, big).otherwise(F.ln(F.factorial(F.least(y, F.lit(20.0)).cast("int"))))
     null_deviance, llf = fitted(beta).agg(
         deviance_of(F.lit(ys / total)), F.sum(n * (y * F.ln(mu) - mu - log_factorial))).first()
+    errors = _block_errors(fitted(beta), numeric, {c: (firsts[c], effects[c].count()) for c in categories})
     base = {c: effects[c].where(F.col(c) == F.lit(firsts[c])).first()["effect"] for c in categories}
     beta[0] += sum(base.values())
     effects = {c: effects[c].where(F.col(c) != F.lit(firsts[c])).withColumn("effect", F.col("effect") - base[c]) for c in categories}
     size = k + sum(e.count() for e in effects.values())
     spark = df.sparkSession
-    row = (
-        "poisson", True, -2 * llf + 2 * size, deviance - (total - size) * math.log(total), -2 * llf + size * math.log(total),
-        1 - deviance / null_deviance if null_deviance else None, deviance, null_deviance, total, None, error,
-    )
     fixed = spark.createDataFrame(
-        [(f, float(b), None) for f, b in zip(["const", *numeric], beta)], "feature STRING, coefficient DOUBLE, p_value DOUBLE")
+        [(f, float(b)) for f, b in zip(["const", *numeric], beta)], "feature STRING, coefficient DOUBLE")
     for c in categories:
         name = F.concat(F.lit(f"{c}_"), F.col(c).cast("string")).alias("feature")
-        fixed = fixed.unionByName(
-            effects[c].select(name, F.col("effect").alias("coefficient"), F.lit(None).cast("double").alias("p_value")))
+        fixed = fixed.unionByName(effects[c].select(name, F.col("effect").alias("coefficient")))
+    unknown = F.lit(None).cast("double")
+    if errors is None:
+        fixed, significant = fixed.withColumn("p_value", unknown), None
+    else:
+        # two-sided normal tail, for each feature on its own row
+        fixed = fixed.join(errors, "feature", "left").mapInPandas(
+            _tails, "feature STRING, coefficient DOUBLE, p_value DOUBLE")
     coefficients = materialise(fixed, "coefficients")
     keep.append(coefficients)
+    if errors is not None:
+        significant = [r["feature"] for r in coefficients.where("p_value < 0.05").select("feature").collect()]
+    row = (
+        "poisson", True, -2 * llf + 2 * size, deviance - (total - size) * math.log(total), -2 * llf + size * math.log(total),
+        1 - deviance / null_deviance if null_deviance else None, deviance, null_deviance, total, significant, error,
+    )
     return CountFit(spark.createDataFrame([row], _STATS_DDL), coefficients)
 
 
+def _tails(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for table in tables:
+        table["p_value"] = [
+            math.erfc(abs(b / e) / math.sqrt(2)) if e and e > 0 else None for b, e in zip(table["coefficient"], table.pop("error"))]
+        yield table
+
+
+def _block_errors(rows: DataFrame, numeric: list[str], levels: dict[str, tuple[str, int]]) -> DataFrame | None:
+    """(feature, error): standard errors of a fit with very many indicators; ``levels`` holds first value and count.
+
+    The indicators of the column with most categories exclude each other, so
+    their block of the information matrix is diagonal and is eliminated: what
+    is left is a small dense matrix S of the constant, the numeric inputs and
+    the other columns, summed up per category of the large column. With S
+    inverted, each category's own error follows from its sums alone. None if
+    the other columns have more than ``SOLVER_COLUMNS`` categories.
+    """
+    spark = rows.sparkSession
+    big = max(levels, key=lambda c: levels[c][1])
+    small = [c for c in levels if c != big]
+    if sum(levels[c][1] for c in small) > SOLVER_COLUMNS:
+        return None
+    features = ["const", *numeric]
+    for c in small:
+        features += [f"{c}_{r[0]}" for r in rows.where(F.col(c) != levels[c][0]).select(c).distinct().orderBy(c).collect()]
+    place = {f: i for i, f in enumerate(features)}
+    entry = lambda key, value: F.struct(key.alias("key"), value.cast("double").alias("v"))
+    entries = F.array(
+        entry(F.lit("const"), F.lit(1.0)), *[entry(F.lit(c), F.col(c)) for c in numeric],
+        *[entry(F.concat(F.lit(f"{c}_"), F.col(c).cast("string")), (F.col(c) != levels[c][0]).cast("int")) for c in small])
+    weighted = materialise(rows.select(
+        F.when(F.col(big) != levels[big][0], F.col(big).cast("string")).alias("level"), (F.col("n") * F.col("mu")).alias("w"),
+        F.filter(entries, lambda e: e["v"] != 0).alias("entries")), "weighted")
+    pairs = weighted.select("w", "entries", F.explode("entries").alias("a")).select("w", "a", F.explode("entries").alias("b"))
+    s = np.zeros((len(features), len(features)))
+    for r in pairs.groupBy("a.key", F.col("b.key").alias("other")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("v")).collect():
+        s[place[r["key"]], place[r["other"]]] = r["v"]
+    # per category of the large column: its weight and its sums with every other column, at most SOLVER_COLUMNS
+    sums = weighted.where("level IS NOT NULL").select("level", "w", F.explode("entries").alias("e")).groupBy("level", "e.key").agg(
+        F.sum(F.col("w") * F.col("e.v")).alias("v"), F.sum(F.when(F.col("e.key") == "const", F.col("w"))).alias("d"))
+    per_level = materialise(sums.groupBy("level").agg(
+        F.collect_list("key").alias("keys"), F.collect_list("v").alias("values"), F.max("d").alias("d")), "per-level")
+
+    def eliminated(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(place), len(place)))
+        for table in tables:
+            for keys, values, d in zip(table["keys"], table["values"], table["d"]):
+                at = [place[k] for k in keys]
+                total[np.ix_(at, at)] += np.outer(values, values) / d
+        a, b = np.nonzero(total)
+        yield pd.DataFrame({"a": a, "b": b, "v": total[a, b]})
+
+    for r in per_level.mapInPandas(eliminated, "a INT, b INT, v DOUBLE").groupBy("a", "b").agg(F.sum("v").alias("v")).collect():
+        s[r["a"], r["b"]] -= r["v"]
+    inverse = np.linalg.pinv(s, hermitian=True)
+    shared = spark.sparkContext.broadcast(inverse)  # at most SOLVER_COLUMNS squared numbers
+
+    def own(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            errors = []
+            for keys, values, d in zip(table["keys"], table["values"], table["d"]):
+                at = [place[k] for k in keys]
+                errors.append(math.sqrt(1 / d + values @ shared.value[np.ix_(at, at)] @ values / d ** 2))
+            yield pd.DataFrame({"feature": [f"{big}_{v}" for v in table["level"]], "error": errors})
+
+    others = spark.createDataFrame(
+        [(f, float(math.sqrt(max(v, 0)))) for f, v in zip(features, np.diag(inverse))], "feature STRING, error DOUBLE")
+    return per_level.mapInPandas(own, "feature STRING, error DOUBLE").unionByName(others)
+
+
 def save_fit(fit: CountFit, path: str) -> None:
     fit.stats.write.mode("overwrite").parquet(f"{path}/stats")
     fit.coefficients.write.mode("overwrite").parquet(f"{path}/coefficients")
