@@ -37,6 +37,7 @@ from kerbside.session import materialise, working_tables
 
 TOP = 10
 BLOCK_POSTINGS = 400_000
+TASK_POSTINGS = 2_000_000  # about as many are put into blocks by one task
 ITEMS = 1024
 FIRST_STRATA = 4
 _PART = 500_000  # postings and scores worked on at once
@@ -145,7 +146,9 @@ def build_index(docs: DataFrame, key: str = "doc_id", block_postings: int = BLOC
         # one stratum may hold most documents, and equal documents may be many: blocks are drawn by row number
         dealt = skew_join(placed, blocks, ["m"], counts=strata.select("m", "rows")).withColumn(
             "block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
-        ordered = dealt.select("m", "block", "id", "terms", "tfs").repartition("m", "block").sortWithinPartitions("m", "block")
+        postings = strata.agg(F.sum("postings")).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-postings // TASK_POSTINGS))
+        ordered = dealt.select("m", "block", "id", "terms", "tfs").repartition(parts, "m", "block").sortWithinPartitions("m", "block")
         table = materialise(
             small_batches(ordered).mapInArrow(_assemble, _BLOCK.format(kind, l=_LONG)), "index")
         keep.append(table)
@@ -279,8 +282,8 @@ def _search_block(index: Index, items: DataFrame, first: int, top: int) -> DataF
 
     def visit(blocks: DataFrame, queries: Queries) -> DataFrame:
         shared = spark.sparkContext.broadcast(tuple(queries))
-        return _ranked(
-            blocks.mapInArrow(_best(shared, top, to_arrow_type(index.blocks.schema["doc_ids"].dataType.elementType)), f"item int, id {kind}, score bigint"), top)
+        ids = to_arrow_type(index.blocks.schema["doc_ids"].dataType.elementType)
+        return _ranked(blocks.mapInArrow(_best(shared, top, ids), f"item int, id {kind}, score bigint"), top)
 
     order = Window.partitionBy("item").orderBy(F.desc("bound"), "m")
     visits: dict[int, list[int]] = {}
