@@ -3,10 +3,12 @@
 Pages are written as WARC 1.1 records, one file per shard. The audit hashes
 every record of a file with its byte range, and what lies between records as
 ranges of their own. Byte ranges of one power of two are the lowest nodes of
-the tree: hash of the hashes they hold, in order. Neighbouring ranges make the
+the tree: hash of the places and hashes they hold, in order. Neighbouring ranges make the
 next node, 64 at a time, up to the shard, and neighbouring shards the next, up
 to the root. Two replicas are compared from the root; a level is read only
-below nodes that differ, so equal parts cost one hash comparison each.
+below nodes that differ, so equal parts cost one hash comparison each. Below
+the lowest of them, records are matched by id and hash first, so a lost or
+added record does not make those behind it look damaged.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbside.session import materialise, scratch_path, working_tables
@@ -61,11 +63,12 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> N
     """
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     shards = 1 + size // shard_bytes
+    parts = int(min(shards, 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = pages.select(
         (F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
          % F.lit(shards)).alias("shard"), "page_id", _records(pages).alias("value"))
     (
-        rows.repartitionById(int(shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "value")
+        rows.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "page_id", "value")
         .select("shard", "value").write.partitionBy("shard")
         .option("lineSep", _END).option("compression", "gzip").text(path)
     )
@@ -163,7 +166,7 @@ def _levels(shards: int) -> list[Column]:
 def merkle_tree(leaves: DataFrame, shards: int) -> list[DataFrame]:
     """Tables (node, parent, hash) from the lowest level to the root; each written."""
     numbers = _levels(shards)
-    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]), ""), 256)
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: F.concat_ws(":", x["at"], x["hash"])), ","), 256)
     rows = leaves.select(numbers[0].alias("node"), F.col("offset").alias("at"), "hash")
     levels = []
     for _ in numbers:
@@ -174,12 +177,83 @@ def merkle_tree(leaves: DataFrame, shards: int) -> list[DataFrame]:
     return levels
 
 
+def _ranked(leaves: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Number equal ``keys`` of a shard in the order of their places."""
+    order = Window.partitionBy("shard", *keys).orderBy("offset")
+    return leaves.withColumn(name, F.row_number().over(order))
+
+
+def _met(ranges: DataFrame, others: DataFrame, name: str) -> DataFrame:
+    """Add whether a range (shard, start, end) shares a byte with one of ``others`` of its shard.
+
+    One sorted pass per shard: a range meets another if, of those that begin
+    before its last byte, the one that ends last ends behind its first.
+    """
+    points = ranges.withColumn("_at", F.col("end") - 1).withColumn("_own", F.lit(True)).unionByName(
+        others.select("shard", F.col("start").alias("_at"), F.col("end").alias("_reach"), F.lit(False).alias("_own")),
+        allowMissingColumns=True)
+    order = Window.partitionBy("shard").orderBy("_at", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    return points.withColumn(name, F.coalesce(F.max("_reach").over(order) > F.col("start"), F.lit(False))).where(
+        "_own").drop("_at", "_own", "_reach")
+
+
+def _judged(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(shard, offset, length, record_id, status) from the leaves (with ``run``) below nodes that differ.
+
+    Runs of neighbouring nodes begin behind equal bytes, so within a run the
+    last record found again tells how far the replica's places have shifted.
+    """
+    moved = _ranked(
+        ours.join(theirs, ["shard", "offset", "hash"], "left_anti"), ["record_id", "hash"], "copy"
+    ).join(
+        _ranked(theirs.join(ours, ["shard", "offset", "hash"], "left_anti"), ["record_id", "hash"], "copy")
+        .where("record_id IS NOT NULL").select("shard", "record_id", "hash", "copy", F.col("offset").alias("there")),
+        ["shard", "record_id", "hash", "copy"],
+    ).select("shard", "offset", "length", "record_id", "there")
+    moved = materialise(moved, "moved")
+    lost = ours.join(theirs, ["shard", "offset", "hash"], "left_anti").join(moved, ["shard", "offset"], "left_anti")
+    lost = _ranked(lost.withColumns({"start": F.col("offset"), "end": F.col("offset") + F.col("length")}), ["record_id"], "copy")
+
+    equal = ours.select("shard", "offset", "hash", F.lit(0).cast("long").alias("same"))
+    shifts = moved.select("shard", F.col("there").alias("offset"), (F.col("offset") - F.col("there")).alias("shift"))
+    behind = Window.partitionBy("shard", "run").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.coalesce("same", "shift")
+    placed = (
+        theirs.join(equal, ["shard", "offset", "hash"], "left").join(shifts, ["shard", "offset"], "left")
+        .withColumn("start", F.col("offset") + F.coalesce(F.last(known, ignorenulls=True).over(behind), F.lit(0)))
+        .where(known.isNull()).withColumn("end", F.col("start") + F.col("length"))
+    )
+    placed = materialise(_ranked(placed, ["record_id"], "copy"), "placed")
+    unread, records = placed.where("record_id IS NULL"), placed.where("record_id IS NOT NULL")
+
+    # a record with its id, else one in its place, has other bytes; else bytes that are no record lie there or nothing does
+    by_id = records.select("shard", "record_id", "copy", F.lit(True).alias("named"))
+    lost = materialise(_met(lost.join(by_id, ["shard", "record_id", "copy"], "left"), unread, "unread"), "lost")
+    other = records.join(lost.select("shard", "record_id", "copy"), ["shard", "record_id", "copy"], "left_anti")
+    nameless = lost.where("named IS NULL").select("shard", "start", F.lit(True).alias("put"))
+    status = (
+        F.when(F.col("named") | F.col("taken"), F.lit("changed")).when(F.col("unread"), F.lit("unreadable")).otherwise(F.lit("missing"))
+    )
+    result = ["shard", "offset", "length", "record_id"]
+    there = other.groupBy("shard", "start").agg(F.lit(True).alias("taken"))
+    gone = lost.join(there, ["shard", "start"], "left").withColumn("taken", F.col("taken") & F.col("named").isNull())
+    added = other.join(nameless, ["shard", "start"], "left_anti").select(*result).unionByName(
+        _met(unread, lost, "put").where("NOT put").select(*result))
+    return (
+        gone.select(*result, status.alias("status")).unionByName(added.withColumn("status", F.lit("extra")))
+        .unionByName(moved.select(*result, F.lit("moved").alias("status")))
+    )
+
+
 def audit(spark: SparkSession, path: str, replica: str) -> DataFrame:
     """(shard, offset, length, record_id, status) of the byte ranges in which ``replica`` departs; written.
 
-    Status: changed (a record with other bytes), unreadable (no record where
-    one was), missing (nothing there), extra (only in the replica). Equal
-    replicas give no rows; so do two empty ones.
+    Status: changed (a record with other bytes), unreadable (bytes where one
+    was that hold no record; each record of a destroyed stretch), missing
+    (nothing there), extra (only in the replica, with its place there), moved
+    (whole, but elsewhere in the shard, as behind a record that was lost).
+    Equal replicas give no rows; so do two empty ones. Of records alike in id
+    and bytes, the first in one file counts as the first in the other.
     """
     with working_tables() as keep:
         ours, theirs = (materialise(read_leaves(spark, p), "leaves") for p in (path, replica))
@@ -193,22 +267,11 @@ def audit(spark: SparkSession, path: str, replica: str) -> DataFrame:
             suspects = materialise(both.where(~F.col("a").eqNullSafe(F.col("b"))).select("node"), "suspects")
             if suspects.isEmpty():
                 break
+        within = Window.partitionBy(F.shiftright("node", SHARD_BITS - RANGE_BITS)).orderBy("node")
+        runs = suspects.withColumn("run", F.col("node") - F.row_number().over(within))
         number = _levels(shards)[0].alias("node")
-        here, there = (
-            t.withColumn("node", number).join(suspects, "node", "left_semi").select(
-                "shard", "offset", *[F.col(c).alias(f"{c}_{side}") for c in ("length", "record_id", "hash")])
-            for t, side in ((ours, "a"), (theirs, "b"))
-        )
-        status = (
-            F.when(F.col("hash_b").isNull(), F.lit("missing")).when(F.col("hash_a").isNull(), F.lit("extra"))
-            .when(F.col("record_id_b").isNull(), F.lit("unreadable")).otherwise(F.lit("changed"))
-        )
-        found = materialise(
-            here.join(there, ["shard", "offset"], "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
-            .select("shard", "offset", F.coalesce("length_a", "length_b").alias("length"),
-                    F.coalesce("record_id_a", "record_id_b").alias("record_id"), status.alias("status")),
-            "audit",
-        )
+        here, there = (materialise(t.withColumn("node", number).join(runs, "node").drop("node"), "suspect-leaves") for t in (ours, theirs))
+        found = materialise(_judged(here, there), "audit")
         keep.append(found)
     return found
 
