@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbside.catalogue.adapters import accidents, flow_documents, incident_documents, with_feed
+from kerbside.catalogue.adapters import EPOCH, accidents, flow_documents, incident_documents, with_feed
 from kerbside.catalogue.batch import derived, q6, r6
 from kerbside.operators import risk as K
 from kerbside.operators import traffic as R
@@ -218,3 +218,43 @@ def stream_incident_lives(spark, sf):
     done = W.run_available(W.incident_lives(W.normalise(landed)), "lives")
     # the closing document reports an incident of its own
     return _lives(done.where("latitude > -89"))
+
+
+_LIVE = with_feed(PLACED + f""", reports AS (SELECT *, poll_second + s AS seen FROM placed, (VALUES {', '.join(f'({s})' for s in _POLLED_AGAIN)}) polls(s)),
+slots AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS k),
+opened AS (SELECT DISTINCT (seen // 300 + k) * 300 AS second, city, type, latitude, longitude, description, start_time, severity FROM reports, slots),
+states AS (SELECT second, city, count(*) AS total_incidents, count(*) FILTER (type = 'Accident') AS accidents, count(*) FILTER (type = 'Jam') AS jams,
+ count(*) FILTER (type = 'Road Works') AS road_works, count(*) FILTER (type IN ('Road Closed', 'Lane Closed')) AS closures,
+ count(*) FILTER (severity = 'Critical') AS critical_incidents, count(*) FILTER (severity = 'Major') AS major_incidents FROM opened GROUP BY 1, 2),
+speeds AS (SELECT ((({EPOCH} + event_id // 20 * 60) // 300) + k) * 300 AS second, event_id % 20 AS city_no, arg_max(cast((event_id * 13) % 70 AS double), event_id) AS cur,
+ arg_max(cast(CASE WHEN event_id % 10 = 0 THEN 0 WHEN event_id % 31 <> 0 THEN event_id % 31 + 40 ELSE 0 END AS double), event_id) AS free
+ FROM events, slots WHERE event_id % 29 <> 0 GROUP BY 1, 2),
+flows AS (SELECT second, city, cur, free, CASE WHEN free > 0 THEN round_even(greatest(0, (1 - cur / free) * 100) * 10, 0) / 10 ELSE 0 END AS flow FROM speeds JOIN cities USING (city_no)),
+live AS (SELECT coalesce(n.second, l.second) AS second, coalesce(n.city, l.city) AS city, {', '.join(f'coalesce({k}, 0) AS {k}' for k in COUNTED)}, cur, free,
+ coalesce(flow, least(100, coalesce(critical_incidents, 0) * 20 + coalesce(major_incidents, 0) * 10 + coalesce(total_incidents, 0) * 2)) AS p
+ FROM states n FULL JOIN flows l ON n.second = l.second AND n.city = l.city)
+SELECT second::BIGINT AS second, city, {', '.join(COUNTED)}, cast(p AS double) AS congestion_percent, {BANDS}, {COLOURS}, cur AS current_speed, free AS free_flow_speed FROM live""")
+
+
+def _live(states):
+    return states.select(F.unix_seconds("as_of").alias("second"), "city", *COUNTED, "congestion_percent", "risk_level", "risk_color",
+                         "current_speed", "free_flow_speed")
+
+
+def _polled_flow(spark, sf):
+    polled = F.timestamp_seconds(F.lit(EPOCH) + F.floor(F.col("reading") / 20) * 60)
+    return flow_documents(spark, sf).withColumn("polled_at", polled)
+
+
+@query("live_summary", _LIVE)
+def live_summary(spark, sf):
+    incidents = W.normalise(_polled_again(incident_documents(spark, sf)))
+    return _live(W.live_summary(incidents, N.parse_flow(_polled_flow(spark, sf)), cities(spark)))
+
+
+@query("stream_live_summary", _LIVE)
+def stream_live_summary(spark, sf):
+    documents, readings = _polled_again(incident_documents(spark, sf)), _polled_flow(spark, sf)
+    incidents = W.normalise(_landed(spark, documents.unionByName(W.closing_document(documents)), "landed-incidents"))
+    flow = N.parse_flow(_landed(spark, readings.unionByName(W.closing_reading(readings)), "landed-flow"))
+    return _live(W.run_available(W.live_summary(incidents, flow, cities(spark)), "live"))

@@ -109,3 +109,34 @@ def test_repeats_across_polls(spark, tmp_path):
     stream = spark.readStream.schema(polls.schema).parquet(path)
     kept = W.run_available(W.suppress_repeats(W.normalise(stream)), "t", str(tmp_path / "out"))
     assert kept.count() == 5
+
+
+def test_live_summary_keeps_open_incidents_and_flow_between_polls(spark):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1, 12)
+    place = {"a": (51.5, -0.12), "b": (51.52, -0.13)}
+    seen = [("a", 1, "Minor"), ("b", 1, "Critical"), ("a", 7, "Major"), ("a", 7, "Minor"), ("b", 31, "Critical"), ("a", 70, "Low")]
+    incidents = spark.createDataFrame(
+        [("Jam", s, k, *place[k], "", start + timedelta(minutes=m)) for k, m, s in seen],
+        "type STRING, severity STRING, description STRING, latitude DOUBLE, longitude DOUBLE, start_time STRING, polled_at TIMESTAMP")
+    speeds = [(2, 50.0, 100.0, 50.0), (9, 20.0, 100.0, 80.0)]
+    flow = spark.createDataFrame(
+        [("X", start + timedelta(minutes=m), *v) for m, *v in speeds],
+        "city STRING, polled_at TIMESTAMP, current_speed DOUBLE, free_flow_speed DOUBLE, congestion_percent DOUBLE")
+    cities = spark.createDataFrame([("X", 51.5, -0.12), ("Y", 0.0, 50.0)], "city STRING, city_lat DOUBLE, city_lon DOUBLE")
+    got = {
+        (r["as_of"], r["city"]): (r["total_incidents"], r["major_incidents"], r["critical_incidents"], r["congestion_percent"], r["current_speed"])
+        for r in W.live_summary(incidents, flow, cities).collect()}
+    want = {}
+    for end in range(5, 120, 5):
+        last = {}
+        for k, m, s in sorted(seen, key=lambda x: (x[1], x[2])):
+            if end - 30 <= m < end:
+                last[k] = s
+        reading = max([v for v in speeds if end - 30 <= v[0] < end], default=None)
+        major, critical = (sum(v == s for v in last.values()) for s in ("Major", "Critical"))
+        if last or reading:
+            percent = reading[3] if reading else float(critical * 20 + major * 10 + len(last) * 2)
+            want[start + timedelta(minutes=end), "X"] = (len(last), major, critical, percent, reading and reading[1])
+    assert got == want
