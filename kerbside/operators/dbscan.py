@@ -35,6 +35,7 @@ _ROW = 1 << 32             # cell id = row index * 2^32 + column index (shifted
 _MIDDLE = 1 << 31
 _SPLIT = 4                 # sub-boxes per axis and level
 _LISTED_POINTS = 32         # cells up to this size carry their points into the link test
+_CONTRACT_PAIRS = 50_000    # above this many undecided pairs of cells, components are found before the rest is split
 _REACH = range(-2, 3)
 _NEAR = [dx * _ROW + dy for dx in _REACH for dy in _REACH]
 _FORWARD = [offset for offset in _NEAR if offset > 0]
@@ -113,7 +114,12 @@ def _renamed(boxes: DataFrame, side: str) -> DataFrame:
 
 
 def _cell_links(core: DataFrame, reach: float, listed_points: int = _LISTED_POINTS) -> DataFrame:
-    """(a, b) for neighbouring cells joined by at least one pair of core points."""
+    """(a, b) for neighbouring cells joined by at least one pair of core points, as far as components need them.
+
+    Two cells that other links connect need no link of their own. If very many
+    pairs are undecided, cells side by side are settled first, and only pairs
+    still in different components are split any further.
+    """
     few = F.col("cell_locations") <= listed_points
     top = materialise(
         _boxes(core.where(few), 0, with_points=True).unionByName(_boxes(core.where(~few), 0)), "boxes"
@@ -123,11 +129,32 @@ def _cell_links(core: DataFrame, reach: float, listed_points: int = _LISTED_POIN
     )
     measured = materialise(_measure(first, reach), "box-pairs")
     links = [measured.where("linked").select("a", "b").distinct()]
-    level = 0
+    undecided = measured.where("open")
+    if undecided.count() > _CONTRACT_PAIRS:
+        links += _split_links(core, undecided.where((F.col("b") - F.col("a")).isin(1, _ROW)), reach)
+        so_far = materialise(reduce(DataFrame.unionAll, links), "links")
+        roots = materialise(connected_components(so_far), "roots")
+        for end in ("a", "b"):
+            named = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+            undecided = undecided.join(named, end, "left")
+        apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
+        undecided = materialise(undecided.where(apart).drop("a_root", "b_root"), "box-pairs")
+        links = [so_far]
+    links += _split_links(core, undecided, reach)
+    if len(links) == 1:
+        return materialise(links[0], "links")
+    return materialise(reduce(DataFrame.unionAll, links), "links")
+
+
+def _split_links(core: DataFrame, undecided: DataFrame, reach: float) -> list[DataFrame]:
+    """Links among the open pairs of cells, one table per level of boxes."""
+    measured, links, level = undecided, [], 0
     while not measured.where("open").isEmpty():
+        unsettled = measured.where("open")
+        if links:
+            unsettled = unsettled.join(links[-1], ["a", "b"], "left_anti")
         unsettled = materialise(
-            measured.where("open").join(links[-1], ["a", "b"], "left_anti")
-            .select("a", "b", *[F.col(c).alias(f"p{c}") for c in ("a_gu", "a_gv", "b_gu", "b_gv")]),
+            unsettled.select("a", "b", *[F.col(c).alias(f"p{c}") for c in ("a_gu", "a_gv", "b_gu", "b_gv")]),
             "open-pairs",
         )
         n_open = unsettled.count()
@@ -146,9 +173,7 @@ def _cell_links(core: DataFrame, reach: float, listed_points: int = _LISTED_POIN
         pairs = unsettled.join(a, ["a", "pa_gu", "pa_gv"]).join(b, ["b", "pb_gu", "pb_gv"])
         measured = materialise(_measure(pairs, reach), "box-pairs")
         links.append(measured.where("linked").select("a", "b").distinct())
-    if len(links) == 1:
-        return materialise(links[0], "links")
-    return materialise(reduce(DataFrame.unionAll, links), "links")
+    return links
 
 
 def dbscan(

@@ -61,6 +61,22 @@ def test_large_scale_paths(spark, monkeypatch):
     assert [r["cluster"] for r in found.collect()] == brute(points, 0.0371, 4).tolist()
 
 
+def test_pairs_inside_a_component_are_not_split(spark, monkeypatch):
+    """Most pairs of a crowded area follow from cells side by side; the labels stay those of all links."""
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.uniform(0, 0.2, (900, 2)), rng.uniform(0.26, 0.4, (500, 2)), [[0.2325, 0.2325]] * 4, rng.uniform(-1, -0.8, (60, 2))])
+    df = table(spark, points)
+    split = []
+    settle = D._split_links
+    monkeypatch.setattr(D, "_split_links", lambda core, pairs, reach: split.append(pairs.count()) or settle(core, pairs, reach))
+    monkeypatch.setattr(D._cell_links, "__defaults__", (0,))
+    whole = D.label_rows(df, D.dbscan(df, 0.0371, 4, "row_id")).orderBy("row_id").collect()
+    monkeypatch.setattr(D, "_CONTRACT_PAIRS", 0)
+    found = D.label_rows(df, D.dbscan(df, 0.0371, 4, "row_id")).orderBy("row_id").collect()
+    assert [r["cluster"] for r in found] == [r["cluster"] for r in whole] == brute(points, 0.0371, 4).tolist()
+    assert len(split) == 3 and sum(split[1:]) < split[0] / 2
+
+
 def test_hotspots_and_missing_positions(spark):
     points = np.array([[0, 0], [0, 0.001], [0, 0.002], [5, 5]])
     df = table(spark, points).unionByName(
