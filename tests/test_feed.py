@@ -140,3 +140,52 @@ def test_live_summary_keeps_open_incidents_and_flow_between_polls(spark):
             percent = reading[3] if reading else float(critical * 20 + major * 10 + len(last) * 2)
             want[start + timedelta(minutes=end), "X"] = (len(last), major, critical, percent, reading and reading[1])
     assert got == want
+
+
+def test_plain_lines_start_where_the_json_parser_says(spark):
+    plain = ["[[1.5,51.25],[1.6,51.5]]", "[[-0.1278,51.507400000000004]]", "[[0.1,-0.25,7.0],[2.5,3.5]]", "[[13.235,52.358000000000004]]"]
+    others = [
+        "[[1,2],[3,4]]", "[1.5,51.25]", "[[1.5]]", "[[01.5,2.5]]", "[[1.5,2.5],3.5]", "[[1.5,2.5]", "[[1.5,2.5]]\n", "[ [1.5, 2.5] ]",
+        "[[1.5e1,2.5]]", "[[-0,0]]", "[[1.5,\"2.5\"]]", "[[[1.5,2.5]]]", "[[null,2.5]]", "[]", "[[]]", "", "x", "[[.5,1.5]]", "[[1.,2.5]]", "[[+1.5,2.5]]",
+        "[[1.5,2.5],[x]]", "[[1.5,2.5],[]]", "[[1.5,2.5]][[3.5,4.5]]", "[[1.5,2.5],[true,1.5]]", "[[1." + "5" * 2000 + ",2.5]]"]
+    long = "[" + ",".join(f"[{i}.5,{i}.25]" for i in range(20000)) + "]"
+    texts = spark.createDataFrame([(t,) for t in [*plain, *others, long, None]], "coordinates STRING")
+    rows = texts.select(
+        "coordinates", N._start_of_line(F.struct(F.lit("LineString").alias("type"), "coordinates")).alias("got"),
+        F.coalesce(F.get(F.from_json("coordinates", "array<array<double>>"), F.lit(0)), F.from_json("coordinates", "array<double>")).alias("want"),
+        F.col("coordinates").rlike(N._PLAIN_POINTS).alias("plain")).collect()
+    # whoever reads them, the first two numbers are the ones of the parser
+    assert [(r["got"] or [])[:2] for r in rows] == [(r["want"] or [])[:2] for r in rows]
+    assert {r["coordinates"] for r in rows if r["plain"]} == {*plain, long}
+
+
+def test_last_report_is_aggregated_by_hashing(spark):
+    """Sorting every report six times over was most of the work of the grouping."""
+    incidents = N.parse_incidents(documents(spark))
+    flow = spark.createDataFrame([], "city STRING, polled_at TIMESTAMP, current_speed DOUBLE, free_flow_speed DOUBLE, congestion_percent DOUBLE")
+    plan = W.live_summary(incidents, flow, cities(spark))._jdf.queryExecution().executedPlan().toString()
+    sorted_by = [line for line in plan.splitlines() if "SortAggregate" in line]
+    assert "HashAggregate" in plan and not [line for line in sorted_by if "incident" in line]
+
+
+def test_live_summary_ties_take_the_last_severity_and_type_in_text_order(spark):
+    from datetime import datetime
+
+    at = datetime(2024, 1, 1, 12, 1)
+    texts = [None, "", "Aa", "Critical", "Lower", "Low", "Major", "Minor", "Moderate", "zz"]
+    kinds = [None, "A", "Accident", "Jam", "Lane Closed", "Road Closed", "Road Works", "Zebra"]
+    cities = spark.createDataFrame([("X", 51.5, -0.12)], "city STRING, city_lat DOUBLE, city_lon DOUBLE")
+    none = spark.createDataFrame([], "city STRING, polled_at TIMESTAMP, current_speed DOUBLE, free_flow_speed DOUBLE, congestion_percent DOUBLE")
+    rows = [(f"{i},{j}", s, k, 51.5, -0.12, at) for i in range(len(texts)) for j in range(len(kinds))
+            for s, k in ((texts[i], kinds[j]), (texts[i - 1], kinds[j]), (texts[i], kinds[j - 3]))]
+    incidents = spark.createDataFrame(rows, "name STRING, severity STRING, type STRING, latitude DOUBLE, longitude DOUBLE, polled_at TIMESTAMP")
+    last = {}
+    for name, s, k, *_ in rows:
+        order = lambda t: (t is not None, t or "")
+        last[name] = max(last.get(name, (None, None)), (s, k), key=lambda x: (order(x[0]), order(x[1])))
+    want = (len(last), sum(k == "Accident" for _, k in last.values()), sum(k == "Jam" for _, k in last.values()),
+            sum(k == "Road Works" for _, k in last.values()), sum(k in ("Road Closed", "Lane Closed") for _, k in last.values()),
+            sum(s == "Critical" for s, _ in last.values()), sum(s == "Major" for s, _ in last.values()))
+    got = W.live_summary(incidents, none, cities, key=["name"]).select(
+        "total_incidents", "accidents", "jams", "road_works", "closures", "critical_incidents", "major_incidents").distinct().collect()
+    assert [tuple(r) for r in got] == [want]
