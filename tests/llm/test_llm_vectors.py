@@ -52,3 +52,42 @@ def test_awkward_rows(spark):
     again = vectors.components(df.where("vec_id IN (1, 10)").unionByName(df.where("vec_id = 1")))
     assert sorted(map(tuple, again.collect())) == [(1, 2, 1, True), (1, 2, 1, True), (10, 2, 1, False)]
     assert vectors.components(df.limit(0)).count() == 0
+
+
+def test_crowded_tiles_and_single_precision(spark):
+    rng = np.random.default_rng(3)
+    for dims, spread in ((64, 0.34), (300, 0.3)):
+        centre = rng.standard_normal(dims)
+        vecs = (centre + spread * rng.standard_normal((150, dims))).astype(np.float32).astype(float).tolist()
+        vecs += [[-x for x in vecs[0]], [x * 2.0**-140 for x in vecs[1]], vecs[2]]
+        table = list(enumerate(vecs))
+        single = spark.createDataFrame(table, "vec_id BIGINT, embedding ARRAY<FLOAT>").repartition(3)
+        double = spark.createDataFrame(table, "vec_id BIGINT, embedding ARRAY<DOUBLE>").repartition(3)
+        expected = brute([(i, np.float32(v).astype(float).tolist()) for i, v in table])
+        assert sorted(map(tuple, vectors.components(single).collect())) == expected
+        assert sorted(map(tuple, vectors.components(double, home_rows=16).collect())) == brute(table)
+
+
+def test_leading_directions():
+    for dims in (1, 2, 13, 64, 300):
+        for cosine in (-0.5, 0.0, 0.5, 0.9, 1.0):
+            assert 1 <= vectors._leading(dims, cosine) <= dims
+    assert vectors._leading(1, 0.9) == 1 and 16 < vectors._leading(64, 0.9) < 32
+
+
+def test_vectors_meet_without_a_shuffle(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, label, materialise=vectors.materialise):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return materialise(df, label)
+
+    monkeypatch.setattr(vectors, "materialise", noted)
+    table = case(64)
+    df = spark.createDataFrame(table, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, vectors.components(df, home_rows=16).collect())) == brute(table)
+    # copies of the vectors in a shuffle filled the disk: they grew with the square of the table
+    assert "Exchange" not in plans["vector-links"]
+    assert "embedding" not in plans["vector-components"].split("Exchange", 1)[1].split("Scan parquet", 1)[0]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in (before, "512")
